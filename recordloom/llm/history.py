@@ -44,11 +44,12 @@ BLOCK_CELLS, MARGIN_CELLS = 43_200, 300
 
 
 def number_key(number: Column) -> Column:
-    """The number without punctuation, country code 1, ``00`` or ``+``; null if it is no number."""
-    digits = F.regexp_replace(number, "[^0-9]", "")
-    digits = F.when(digits.startswith("00"), digits.substr(F.lit(3), F.lit(1 << 20))).otherwise(digits)
-    digits = F.when((F.length(digits) == 11) & digits.startswith("1"), digits.substr(F.lit(2), F.lit(10))).otherwise(digits)
-    return F.when((F.length(digits) >= 3) & ~number.rlike(r"\p{L}"), digits)
+    """The number without punctuation, country code 1, ``00`` or ``+``; empty if it is no number.
+
+    Each expression is used once, so a filter on it doesn't evaluate it again and again.
+    """
+    plain = F.regexp_replace(number, r"[^0-9\p{L}]+", "")
+    return F.regexp_extract(plain, r"^(?:00)?+(?:1(?=[0-9]{10}$))?+([0-9]{3,})$", 1)
 
 
 def usable_calls(calls: DataFrame, *more: str) -> DataFrame:
@@ -57,7 +58,7 @@ def usable_calls(calls: DataFrame, *more: str) -> DataFrame:
     dur = F.trim("duration").try_cast("int")
     return (
         calls.select("call_id", *more, number_key(F.col("number")).alias("num"), ms.alias("ms"), dur.alias("dur"))
-        .where("num is not null and ms > 0 and dur >= 0")
+        .where("num <> '' and ms > 0 and dur >= 0")
         .select("call_id", *more, "num", F.expr(f"ms div {CELL_MS}").alias("cell"), (F.col("ms") % CELL_MS).cast("int").alias("ms_in"), "dur")
     )
 

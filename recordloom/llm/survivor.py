@@ -67,13 +67,13 @@ def survivors(calls: DataFrame, devices: DataFrame) -> DataFrame:
     labels = class_labels(usable.select("call_id", "num", "cell", "ms_in", "dur"), by_batch=False).select("num", "cell", "dur", "first_call_id")
     trust = devices.select("device_id", F.col("trust").cast("int").alias("trust")).groupBy("device_id").agg(F.max("trust").alias("trust"))
     rows = (
-        usable.select(
-            "call_id", "device_id", "received_at", "num", "cell", "dur",
+        usable.join(labels, ["num", "cell", "dur"])
+        .select(
+            "first_call_id", "call_id", "device_id", "received_at", "num",
             real_name(F.col("contact_name")).alias("name"),
             F.coalesce(F.trim("contact_name").rlike(_ELLIPSIS), F.lit(False)).alias("ends_cut"),
             whole_readable(F.col("readable_date")).alias("readable_whole"),
         )
-        .join(labels, ["num", "cell", "dur"])
         .join(trust, "device_id", "left")
         .withColumn("trust", F.coalesce("trust", F.lit(0)))
     )
