@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import bins, bpe, copies, history, survivor
+from recordloom.llm import bins, bpe, copies, history, survivor, truncation
 from recordloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,9 +37,19 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return bins.fill_containers(table(spark, sf, "documents"))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return truncation.found(table(spark, sf, "documents"))
+
+
+def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    return truncation.shares(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
     """Query by name."""
-    return {f.__name__: f for f in (p1_found, p6_found, p7_found, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p6_found, p7_found, p8_ids, p9_containers, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,8 +6,9 @@ every text, whether a unit (sentence, line, text) ends there or goes on:
 * characters: how often the letters of the last word, read back to its beginning
   and on to the word before it, are a whole word, against how often they go on;
 * words: how often a unit ends behind the last one to four words (or signs, or
-  ideographs), against how often it goes on. Digits are one class, and so are all
-  words below a relative frequency, so names share their contexts.
+  ideographs), against how often it goes on. A run of digits is one class, and so are
+  capitalised words below a relative frequency (in a second reading: all
+  capitalised words), so names share their contexts.
 
 The end of a unit is a line break, the end of a text, a closing sign or whatever
 a closing sign follows; the author who leaves out the last full stop thus ends
@@ -44,25 +45,27 @@ COMMON = 1e-4
 #: Words of context.
 ORDERS = 4
 #: Bounds of the threshold on the log-odds, and bins of the histogram it is found in.
-LOWEST, HIGHEST, BINS = -2.5, 0.0, 64
+LOWEST, HIGHEST, BINS = -2.5, -1.2, 64
 _SPAN = 8.0
 
 _CJK = "぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ"
-_TOKEN = re.compile(rf"[{_CJK}]|[\w/:+.#-]*\d[\w/:+.-]*[\w]|\d|[^\W\d_{_CJK}]\.(?=\s+[^\W\d_])|[^\W\d_{_CJK}]+(?:['’][^\W\d_{_CJK}]+)*|\n|[^\w\s]|_")
+_TOKEN = re.compile(rf"[{_CJK}]|[\w/:+.#-]*\d[\w/:+.-]*(?:[\w]|[:/+-](?=\s*\Z))|\d|[^\W\d_{_CJK}]\.(?=\s+[^\W\d_])|[^\W\d_{_CJK}]+(?:['’][^\W\d_{_CJK}]+)*|\n|[^\w\s]|_")
 _HEX = re.compile(r"(?<![0-9a-zA-Z])(?=[0-9a-f]*\d)[0-9a-f]{6,}(?![g-zG-Z])")
 _CLOSING = frozenset(".!?。！？…")
-_RARE, _START = "\x01", "\x02"
+_RARE, _START, _NAME = "\x01", "\x02", "\x03"
 
 
 def shape(token: str) -> str:
-    """The token in lower case, digits and hexadecimal runs as zeros."""
+    """The token with digits and hexadecimal runs as zeros."""
     t = _HEX.sub(lambda m: "0" * len(m.group()), token) if len(token) > 5 else token
-    return re.sub(r"\d", "0", t).lower() if any(c.isdigit() for c in t) else t.lower()
+    return re.sub(r"\d", "0", t)
 
 
 def tokens_of(text: str) -> tuple[list[str], np.ndarray]:
     """Shapes of the tokens of a text, and whether a unit ends behind each."""
     text = text.rstrip()
+    if text.isupper():
+        text = text.lower()
     raw, ends = [], []
     for m in _TOKEN.finditer(text):
         t = m.group()
@@ -113,9 +116,15 @@ def _contexts(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _class_codes(tokens: list[str], common: frozenset[str]) -> np.ndarray:
-    rare = _code(_RARE)
-    return np.fromiter((_code(t) if t in common or not _is_word(t) or t[:1] == "0" else rare for t in tokens), dtype=np.uint64, count=len(tokens))
+def _class_codes(tokens: list[str], common: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the classes of tokens, twice: rare capitalised words are one class; all capitalised words are one class."""
+    rare, names = [], []
+    for t in tokens:
+        low = re.sub("0+", "0", t).lower() if "0" in t else t.lower()
+        capital = t[:1].isupper() and t.isalpha()
+        rare.append(_code(_RARE if capital and low not in common else low))
+        names.append(_code(_NAME if capital else low))
+    return np.array(rare, dtype=np.uint64), np.array(names, dtype=np.uint64)
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
@@ -126,7 +135,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
             counts: Counter[str] = Counter()
             for text in batch["text"]:
                 if text:
-                    counts.update(tokens_of(text)[0])
+                    counts.update(t.lower() for t in tokens_of(text)[0] if t.isalpha())
             yield pd.DataFrame({"word": list(counts), "n": np.fromiter(counts.values(), dtype=np.int64, count=len(counts))})
 
     return documents.select("text").where("text is not null").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -158,8 +167,8 @@ def model_counts(documents: DataFrame, common: frozenset[str]) -> DataFrame:
                 tokens, ends = tokens_of(text)
                 if not tokens:
                     continue
-                codes = _class_codes(tokens, common)
-                for c in _contexts(codes):
+                codes, names = _class_codes(tokens, common)
+                for c in (*_contexts(codes), *(c ^ _MIX for c in _contexts(names))):
                     keys.append(c)
                     flags.append(ends)
                 before = [_code(_START), *codes[:-1].tolist()]
@@ -205,8 +214,8 @@ def _final_keys(text: str, common: frozenset[str]) -> tuple[list[int], bool] | N
         return None
     whole = len(text.rstrip()) <= 400
     last = tokens[-(ORDERS + 1) :] if len(tokens) > ORDERS or not whole else tokens
-    codes = _class_codes(last, common)
-    keys = [int(c[-1]) for c in _contexts(codes)]
+    codes, names = _class_codes(last, common)
+    keys = [int(c[-1]) for c in _contexts(codes)] + [int(c[-1] ^ _MIX) for c in _contexts(names)]
     word = _is_word(last[-1])
     if word:
         before = int(codes[-2]) if len(codes) > 1 else _code(_START)
@@ -214,42 +223,58 @@ def _final_keys(text: str, common: frozenset[str]) -> tuple[list[int], bool] | N
     return keys, word
 
 
+def _text_id() -> list:
+    return [F.xxhash64("text").alias("h1"), F.hash("text").alias("h2")]
+
+
 def end_scores(documents: DataFrame) -> DataFrame:
-    """doc_id, source, lang, score: log-odds that a unit ends where the text ends, for all texts that aren't blank."""
+    """doc_id, source, lang, score: log-odds that a unit ends where the text ends, for all texts that aren't blank.
+
+    Equal texts are judged once, and the ends of all of them are taken out of the
+    counts they are judged by, so a cut text doesn't become usual by repetition.
+    """
     common = common_words(documents)
     counts = model_counts(documents, common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                found = _final_keys(text, common)
-                if found:
-                    keys, word = found
-                    rows += [(doc, at, key) for at, key in enumerate(keys)]
-            out = pd.DataFrame(rows, columns=["doc_id", "at", "key"])
-            yield pd.DataFrame({"doc_id": out["doc_id"].astype("int64"), "at": out["at"].astype("int32"), "key": _signed(out["key"].to_numpy(dtype=np.uint64))})
-
-    asked = documents.where("text is not null and trim(text) <> ''").select("doc_id", "text").mapInPandas(run, "doc_id bigint, at int, key bigint")
-    # equal contexts meet once per task in the join's partial counts; a context that a third of all texts share is split by AQE
-    answered = asked.join(counts, "key").groupBy("doc_id").agg(*[
-        F.max(F.when(F.col("at") == i, F.struct(F.col("n").alias("n"), F.col("ends").alias("e")))).alias(f"k{i}") for i in range(ORDERS + 3)
+            seen: dict[tuple[int, int], list] = {}
+            for h1, h2, text in batch.itertuples(index=False, name=None):
+                if (h1, h2) in seen:
+                    seen[h1, h2][0] += 1
+                elif found := _final_keys(text, common):
+                    seen[h1, h2] = [1, found[0]]
+            yield pd.DataFrame({
+                "h1": np.array([k[0] for k in seen], dtype=np.int64), "h2": np.array([k[1] for k in seen], dtype=np.int32),
+                "copies": np.array([v[0] for v in seen.values()], dtype=np.int64),
+                "keys": pd.Series([_signed(np.array(v[1], dtype=np.uint64)) for v in seen.values()], dtype="object"),
+            })
+
+    filled = documents.where("text is not null and trim(text) <> ''")
+    asked = (
+        filled.select(*_text_id(), "text").mapInPandas(run, "h1 bigint, h2 int, copies bigint, keys array<bigint>")
+        .groupBy("h1", "h2").agg(F.sum("copies").alias("copies"), F.any_value("keys").alias("keys"))
+        .select("h1", "h2", "copies", F.posexplode("keys").alias("at", "key"))
+    )
+    # a context that many texts share is one row of the counts; AQE splits its texts
+    answered = asked.join(counts, "key").groupBy("h1", "h2", "copies").agg(*[
+        F.max(F.when(F.col("at") == i, F.struct(F.col("n").alias("n"), F.col("ends").alias("e")))).alias(f"k{i}") for i in range(2 * ORDERS + 3)
     ])
 
     def interpolated(first: float, parts: list[tuple[int, float]]):
         p = F.lit(first)
         for i, weight in parts:
-            # the text's own end is taken out
-            n, e = F.greatest(F.col(f"k{i}.n") - 1, F.lit(0)), F.greatest(F.col(f"k{i}.e") - 1, F.lit(0))
+            n, e = F.greatest(F.col(f"k{i}.n") - F.col("copies"), F.lit(0)), F.greatest(F.col(f"k{i}.e") - F.col("copies"), F.lit(0))
             p = F.when(F.col(f"k{i}").isNull(), p).otherwise((e + weight * p) / (n + weight))
         return p
 
-    p_end = interpolated(0.1, [(0, 2.0), (1, 2.0), (2, 2.0), (3, 2.0)])
-    p_word = F.when(F.col(f"k{ORDERS}").isNull(), F.lit(1.0)).otherwise(interpolated(0.2, [(ORDERS + 2, 4.0), (ORDERS + 1, 3.0), (ORDERS, 2.0)]))
+    p_end = F.greatest(*[interpolated(0.1, [(first + k, 2.0) for k in range(ORDERS)]) for first in (0, ORDERS)])
+    word = 2 * ORDERS
+    p_word = F.when(F.col(f"k{word}").isNull(), F.lit(1.0)).otherwise(interpolated(0.2, [(word + 2, 4.0), (word + 1, 3.0), (word, 2.0)]))
     p = F.least(F.greatest(p_end * p_word, F.lit(1e-6)), F.lit(1 - 1e-6))
-    scored = answered.select("doc_id", F.log(p / (1 - p)).alias("score"), p_end.alias("p_end"), p_word.alias("p_word"))
-    about = documents.select("doc_id", "source", F.lower(F.substring(F.coalesce("lang", F.lit("und")), 1, 2)).alias("lang"), F.coalesce(F.substring(F.rtrim("text"), -1, 1) == "�", F.lit(False)).alias("lost"))
-    return scored.join(about, "doc_id")
+    scored = answered.select("h1", "h2", F.log(p / (1 - p)).alias("score"))
+    about = filled.select("doc_id", "source", F.lower(F.substring(F.coalesce("lang", F.lit("und")), 1, 2)).alias("lang"), (F.substring(F.rtrim("text"), -1, 1) == "\ufffd").alias("lost"), *_text_id())
+    return about.join(scored, ["h1", "h2"]).drop("h1", "h2")
 
 
 def thresholds(scores: DataFrame) -> DataFrame:
