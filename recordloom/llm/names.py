@@ -50,10 +50,10 @@ NOISE = frozenset(
 PLACEHOLDERS = frozenset(("unknown", "unknown caller", "unknown number", "private", "private number", "anonymous", "restricted", "n/a", "na", "null", "none", "nan", ""))
 #: q of the q-grams, and how many of them one typing error (an exchange of neighbours at worst) destroys.
 Q, DESTROYED = 4, 5
-#: Distinct initials of neighbours from which a token is common.
-COMMON_INITIALS = 6
-#: A learned short form: rare tokens that two common ones share, and the share of the rarer one's.
-LEARN_COUNT, LEARN_SHARE = 4, 0.3
+#: Distinct neighbours from which a token is common, and how often a neighbour must occur to count.
+COMMON_NEIGHBOURS, NEIGHBOUR_FREQ = 15, 3
+#: A learned short form: rare tokens that two tokens share, their share of the shorter one's, and how far it exceeds chance.
+LEARN_COUNT, LEARN_SHARE, LEARN_LIFT = 4, 0.6, 5
 
 _QUOTED = re.compile(r'"[^"]*"|\([^)]*\)|“[^”]*”')
 _TOKEN = re.compile(r"\d+/\d+|(?<![^\W\d_])[^\W\d_]/[^\W\d_](?![^\W\d_])|[^\W\d_]+(?:['’][^\W\d_]+)*\.?")
@@ -136,16 +136,17 @@ def parsed_names(values: DataFrame) -> DataFrame:
 
 
 def vocabulary(names: DataFrame) -> DataFrame:
-    """token, freq (names that hold it), contacts (of them in the address book), common (does it stand beside many different ones?)."""
-    rest = F.filter(F.concat(F.col("tokens"), F.col("cuts")), lambda x: x != F.col("token"))
-    each = names.select("contact_id", "tokens", "cuts", F.explode("tokens").alias("token")).withColumn("beside", F.transform(rest, lambda x: F.substring(x, 1, 1)))
-    counted = each.groupBy("token").agg(
-        F.count(F.lit(1)).alias("freq"),
-        F.count("contact_id").alias("contacts"),
-        F.flatten(F.collect_set(F.when(F.col("contact_id").isNotNull(), F.array_sort("beside")))).alias("initials"),
-    )
-    # at most one entry for each set of initials of neighbours: bounded by the alphabet, not by the names
-    return counted.select("token", "freq", "contacts", (F.size(F.array_distinct("initials")) >= COMMON_INITIALS).alias("common"))
+    """token, freq (names that hold it), contacts (of them in the address book), common (does it stand beside many different ones?).
+
+    Only neighbours that occur at least ``NEIGHBOUR_FREQ`` times count, so the errors in
+    the other part of an often written name don't make it common.
+    """
+    each = names.select("contact_id", "tokens", F.explode("tokens").alias("token"))
+    counted = each.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.count("contact_id").alias("contacts"))
+    beside = each.select("token", F.explode(F.array_remove("tokens", F.col("token"))).alias("neighbour")).distinct()
+    known = counted.where(F.col("freq") >= NEIGHBOUR_FREQ).select(F.col("token").alias("neighbour"))
+    company = beside.join(known, "neighbour").groupBy("token").agg(F.count(F.lit(1)).alias("neighbours"))
+    return counted.join(company, "token", "left").select("token", "freq", "contacts", (F.coalesce("neighbours", F.lit(0)) >= COMMON_NEIGHBOURS).alias("common"))
 
 
 def similar_tokens(words: DataFrame) -> DataFrame:
@@ -175,27 +176,33 @@ def similar_tokens(words: DataFrame) -> DataFrame:
 def readings(names: DataFrame, nicknames: DataFrame) -> DataFrame:
     """token, reading (the token it is read as), common, freq, longs (what it may be short for)."""
     words = cut(vocabulary(names))
-    best = similar_tokens(words).groupBy("token").agg(F.max_by("other", F.struct("f2", "other")).alias("reading"))
-    # a token that is frequent itself is no error of another one
+    given = nicknames.select(F.lower("nick").alias("reading"), F.lower("given").alias("long")).where("reading is not null and long is not null").distinct()
+    spelt = given.select(F.explode(F.array("reading", "long")).alias("token")).distinct()
+    best = similar_tokens(words).groupBy("token").agg(F.max_by("other", F.struct("f2", "other")).alias("reading")).join(spelt, "token", "left_anti")
+    # a token that is frequent itself or known as a given name is no error of another one
     read = words.join(best, "token", "left").select("token", F.when((F.col("common")) | F.col("reading").isNull(), F.col("token")).otherwise(F.col("reading")).alias("reading"))
     about = words.select(F.col("token").alias("reading"), "common", "freq")
-    given = nicknames.select(F.lower("nick").alias("reading"), F.lower("given").alias("long")).where("reading is not null and long is not null").distinct()
     return read.join(about, "reading").join(given.groupBy("reading").agg(F.collect_set("long").alias("longs")), "reading", "left")
 
 
 def learned_short_forms(tokens: DataFrame) -> DataFrame:
-    """reading, long: common tokens that stand beside the same rare tokens; ``tokens``: val, reading, common.
+    """reading, long: tokens that nearly always stand beside rare tokens that a certain common one stands beside too; ``tokens``: val, reading, common.
 
-    Pairs are formed per rare token among the common tokens beside it, of which
-    there are as many as different given names of one surname.
+    Most names with "Sandy" and a rare surname have a counterpart with "Alexander" and
+    the same surname, far more than names have a counterpart with "Alexander". Pairs
+    are formed per rare token among the tokens beside it, of which there are as many
+    as different given names of one surname.
     """
     rare = tokens.where("not common").select("val", F.col("reading").alias("anchor")).distinct()
-    beside = tokens.where("common").select("val", "reading").join(rare, "val").select("anchor", "reading").distinct()
-    alone = beside.groupBy("reading").agg(F.count(F.lit(1)).alias("n"))
-    other = beside.select("anchor", F.col("reading").alias("long"))
-    pairs = beside.join(other, "anchor").where("reading <> long").groupBy("reading", "long").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LEARN_COUNT)
-    ranked = pairs.join(alone, "reading").where(F.col("c") >= LEARN_SHARE * F.col("n"))
-    return ranked.select("reading", "long")
+    beside = tokens.select("val", "reading", "common").join(rare, "val").where("reading <> anchor").select("anchor", "reading", "common").distinct()
+    alone = cut(beside.groupBy("reading").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEARN_COUNT))
+    anchors = rare.select("anchor").distinct().count()
+    frequent = beside.join(alone.select("reading"), "reading", "left_semi")
+    other = frequent.where("common").select("anchor", F.col("reading").alias("long"))
+    pairs = frequent.join(other, "anchor").where("reading <> long").groupBy("reading", "long").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LEARN_COUNT)
+    base = alone.select(F.col("reading").alias("long"), F.col("n").alias("n_long"))
+    share = F.col("c") / F.col("n")
+    return pairs.join(alone, "reading").join(base, "long").where((share >= LEARN_SHARE) & (share >= LEARN_LIFT * F.col("n_long") / F.lit(max(1, anchors)))).select("reading", "long")
 
 
 def _resolve(rows: list[tuple]) -> list[tuple]:
@@ -322,7 +329,40 @@ def name_links(values: DataFrame, nicknames: DataFrame) -> DataFrame:
     # a contact of two blocks belongs to the smaller entity; a name takes the entity it agrees with best
     linked = cut(blocks.mapInPandas(resolve, _LINK).groupBy("val").agg(F.min_by("contact_id", F.struct(-F.col("score"), "contact_id")).alias("contact_id"), F.max("score").alias("score")))
     short = _short_surnames(whole, linked)
-    return linked.select("val", "contact_id").unionByName(short)
+    found = linked.select("val", "contact_id").unionByName(short)
+    return found.unionByName(_distant_surnames(whole, linked, found))
+
+
+def _distant_surnames(whole: DataFrame, linked: DataFrame, found: DataFrame) -> DataFrame:
+    """val, contact_id of names whose rare token is two errors away from that of an entity with the same common token.
+
+    Here the common token helps to select: a q-gram of three letters has to be shared
+    beside it. Two errors leave one third of a token of nine letters whole.
+    """
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.col(c).substr(i, F.lit(3))))
+    spread = F.array_distinct(F.concat(F.array("b.reading"), F.col("b.longs")))
+
+    def pairs_of(df: DataFrame, *more: str) -> DataFrame:
+        rare = df.select(*more, F.explode(F.filter("all", lambda t: ~t["common"])).alias("r"), F.filter("all", lambda t: t["common"]).alias("beside"))
+        wide = rare.select(*more, F.col("r.reading").alias("rare"), F.explode("beside").alias("b"))
+        return wide.select(*more, "rare", F.explode(spread).alias("other")).where(F.length("rare") >= 6).distinct()
+
+    book = pairs_of(whole.join(linked.where("score >= 2").select("val", F.col("contact_id").alias("entity")), "val").where("contact_id is not null"), "entity")
+    asked = pairs_of(whole.where("contact_id is null").join(found.select("val"), "val", "left_anti"), "val").join(book.select("rare").distinct(), "rare", "left_anti")
+    left = asked.withColumnRenamed("rare", "written").withColumn("gram", F.explode(grams("written")))
+    right = book.withColumn("gram", F.explode(grams("rare")))
+    close_ = (F.abs(F.length("written") - F.length("rare")) <= 2) & (F.levenshtein("written", "rare", 3) >= 0)
+    pairs = left.join(right, ["other", "gram"]).where(close_).select("val", "entity", "written", "rare").distinct()
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.assign(d=[_distance(x, y, 2) for x, y in zip(batch["written"], batch["rare"])])
+            yield batch[batch["d"] <= 2][["val", "entity", "d"]].astype({"d": "int32"})
+
+    near = pairs.select("val", "entity", "written", "rare").mapInPandas(verify, "val string, entity bigint, d int")
+    best = near.groupBy("val", "entity").agg(F.min("d").alias("d")).groupBy("val").agg(F.min_by("entity", F.struct("d", "entity")).alias("contact_id"), F.min("d").alias("d"), F.collect_set(F.struct("d", "entity")).alias("all"))
+    only = F.size(F.filter("all", lambda x: x["d"] == F.col("d"))) == 1
+    return best.where(only).select("val", "contact_id")
 
 
 def _short_surnames(whole: DataFrame, linked: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import bins, bpe, copies, history, survivor, truncation
+from recordloom.llm import bins, bpe, copies, history, names, survivor, truncation
 from recordloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return history.found(table(spark, sf, "calls"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that write the name of a contact's person or organisation otherwise than its first contact does."""
+    return names.variant_records(table(spark, sf, "contacts"), table(spark, sf, "imports"), table(spark, sf, "unprocessed"), table(spark, sf, "nicknames"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Records of the call dump with copies, and how many."""
     return copies.found(table(spark, sf, "call_dump"))
@@ -49,7 +54,7 @@ def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Query by name."""
-    return {f.__name__: f for f in (p1_found, p6_found, p7_found, p8_ids, p9_containers, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p4_found, p6_found, p7_found, p8_ids, p9_containers, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
