@@ -7,8 +7,8 @@ the cheapest edits (a quote inserted or deleted, a delimiter inserted or deleted
 an attribute renamed) that make it a row of six fields; the edits are the reason
 why it was refused.
 
-Zero-cost lines are recognised by JVM expressions, so Python sees only the
-refused ones.
+Zero-cost lines are recognised by one regular expression, so the program runs over
+the refused ones only.
 
 Defined cases: a null, empty or blank line has no field and is refused as
 ``columns``; an unknown ``form`` is parsed as csv unless the line starts with
@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html import unescape
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 #: The fields of a call in file order.
 CALL_FIELDS = ("number", "duration", "date", "type", "readable_date", "contact_name")
@@ -35,64 +35,61 @@ QUOTE_EDIT, DELIMITER_EDIT = 1, 3
 MAX_ATTRIBUTES = 200
 
 _CSV_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
-_CSV_LINE = "^" + ",".join([f"({_CSV_FIELD})"] * 6) + "$"
-_XML_ATTR = r"""\s+([A-Za-z_][\w.-]*)\s*=\s*("[^"]*"|'[^']*')"""
-_XML_LINE = rf"""^\s*<call(?:{_XML_ATTR})*\s*(?:/>|>\s*</call>)\s*$"""
+_CSV_LINE = re.compile(",".join([f"({_CSV_FIELD})"] * 6))
+_XML_ATTR = re.compile(r"""\s+([A-Za-z_][\w.-]*)\s*=\s*("[^"]*"|'[^']*')""")
+_XML_LINE = re.compile(rf"""\s*<call(?:{_XML_ATTR.pattern})*\s*(?:/>|>\s*</call>)\s*""")
 _READABLE = re.compile(r"^\s*[A-Z][a-z]{2,8} \d{1,2}, \d{4}( \d{1,2}:\d{2}(:\d{2})?( [AP]M)?)?\s*$")
 _PACKED_NAME = re.compile(r"^[^,]*[^,\s], \S[^,]*$")
 
 
-def _whole(column: Column, low: int, high: int) -> Column:
-    """Is the text a whole number of the range? Never null."""
-    plain = column.rlike(r"^[+-]?[0-9]+$")
-    number = F.when(plain, F.regexp_replace(column, r"^\+", "")).try_cast("decimal(38,0)")
-    return F.coalesce(plain & number.between(F.lit(low), F.lit(high).cast("decimal(38,0)")), F.lit(False))
+def zero_cost(form: str | None, line: str | None) -> tuple[str, ...] | None:
+    """The six values in file order of a line that the grammar accepts without an edit, else None."""
+    if line is None:
+        return None
+    if _is_xml(form, line):
+        if not _XML_LINE.fullmatch(line):
+            return None
+        found = _XML_ATTR.findall(line)
+        values = {name: value[1:-1] for name, value in found}
+        if len(found) != 6 or len(values) != 6 or not all(f in values for f in CALL_FIELDS):
+            return None
+        return tuple(unescape(values[f]) if "&" in values[f] else values[f] for f in CALL_FIELDS)
+    m = _CSV_LINE.fullmatch(line)
+    return tuple(v[1:-1].replace('""', '"') if v[:1] == '"' else v for v in m.groups()) if m else None
 
 
-def with_parse(lines: DataFrame) -> DataFrame:
-    """Adds ``parsed`` (struct of the six texts, null where an edit is needed) and ``typed`` (are all values valid?).
+def bad_values(duration: str | None, date: str | None, kind: str | None) -> list[str]:
+    """The names of the values that aren't valid."""
 
-    All of it is JVM expressions.
-    """
-    raw, form = F.col("raw_line"), F.col("form")
-    is_xml = F.coalesce((form == "xml") | ((form != "csv") & raw.startswith("<")), F.coalesce(raw.startswith("<"), F.lit(False)) & form.isNull())
-    names = F.regexp_extract_all(raw, F.lit(_XML_ATTR), F.lit(1))
-    values = F.regexp_extract_all(raw, F.lit(_XML_ATTR), F.lit(2))
-    xml_ok = raw.rlike(_XML_LINE) & (F.array_sort(names) == F.array(*[F.lit(x) for x in sorted(CALL_FIELDS)]))
-
-    def unescape(c: Column) -> Column:
-        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#10;", "\n"), ("&amp;", "&")):
-            c = F.replace(c, F.lit(entity), F.lit(char))
-        return c
-
-    def xml_field(name: str) -> Column:
-        text = F.try_element_at(values, F.array_position(names, name).cast("int"))
-        return unescape(text.substr(F.lit(2), F.length(text) - 2))
-
-    def csv_field(i: int) -> Column:
-        text = F.regexp_extract(raw, _CSV_LINE, i + 1)
-        inner = F.replace(text.substr(F.lit(2), F.length(text) - 2), F.lit('""'), F.lit('"'))
-        return F.when(text.startswith('"'), inner).otherwise(text)
-
-    csv_ok = raw.rlike(_CSV_LINE)
-    xml_struct = F.struct(*[xml_field(x).alias(x) for x in CALL_FIELDS])
-    csv_struct = F.struct(*[csv_field(i).alias(x) for i, x in enumerate(CALL_FIELDS)])
-    parsed = F.when(is_xml & xml_ok, xml_struct).when(~is_xml & csv_ok, csv_struct)
-    lines = lines.withColumn("parsed", parsed).withColumn("is_xml", is_xml)
-    p = F.col("parsed")
-    return lines.withColumn("bad_values", F.when(p.isNotNull(), F.filter(F.array(
-        F.when(~_whole(p["duration"], 0, MAX_DURATION), F.lit("duration")),
-        F.when(~_whole(p["date"], 1, MAX_DATE), F.lit("date")),
-        F.when(~F.coalesce(p["type"].isin("1", "2", "3", "4"), F.lit(False)), F.lit("type")),
-    ), lambda x: x.isNotNull())))
+    def whole(text: str | None, low: int, high: int) -> bool:
+        return bool(text) and re.fullmatch(r"[+-]?[0-9]+", text) is not None and low <= int(text) <= high
+
+    return [
+        *([] if whole(duration, 0, MAX_DURATION) else ["duration"]),
+        *([] if whole(date, 1, MAX_DATE) else ["date"]),
+        *([] if kind in ("1", "2", "3", "4") else ["type"]),
+    ]
+
+
+def _is_xml(form: str | None, line: str) -> bool:
+    return form == "xml" or (form != "csv" and line.startswith("<"))
 
 
 def valid_calls(lines: DataFrame) -> DataFrame:
     """The zero-cost, type-valid lines as typed calls: line_id, device_id, file_name and the six fields."""
-    p = F.col("parsed")
-    return with_parse(lines).where(F.size("bad_values") == 0).select(
-        "line_id", "device_id", "file_name", p["number"].alias("number"), p["duration"].cast("int").alias("duration"), p["date"].cast("bigint").alias("date"),
-        p["type"].cast("int").alias("type"), p["readable_date"].alias("readable_date"), p["contact_name"].alias("contact_name"))
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for line, device, file, form, raw in batch.itertuples(index=False, name=None):
+                v = zero_cost(form, raw)
+                if v and not bad_values(v[1], v[2], v[3]):
+                    rows.append((line, device, file, v[0], int(v[1]), int(v[2]), int(v[3]), v[4], v[5]))
+            out = pd.DataFrame(rows, columns=["line_id", "device_id", "file_name", *CALL_FIELDS])
+            yield out.astype({"line_id": "int64", "duration": "int32", "date": "int64", "type": "int32"}).assign(device_id=out["device_id"].astype("Int32"))
+
+    schema = "line_id bigint, device_id int, file_name string, number string, duration int, date bigint, type int, readable_date string, contact_name string"
+    return lines.select("line_id", "device_id", "file_name", "form", "raw_line").mapInPandas(load, schema)
 
 
 def _csv_edits(line: str) -> tuple[int, int]:
@@ -243,7 +240,7 @@ def line_reason(form: str | None, line: str | None) -> str:
     """``quoting``, ``columns`` or an empty text for a line with right quotes and columns."""
     if line is None or not line.strip():
         return "columns"
-    if form == "xml" or (form != "csv" and line.startswith("<")):
+    if _is_xml(form, line):
         names, edits = _xml_edits(line)
         if edits:
             return "quoting"
@@ -256,34 +253,24 @@ def line_reason(form: str | None, line: str | None) -> str:
     return ""
 
 
-def _value_reasons(form: str | None, line: str) -> list[str]:
-    """Bad values of a line whose columns are right though the element isn't closed."""
-    values = dict((n, v[1:-1]) for n, v in re.findall(_XML_ATTR, line))
-
-    def whole(text: str | None, low: int, high: int) -> bool:
-        return bool(text and re.fullmatch(r"[+-]?[0-9]+", text)) and low <= int(text) <= high
-
-    return [
-        *([] if whole(values.get("duration"), 0, MAX_DURATION) else ["duration"]),
-        *([] if whole(values.get("date"), 1, MAX_DATE) else ["date"]),
-        *([] if values.get("type") in ("1", "2", "3", "4") else ["type"]),
-    ]
-
-
 def refused_lines(lines: DataFrame) -> DataFrame:
     """One row per refused line and reason: line_id, reason."""
-    parsed = with_parse(lines.select("line_id", "form", "raw_line"))
-    values = parsed.where(F.size("bad_values") > 0).select("line_id", F.explode("bad_values").alias("reason"))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, reasons = [], []
             for i, form, raw in zip(batch["line_id"], batch["form"], batch["raw_line"]):
-                reason = line_reason(form, raw)
-                for r in [reason] if reason else _value_reasons(form, raw):
+                v = zero_cost(form, raw)
+                if v:
+                    found = bad_values(v[1], v[2], v[3])
+                elif reason := line_reason(form, raw):
+                    found = [reason]
+                else:  # all columns are there, but the element isn't closed
+                    values = {name: value[1:-1] for name, value in _XML_ATTR.findall(raw)}
+                    found = bad_values(*[values.get(f) for f in ("duration", "date", "type")])
+                for r in found:
                     ids.append(i)
                     reasons.append(r)
             yield pd.DataFrame({"line_id": pd.Series(ids, dtype="int64"), "reason": pd.Series(reasons, dtype="object")})
 
-    edited = parsed.where(F.col("parsed").isNull()).select("line_id", "form", "raw_line").mapInPandas(judge, "line_id bigint, reason string")
-    return values.unionByName(edited)
+    return lines.select("line_id", "form", "raw_line").mapInPandas(judge, "line_id bigint, reason string")
