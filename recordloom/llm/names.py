@@ -50,8 +50,10 @@ NOISE = frozenset(
 PLACEHOLDERS = frozenset(("unknown", "unknown caller", "unknown number", "private", "private number", "anonymous", "restricted", "n/a", "na", "null", "none", "nan", ""))
 #: q of the q-grams, and how many of them one typing error (an exchange of neighbours at worst) destroys.
 Q, DESTROYED = 4, 5
-#: Distinct neighbours from which a token is common, and how often a neighbour must occur to count.
-COMMON_NEIGHBOURS, NEIGHBOUR_FREQ = 15, 3
+#: A reading is common from so many times the median number of different neighbours, and from so many at least; neighbours seen less than NEIGHBOUR_FREQ times don't count.
+COMMON_DEGREES, LEAST_COMMON, NEIGHBOUR_FREQ = 4, 12, 3
+#: Up to how many names a token is read as any more frequent one it resembles, and how many times more frequent the other must be beyond.
+SELDOM, MEANT = 3, 5
 #: A learned short form: rare tokens that two tokens share, their share of the shorter one's, and how far it exceeds chance.
 LEARN_COUNT, LEARN_SHARE, LEARN_LIFT = 4, 0.6, 5
 
@@ -136,21 +138,13 @@ def parsed_names(values: DataFrame) -> DataFrame:
 
 
 def vocabulary(names: DataFrame) -> DataFrame:
-    """token, freq (names that hold it), contacts (of them in the address book), common (does it stand beside many different ones?).
-
-    Only neighbours that occur at least ``NEIGHBOUR_FREQ`` times count, so the errors in
-    the other part of an often written name don't make it common.
-    """
-    each = names.select("contact_id", "tokens", F.explode("tokens").alias("token"))
-    counted = each.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.count("contact_id").alias("contacts"))
-    beside = each.select("token", F.explode(F.array_remove("tokens", F.col("token"))).alias("neighbour")).distinct()
-    known = counted.where(F.col("freq") >= NEIGHBOUR_FREQ).select(F.col("token").alias("neighbour"))
-    company = beside.join(known, "neighbour").groupBy("token").agg(F.count(F.lit(1)).alias("neighbours"))
-    return counted.join(company, "token", "left").select("token", "freq", "contacts", (F.coalesce("neighbours", F.lit(0)) >= COMMON_NEIGHBOURS).alias("common"))
+    """token, freq (distinct names that hold it), contacts (of them in the address book)."""
+    each = names.select("contact_id", F.explode("tokens").alias("token"))
+    return each.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.count("contact_id").alias("contacts"))
 
 
 def similar_tokens(words: DataFrame) -> DataFrame:
-    """token, other: pairs of tokens that a typing error separates, the more frequent one as ``other``."""
+    """token, other, f2 (the frequency of the other), d (their distance): pairs that typing errors separate, the more frequent one as ``other``."""
     long_enough = words.where(F.length("token") >= 4).select("token", "freq", "contacts", F.concat(F.lit("^"), "token", F.lit("$")).alias("padded"))
     grams = long_enough.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("padded") - (Q - 1)), lambda i: F.col("padded").substr(i, F.lit(Q))))))
     weights = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
@@ -162,27 +156,43 @@ def similar_tokens(words: DataFrame) -> DataFrame:
     )
     a = prefixes.select(F.col("gram"), F.col("token"), F.col("freq").alias("f1"), F.col("contacts").alias("c1"))
     b = prefixes.select(F.col("gram"), F.col("token").alias("other"), F.col("freq").alias("f2"), F.col("contacts").alias("c2"))
-    more = (F.col("f2") > F.col("f1")) | ((F.col("f2") == F.col("f1")) & ((F.col("c2") > F.col("c1")) | ((F.col("c2") == F.col("c1")) & (F.col("other") < F.col("token")))))
+    ahead = (F.col("f2") > F.col("f1")) | ((F.col("f2") == F.col("f1")) & ((F.col("c2") > F.col("c1")) | ((F.col("c2") == F.col("c1")) & (F.col("other") < F.col("token")))))
+    # what is written often is meant, unless the other is written far more often
+    more = ahead & ((F.col("f1") <= SELDOM) | (F.col("f2") >= MEANT * F.col("f1")))
     near = F.abs(F.length("token") - F.length("other")) <= 2
-    pairs = a.join(b, "gram").where(more & near & (F.levenshtein("token", "other", 2) >= 0)).select("token", "other", "f2").distinct()
+    pairs = a.join(b, "gram").where(more & near & (F.levenshtein("token", "other", 2) >= 0)).select("token", "other", "f1", "f2").distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[[close(x, y) for x, y in zip(batch["token"], batch["other"])]]
+            d = [_distance(x, y, 2) for x, y in zip(batch["token"], batch["other"])]
+            far = [x == 2 and not (close(a, b) and f <= SELDOM and g >= MEANT * f) for x, a, b, f, g in zip(d, batch["token"], batch["other"], batch["f1"], batch["f2"])]
+            batch = batch.assign(d=d)
+            yield batch[[x <= 2 and not y for x, y in zip(d, far)]][["token", "other", "f2", "d"]].astype({"d": "int32"})
 
-    return pairs.mapInPandas(verify, "token string, other string, f2 bigint")
+    return pairs.mapInPandas(verify, "token string, other string, f2 bigint, d int")
 
 
 def readings(names: DataFrame, nicknames: DataFrame) -> DataFrame:
-    """token, reading (the token it is read as), common, freq, longs (what it may be short for)."""
+    """token, reading (the token it is read as), common, freq, longs (what it may be short for).
+
+    A reading is common if it stands beside far more different ones than the median
+    reading of the address book does: a given name beside many surnames, while a
+    surname stands beside the given names of its bearers only.
+    """
     words = cut(vocabulary(names))
     given = nicknames.select(F.lower("nick").alias("reading"), F.lower("given").alias("long")).where("reading is not null and long is not null").distinct()
     spelt = given.select(F.explode(F.array("reading", "long")).alias("token")).distinct()
-    best = similar_tokens(words).groupBy("token").agg(F.max_by("other", F.struct("f2", "other")).alias("reading")).join(spelt, "token", "left_anti")
-    # a token that is frequent itself or known as a given name is no error of another one
-    read = words.join(best, "token", "left").select("token", F.when((F.col("common")) | F.col("reading").isNull(), F.col("token")).otherwise(F.col("reading")).alias("reading"))
-    about = words.select(F.col("token").alias("reading"), "common", "freq")
-    return read.join(about, "reading").join(given.groupBy("reading").agg(F.collect_set("long").alias("longs")), "reading", "left")
+    best = similar_tokens(words).groupBy("token").agg(F.max_by("other", F.struct(-F.col("d"), "f2", "other")).alias("reading")).join(spelt, "token", "left_anti")
+    read = cut(words.join(best, "token", "left").select("token", F.coalesce("reading", "token").alias("reading"), "freq", "contacts"))
+    about = read.groupBy("reading").agg(F.sum("freq").alias("freq"), F.sum("contacts").alias("contacts"))
+    seen = names.select("val", F.explode("tokens").alias("token")).join(read.select("token", "reading"), "token").select("val", "reading").distinct()
+    beside = seen.join(seen.select("val", F.col("reading").alias("neighbour")), "val").where("reading <> neighbour").select("reading", "neighbour").distinct()
+    known = about.where(F.col("freq") >= NEIGHBOUR_FREQ).select(F.col("reading").alias("neighbour"))
+    degrees = beside.join(known, "neighbour").groupBy("reading").agg(F.count(F.lit(1)).alias("degree"))
+    about = cut(about.join(degrees, "reading", "left").withColumn("degree", F.coalesce("degree", F.lit(0))))
+    usual = about.where((F.col("contacts") > 0) & (F.col("freq") >= NEIGHBOUR_FREQ)).agg(F.percentile_approx("degree", 0.5, 1000)).first()[0] or 0
+    flagged = about.select("reading", "freq", (F.col("degree") >= max(LEAST_COMMON, COMMON_DEGREES * usual)).alias("common"))
+    return read.select("token", "reading").join(flagged, "reading").join(given.groupBy("reading").agg(F.collect_set("long").alias("longs")), "reading", "left")
 
 
 def learned_short_forms(tokens: DataFrame) -> DataFrame:
