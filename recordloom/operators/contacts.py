@@ -31,7 +31,7 @@ def unprocessed_names(records: DataFrame, contacts: DataFrame, trim: bool = True
     Distinct names are made before the array, so a hot number costs its distinct names.
     """
     pieces = F.split("contact_name", ",")
-    pieces = F.transform(pieces, F.trim) if trim else pieces
+    pieces = F.transform(pieces, lambda x: F.trim(x)) if trim else pieces
     flat = records.select(normalize_phone("number").alias("number_key"), F.explode(pieces).alias("name")).where("number_key <> '' and name is not null").distinct()
     unknown = flat.join(number_lookup(contacts).select("number_key"), "number_key", "left_anti")
     named = unknown.withColumn("real", ~is_unknown("name"))
@@ -43,7 +43,7 @@ def unprocessed_names(records: DataFrame, contacts: DataFrame, trim: bool = True
 def paired_addresses(records: DataFrame, address: str = "address", names: str = "names", trim: bool = True) -> DataFrame:
     """id, pos, address, name of messages to several addresses (split at ``~``) with as many names (split at commas)."""
     a, n = F.split(address, "~"), F.split(names, ",")
-    n = F.transform(n, F.trim) if trim else n
+    n = F.transform(n, lambda x: F.trim(x)) if trim else n
     zipped = F.arrays_zip(a.alias("address"), n.alias("name"))
     return records.where(F.size(a) == F.size(n)).select("id", F.posexplode(zipped).alias("pos", "pair")).select("id", "pos", F.col("pair.address").alias("address"), F.col("pair.name").alias("name"))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.operators import instants, lineparse, packed
+from recordloom.plans import analysis, records, store
 from recordloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +33,20 @@ def p5_valid(spark: SparkSession, sf: str) -> DataFrame:
     return lineparse.valid_calls(table(spark, sf, "call_lines"))
 
 
+_PLANS = (records, store, analysis)
+
+
 def queries() -> dict[str, Query]:
     """Query by name."""
-    return {f.__name__: f for f in (p2_found, p3_found, p5_found, p5_valid)}
+    out = {f.__name__: f for f in (p2_found, p3_found, p5_found, p5_valid)}
+    for plan in _PLANS:
+        out |= plan.query.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return {}
+    out: dict[str, str] = {}
+    for plan in _PLANS:
+        out |= plan.query.sql
+    return out
