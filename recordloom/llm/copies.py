@@ -38,7 +38,7 @@ def canonical_key(text: Column) -> Column:
     text = F.translate(text, "\x1f", " ")
     names = F.transform(F.regexp_extract_all(text, F.lit(_FIELD), F.lit(1)), F.lower)
     values = F.regexp_extract_all(text, F.lit(_FIELD), F.lit(2))
-    fields = [F.coalesce(F.try_element_at(values, F.array_position(names, f).cast("int")), F.lit("")) for f in KEY_FIELDS]
+    fields = [F.coalesce(F.try_element_at(values, F.nullif(F.array_position(names, f).cast("int"), F.lit(0))), F.lit("")) for f in KEY_FIELDS]
     return bare(F.when(F.size(names) > 0, F.concat_ws("\x1f", *fields)).otherwise(text))
 
 

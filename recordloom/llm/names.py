@@ -145,7 +145,7 @@ def vocabulary(names: DataFrame) -> DataFrame:
 
 def similar_tokens(words: DataFrame) -> DataFrame:
     """token, other, f2 (the frequency of the other), d (their distance): pairs that typing errors separate, the more frequent one as ``other``."""
-    long_enough = words.where(F.length("token") >= 4).select("token", "freq", "contacts", F.concat(F.lit("^"), "token", F.lit("$")).alias("padded"))
+    long_enough = words.where(F.length("token") >= 4).select("token", "freq", "contacts", F.concat(F.lit("^" * (Q - 1)), "token", F.lit("$" * (Q - 1))).alias("padded"))
     grams = long_enough.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("padded") - (Q - 1)), lambda i: F.col("padded").substr(i, F.lit(Q))))))
     weights = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     # of a token's grams, the rarest: one error destroys at most DESTROYED, so one of the first DESTROYED + 1 survives
