@@ -31,6 +31,8 @@ CALL_FIELDS = ("number", "duration", "date", "type", "readable_date", "contact_n
 MAX_DURATION, MAX_DATE = 2**31 - 1, 2**63 - 1
 
 QUOTE_EDIT, DELIMITER_EDIT = 1, 3
+#: Delimiters of other dialects.
+OTHER_DELIMITERS = ";|\t"
 #: A line with more signs of equality is no call of six attributes; its quotes are only counted.
 MAX_ATTRIBUTES = 200
 
@@ -92,7 +94,7 @@ def valid_calls(lines: DataFrame) -> DataFrame:
     return lines.select("line_id", "device_id", "file_name", "form", "raw_line").mapInPandas(load, schema)
 
 
-def _csv_edits(line: str) -> tuple[int, int]:
+def _csv_edits(line: str, delimiter: str = ",") -> tuple[int, int]:
     """(fields, quote edits) of the cheapest reading of a csv line when only quotes may be edited.
 
     States: 0 at the start of a field, 1 in a bare field, 2 in a quoted field,
@@ -117,7 +119,7 @@ def _csv_edits(line: str) -> tuple[int, int]:
             put(1, bare, QUOTE_EDIT)          # deleted
             put(1, at0, QUOTE_EDIT)
             put(2, quoted, QUOTE_EDIT)        # deleted or doubled by an insertion
-        elif ch == ",":
+        elif ch == delimiter:
             put(0, at0, 0, 1)
             put(0, bare, 0, 1)
             put(0, closed, 0, 1)
@@ -247,7 +249,8 @@ def line_reason(form: str | None, line: str | None) -> str:
         return "" if sorted(names) == sorted(CALL_FIELDS) else "columns"
     fields, edits = _csv_edits(line)
     if edits:
-        return "quoting"
+        # a line whose quotes are in order under another delimiter has the wrong delimiter
+        return "columns" if any(_csv_edits(line, d) == (6, 0) for d in OTHER_DELIMITERS) else "quoting"
     if fields != 6:
         return "quoting" if _missing_pair(_csv_pieces(line)) else "columns"
     return ""

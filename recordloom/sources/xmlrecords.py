@@ -40,7 +40,7 @@ MMS_SCHEMA = StructType([*_attributes(MMS), StructField("parts", StructType([Str
 
 
 def _read(spark: SparkSession, path: str, tag: str, schema: StructType) -> DataFrame:
-    reader = spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").option("nullValue", "\x00")
+    reader = spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").option("nullValue", "\x00").option("ignoreSurroundingSpaces", "false")
     any_value = F.coalesce(*[F.col(f.name).cast("string") if isinstance(f.dataType, StringType) else F.when(F.col(f.name).isNotNull(), F.lit("")) for f in schema.fields])
     return reader.schema(schema).load(path).where(any_value.isNotNull())  # a record that isn't XML has no values
 
