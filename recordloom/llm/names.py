@@ -250,11 +250,16 @@ def _resolve(rows: list[tuple]) -> list[tuple]:
         if a[6] and b[6] and set(a[6]) & set(b[6]):
             return 0.8
         full_a, full_b = a[2] or a[6], b[2] or b[6]
+
+        def fits(initial: str, other: tuple) -> float:
+            """An initial stands for a given name rather than for its short form."""
+            heads = [(y[0], not longs) for y, longs in zip(other[2], other[4])] + [(y[0], True) for y in other[6]]
+            return max((0.6 if whole else 0.5 for h, whole in heads if h == initial), default=0.0)
+
         if not full_a and a[5]:
-            heads = {y[0] for y in full_b} if full_b else set(b[5])
-            return 0.6 if a[5][0] in heads else 0.0
+            return fits(a[5][0], b) if full_b else (0.6 if a[5][0] in b[5] else 0.0)
         if not full_b and b[5]:
-            return 0.6 if b[5][0] in {x[0] for x in full_a} else 0.0
+            return fits(b[5][0], a)
         return 0.0 if full_a or full_b else 0.5
 
     parent = list(range(len(book)))
@@ -271,7 +276,8 @@ def _resolve(rows: list[tuple]) -> list[tuple]:
             if match(book[i], book[j]) >= 0.75:
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     for i in (i for i in range(len(book)) if i not in set(full)):
-        fits = {root(j) for j in full if match(book[i], book[j]) > 0}
+        agreed = {j: match(book[i], book[j]) for j in full}
+        fits = {root(j) for j, s in agreed.items() if s and s >= max(agreed.values()) - 0.04}
         if len(fits) == 1:
             parent[i] = fits.pop()
         elif not fits:
