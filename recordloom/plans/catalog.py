@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.operators import instants, lineparse, packed
-from recordloom.plans import analysis, more, records, store, streams
+from recordloom.plans import analysis, lines_sql, more, records, store, streams
 from recordloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    out: dict[str, str] = {}
+    out = {"p5_valid": lines_sql.valid_lines()}
     for plan in _PLANS:
         out |= plan.query.sql
     return out

@@ -167,3 +167,25 @@ def test_stream_import_is_idempotent(spark, tmp_path):
         s = imports.stream_table(spark, f"{tmp_path}/in", calls.schema, 1)
         imports.import_stream(s, f"{tmp_path}/store", f"{tmp_path}/check").awaitTermination()
         assert spark.read.parquet(f"{tmp_path}/store").count() == 3
+
+
+def test_attachment_scan(spark, tmp_path):
+    import hashlib
+
+    from recordloom.sources import attachments as scan
+
+    whole, broken = hashlib.sha256(b"abc").hexdigest(), "ff" + "0" * 62
+    for digest, name, content in ((whole, None, b"abc"), (broken, "x.png", b"zz")):
+        folder = tmp_path / "attachments" / digest[:2]
+        folder.mkdir(parents=True, exist_ok=True)
+        if name:
+            (folder / digest).mkdir()
+            (folder / digest / name).write_bytes(content)
+            (folder / digest / "metadata.yaml").write_text("a: 1")
+        else:
+            (folder / digest).write_bytes(content)
+    files = scan.scan(spark, f"file://{tmp_path}")
+    assert rows(scan.layout(files)) == sorted([(whole, "legacy"), (broken, "new")])
+    assert rows(scan.faults(files)) == [(broken, "corrupted")]
+    moves = scan.migration(files, spark.createDataFrame([(whole, "png")], "hash string, extension string"))
+    assert rows(moves.select("hash", "target")) == [(whole, f"attachments/{whole[:2]}/{whole}/attachment.png")]
