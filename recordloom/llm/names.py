@@ -54,8 +54,8 @@ Q, DESTROYED = 4, 5
 COMMON_DEGREES, LEAST_COMMON, NEIGHBOUR_FREQ = 4, 12, 3
 #: Up to how many names a token is read as any more frequent one it resembles, and how many times more frequent the other must be beyond.
 SELDOM, MEANT = 3, 5
-#: A learned short form: rare tokens that two tokens share, their share of the shorter one's, and how far it exceeds chance.
-LEARN_COUNT, LEARN_SHARE, LEARN_LIFT = 4, 0.6, 5
+#: A learned short form: rare tokens that two tokens share, their share of the shorter one's, and the part of the way from chance to certainty that the share has to go.
+LEARN_COUNT, LEARN_SHARE, LEARN_EXCESS = 4, 0.6, 0.5
 
 _QUOTED = re.compile(r'"[^"]*"|\([^)]*\)|“[^”]*”')
 _TOKEN = re.compile(r"\d+/\d+|(?<![^\W\d_])[^\W\d_]/[^\W\d_](?![^\W\d_])|[^\W\d_]+(?:['’][^\W\d_]+)*\.?")
@@ -211,8 +211,8 @@ def learned_short_forms(tokens: DataFrame) -> DataFrame:
     other = frequent.where("common").select("anchor", F.col("reading").alias("long"))
     pairs = frequent.join(other, "anchor").where("reading <> long").groupBy("reading", "long").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LEARN_COUNT)
     base = alone.select(F.col("reading").alias("long"), F.col("n").alias("n_long"))
-    share = F.col("c") / F.col("n")
-    return pairs.join(alone, "reading").join(base, "long").where((share >= LEARN_SHARE) & (share >= LEARN_LIFT * F.col("n_long") / F.lit(max(1, anchors)))).select("reading", "long")
+    share, chance = F.col("c") / F.col("n"), F.col("n_long") / F.lit(max(1, anchors))
+    return pairs.join(alone, "reading").join(base, "long").where((share >= LEARN_SHARE) & (share - chance >= LEARN_EXCESS * (1 - chance))).select("reading", "long")
 
 
 def _resolve(rows: list[tuple]) -> list[tuple]:
