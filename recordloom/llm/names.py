@@ -143,6 +143,11 @@ def vocabulary(names: DataFrame) -> DataFrame:
     return each.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.count("contact_id").alias("contacts"))
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks of a step that makes much of little input, which AQE would merge by the size of the input."""
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def similar_tokens(words: DataFrame) -> DataFrame:
     """token, other, f2 (the frequency of the other), d (their distance): pairs that typing errors separate, the more frequent one as ``other``."""
     long_enough = words.where(F.length("token") >= 4).select("token", "freq", "contacts", F.concat(F.lit("^" * (Q - 1)), "token", F.lit("$" * (Q - 1))).alias("padded"))
@@ -153,6 +158,7 @@ def similar_tokens(words: DataFrame) -> DataFrame:
         grams.join(weights, "gram").groupBy("token", "freq", "contacts")
         .agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram"))), 1, DESTROYED + 1).alias("first"))
         .select("token", "freq", "contacts", F.explode("first.gram").alias("gram"))
+        .repartition(_tasks(words), "gram")
     )
     a = prefixes.select(F.col("gram"), F.col("token"), F.col("freq").alias("f1"), F.col("contacts").alias("c1"))
     b = prefixes.select(F.col("gram"), F.col("token").alias("other"), F.col("freq").alias("f2"), F.col("contacts").alias("c2"))
@@ -321,7 +327,7 @@ def name_links(values: DataFrame, nicknames: DataFrame) -> DataFrame:
     pair = F.array_join(F.transform(F.slice(F.array_sort(F.transform("all", lambda t: F.struct(t["freq"].alias("f"), t["reading"].alias("r")))), 1, 2), lambda t: t["r"]), " ")
     anchored = whole.withColumn("anchor", F.explode(F.when(F.size(rare) > 0, rare).when(F.size("all") >= 2, F.array(pair)).otherwise(F.array().cast("array<string>"))))
     beside = F.filter("all", lambda t: ~F.array_contains(F.split(F.col("anchor"), " "), t["reading"]))
-    blocks = anchored.select("anchor", "val", "contact_id", beside.alias("beside"), "initials", "cuts").repartition("anchor").sortWithinPartitions("anchor", F.col("contact_id").asc_nulls_last(), "val")
+    blocks = anchored.select("anchor", "val", "contact_id", beside.alias("beside"), "initials", "cuts").repartition(_tasks(whole), "anchor").sortWithinPartitions("anchor", F.col("contact_id").asc_nulls_last(), "val")
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_anchor, rows = None, []
@@ -345,28 +351,31 @@ def name_links(values: DataFrame, nicknames: DataFrame) -> DataFrame:
     # a contact of two blocks belongs to the smaller entity; a name takes the entity it agrees with best
     linked = cut(blocks.mapInPandas(resolve, _LINK).groupBy("val").agg(F.min_by("contact_id", F.struct(-F.col("score"), "contact_id")).alias("contact_id"), F.max("score").alias("score")))
     short = _short_surnames(whole, linked)
-    found = linked.select("val", "contact_id").unionByName(short)
+    found = cut(linked.select("val", "contact_id").unionByName(short))
     return found.unionByName(_distant_surnames(whole, linked, found))
 
 
 def _distant_surnames(whole: DataFrame, linked: DataFrame, found: DataFrame) -> DataFrame:
     """val, contact_id of names whose rare token is two errors away from that of an entity with the same common token.
 
-    Here the common token helps to select: a q-gram of three letters has to be shared
-    beside it. Two errors leave one third of a token of nine letters whole.
+    Here the common token helps to select: beside it the beginning, the end or an inner
+    q-gram of three letters has to be shared. Two errors leave one third of a token of
+    nine letters whole. Only tokens written seldom can be such errors.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.col(c).substr(i, F.lit(3))))
+    inner = lambda c: F.transform(F.sequence(F.lit(2), F.length(c) - 3), lambda i: F.col(c).substr(i, F.lit(3)))
+    grams = lambda c: F.array_distinct(F.concat(F.array(F.concat(F.lit("^"), F.substring(c, 1, 3)), F.concat(F.lit("$"), F.substring(c, -3, 3))), inner(c)))
+    tasks = _tasks(whole)
     spread = F.array_distinct(F.concat(F.array("b.reading"), F.col("b.longs")))
 
-    def pairs_of(df: DataFrame, *more: str) -> DataFrame:
-        rare = df.select(*more, F.explode(F.filter("all", lambda t: ~t["common"])).alias("r"), F.filter("all", lambda t: t["common"]).alias("beside"))
+    def pairs_of(df: DataFrame, most: int, *more: str) -> DataFrame:
+        rare = df.select(*more, F.explode(F.filter("all", lambda t: ~t["common"] & (t["freq"] <= most))).alias("r"), F.filter("all", lambda t: t["common"]).alias("beside"))
         wide = rare.select(*more, F.col("r.reading").alias("rare"), F.explode("beside").alias("b"))
         return wide.select(*more, "rare", F.explode(spread).alias("other")).where(F.length("rare") >= 6).distinct()
 
-    book = pairs_of(whole.join(linked.where("score >= 2").select("val", F.col("contact_id").alias("entity")), "val").where("contact_id is not null"), "entity")
-    asked = pairs_of(whole.where("contact_id is null").join(found.select("val"), "val", "left_anti"), "val").join(book.select("rare").distinct(), "rare", "left_anti")
-    left = asked.withColumnRenamed("rare", "written").withColumn("gram", F.explode(grams("written")))
-    right = book.withColumn("gram", F.explode(grams("rare")))
+    book = pairs_of(whole.join(linked.where("score >= 2").select("val", F.col("contact_id").alias("entity")), "val").where("contact_id is not null"), 1 << 62, "entity")
+    asked = pairs_of(whole.where("contact_id is null").join(found.select("val"), "val", "left_anti"), SELDOM, "val").join(book.select("rare").distinct(), "rare", "left_anti")
+    left = asked.withColumnRenamed("rare", "written").withColumn("gram", F.explode(grams("written"))).repartition(tasks, "other", "gram")
+    right = book.withColumn("gram", F.explode(grams("rare"))).repartition(tasks, "other", "gram")
     close_ = (F.abs(F.length("written") - F.length("rare")) <= 2) & (F.levenshtein("written", "rare", 3) >= 0)
     pairs = left.join(right, ["other", "gram"]).where(close_).select("val", "entity", "written", "rare").distinct()
 

@@ -51,10 +51,12 @@ _SPAN = 8.0
 _CJK = "぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ"
 _TOKEN = re.compile(rf"[{_CJK}]|[\w/:+.#-]*\d[\w/:+.-]*(?:[\w]|[:/+-](?=\s*\Z))|\d|[^\W\d_{_CJK}]\.(?=\s+[^\W\d_])|[^\W\d_{_CJK}]+(?:['’][^\W\d_{_CJK}]+)*|\n|[^\w\s]|_")
 _HEX = re.compile(r"(?<![0-9a-zA-Z])(?=[0-9a-f]*\d)[0-9a-f]{6,}(?![g-zG-Z])")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _CLOSING = frozenset(".!?。！？…")
 _RARE, _START, _NAME = "\x01", "\x02", "\x03"
 
 
+@lru_cache(maxsize=300_000)
 def shape(token: str) -> str:
     """The token with digits and hexadecimal runs as zeros."""
     t = _HEX.sub(lambda m: "0" * len(m.group()), token) if len(token) > 5 else token
@@ -116,15 +118,17 @@ def _contexts(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _class_codes(tokens: list[str], common: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=300_000)
+def _kind(token: str) -> tuple[str, int, bool, bool]:
+    """Of a shape: its class in lower case with runs of digits as one, the code of that, is it a capitalised word, is it a word or number?"""
+    low = re.sub("0+", "0", token).lower() if "0" in token else token.lower()
+    return low, _code(low), token[:1].isupper() and token.isalpha(), _is_word(token)
+
+
+def _class_codes(kinds: list[tuple[str, int, bool, bool]], common: frozenset[str]) -> tuple[list[int], list[int]]:
     """Codes of the classes of tokens, twice: rare capitalised words are one class; all capitalised words are one class."""
-    rare, names = [], []
-    for t in tokens:
-        low = re.sub("0+", "0", t).lower() if "0" in t else t.lower()
-        capital = t[:1].isupper() and t.isalpha()
-        rare.append(_code(_RARE if capital and low not in common else low))
-        names.append(_code(_NAME if capital else low))
-    return np.array(rare, dtype=np.uint64), np.array(names, dtype=np.uint64)
+    rare, name = _code(_RARE), _code(_NAME)
+    return [rare if k[2] and k[0] not in common else k[1] for k in kinds], [name if k[2] else k[1] for k in kinds]
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
@@ -135,7 +139,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
             counts: Counter[str] = Counter()
             for text in batch["text"]:
                 if text:
-                    counts.update(t.lower() for t in tokens_of(text)[0] if t.isalpha())
+                    counts.update(_LETTERS.findall(text.lower()))
             yield pd.DataFrame({"word": list(counts), "n": np.fromiter(counts.values(), dtype=np.int64, count=len(counts))})
 
     return documents.select("text").where("text is not null").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -158,8 +162,8 @@ def model_counts(documents: DataFrame, common: frozenset[str]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys: list[np.ndarray] = []
-            flags: list[np.ndarray] = []
+            start = [_code(_START)] * ORDERS
+            rare, names, flags, real = [], [], [], []
             pairs: Counter[tuple[int, str]] = Counter()
             for text in batch["text"]:
                 if not text:
@@ -167,17 +171,21 @@ def model_counts(documents: DataFrame, common: frozenset[str]) -> DataFrame:
                 tokens, ends = tokens_of(text)
                 if not tokens:
                     continue
-                codes, names = _class_codes(tokens, common)
-                for c in (*_contexts(codes), *(c ^ _MIX for c in _contexts(names))):
-                    keys.append(c)
-                    flags.append(ends)
-                before = [_code(_START), *codes[:-1].tolist()]
-                pairs.update((b, t) for b, t in zip(before, tokens) if _is_word(t))
-            if not keys:
+                kinds = [_kind(t) for t in tokens]
+                a, b = _class_codes(kinds, common)
+                # beginnings of texts keep contexts from crossing texts
+                rare += start + a
+                names += start + b
+                flags += [np.zeros(ORDERS, dtype=bool), ends]
+                real += [np.zeros(ORDERS, dtype=bool), np.ones(len(ends), dtype=bool)]
+                pairs.update((p, t) for p, t, k in zip([start[0], *a], tokens, kinds) if k[3])
+            if not rare:
                 continue
+            here, e = np.concatenate(real), np.concatenate(flags)
+            keys = [c[here] for c in _contexts(np.array(rare, dtype=np.uint64))] + [c[here] ^ _MIX for c in _contexts(np.array(names, dtype=np.uint64))]
             key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(inverse, minlength=len(key))
-            e = np.bincount(inverse, weights=np.concatenate(flags), minlength=len(key)).astype(np.int64)
+            e = np.bincount(inverse, weights=np.tile(e[here], 2 * ORDERS), minlength=len(key)).astype(np.int64)
             inner: dict[int, list[int]] = {}
             for (b, t), k in pairs.items():
                 for at, code in enumerate(_word_keys(b, t)):
@@ -214,9 +222,10 @@ def _final_keys(text: str, common: frozenset[str]) -> tuple[list[int], bool] | N
         return None
     whole = len(text.rstrip()) <= 400
     last = tokens[-(ORDERS + 1) :] if len(tokens) > ORDERS or not whole else tokens
-    codes, names = _class_codes(last, common)
+    kinds = [_kind(t) for t in last]
+    codes, names = (np.array(c, dtype=np.uint64) for c in _class_codes(kinds, common))
     keys = [int(c[-1]) for c in _contexts(codes)] + [int(c[-1] ^ _MIX) for c in _contexts(names)]
-    word = _is_word(last[-1])
+    word = kinds[-1][3]
     if word:
         before = int(codes[-2]) if len(codes) > 1 else _code(_START)
         keys += list(_word_keys(before, last[-1])[-1])
