@@ -54,8 +54,8 @@ Q, DESTROYED = 4, 5
 COMMON_DEGREES, LEAST_COMMON, NEIGHBOUR_FREQ = 4, 12, 3
 #: Up to how many names a token is read as any more frequent one it resembles, and how many times more frequent the other must be beyond.
 SELDOM, MEANT = 3, 5
-#: A learned short form: rare tokens that two tokens share, their share of the shorter one's, and the part of the way from chance to certainty that the share has to go.
-LEARN_COUNT, LEARN_SHARE, LEARN_EXCESS = 4, 0.6, 0.5
+#: A learned short form: rare tokens that two tokens share, the part of the way from chance to certainty that the share has to go, and by how many deviations the count must exceed chance.
+LEARN_COUNT, LEARN_EXCESS, LEARN_SIGMAS = 4, 0.7, 3
 
 _QUOTED = re.compile(r'"[^"]*"|\([^)]*\)|“[^”]*”')
 _TOKEN = re.compile(r"\d+/\d+|(?<![^\W\d_])[^\W\d_]/[^\W\d_](?![^\W\d_])|[^\W\d_]+(?:['’][^\W\d_]+)*\.?")
@@ -210,15 +210,18 @@ def learned_short_forms(tokens: DataFrame) -> DataFrame:
     as different given names of one surname.
     """
     rare = tokens.where("not common").select("val", F.col("reading").alias("anchor")).distinct()
-    beside = tokens.select("val", "reading", "common").join(rare, "val").where("reading <> anchor").select("anchor", "reading", "common").distinct()
-    alone = cut(beside.groupBy("reading").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEARN_COUNT))
-    anchors = rare.select("anchor").distinct().count()
+    beside = cut(tokens.select("val", "reading", "common").join(rare, "val").where("reading <> anchor").select("anchor", "reading", "common").distinct())
+    alone = cut(beside.groupBy("reading", "common").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEARN_COUNT))
     frequent = beside.join(alone.select("reading"), "reading", "left_semi")
     other = frequent.where("common").select("anchor", F.col("reading").alias("long"))
-    pairs = frequent.join(other, "anchor").where("reading <> long").groupBy("reading", "long").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LEARN_COUNT)
-    base = alone.select(F.col("reading").alias("long"), F.col("n").alias("n_long"))
-    share, chance = F.col("c") / F.col("n"), F.col("n_long") / F.lit(max(1, anchors))
-    return pairs.join(alone, "reading").join(base, "long").where((share >= LEARN_SHARE) & (share - chance >= LEARN_EXCESS * (1 - chance))).select("reading", "long")
+    pairs = cut(frequent.join(other, "anchor").where("reading <> long").groupBy("reading", "long", "common").agg(F.count(F.lit(1)).alias("c")))
+    # how often a rare token that any common one stands beside has this one beside it too
+    places = float(alone.where("common").agg(F.sum("n")).first()[0] or 1)
+    base = pairs.where("common").groupBy("long").agg((F.sum("c") / F.lit(places)).alias("chance"))
+    n, share, chance = F.col("n"), F.col("c") / F.col("n"), F.least(F.col("chance"), F.lit(1.0))
+    sure = F.col("c") - n * chance >= LEARN_SIGMAS * F.sqrt(n * chance * (1 - chance) + 0.5)
+    good = (F.col("c") >= LEARN_COUNT) & (share - chance >= LEARN_EXCESS * (1 - chance)) & sure
+    return pairs.join(alone.select("reading", "n"), "reading").join(base, "long").where(good).select("reading", "long")
 
 
 def _resolve(rows: list[tuple]) -> list[tuple]:
