@@ -44,6 +44,8 @@ from recordloom.session import cut
 COMMON = 1e-4
 #: Words of context.
 ORDERS = 4
+#: Tokens whose contexts a task counts before it hands on the counts.
+COUNTED_TOKENS = 200_000
 #: Bounds of the threshold on the log-odds, and bins of the histogram it is found in.
 LOWEST, HIGHEST, BINS = -2.5, -1.2, 64
 _SPAN = 8.0
@@ -157,18 +159,38 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
+def _counted(rare: list[int], names: list[int], flags: list[np.ndarray], real: list[np.ndarray], pairs: Counter) -> pd.DataFrame:
+    """key, n, ends of the contexts of some texts: codes of both classes, whether a unit ends, which places are tokens; and of the words behind their neighbours."""
+    here, e = np.concatenate(real), np.concatenate(flags)
+    keys = [c[here] for c in _contexts(np.array(rare, dtype=np.uint64))] + [c[here] ^ _MIX for c in _contexts(np.array(names, dtype=np.uint64))]
+    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(inverse, minlength=len(key))
+    e = np.bincount(inverse, weights=np.tile(e[here], 2 * ORDERS), minlength=len(key)).astype(np.int64)
+    inner: dict[int, list[int]] = {}
+    for (b, t), k in pairs.items():
+        for at, code in enumerate(_word_keys(b, t)):
+            for c in code:
+                s = inner.setdefault(c, [0, 0])
+                s[0] += k
+                if at == len(t) - 1:
+                    s[1] += k
+    column = lambda i: np.fromiter((s[i] for s in inner.values()), dtype=np.int64, count=len(inner))
+    return pd.DataFrame({
+        "key": np.concatenate([_signed(key), _signed(np.fromiter(inner, dtype=np.uint64, count=len(inner)))]),
+        "n": np.concatenate([n.astype(np.int64), column(0)]), "ends": np.concatenate([e, column(1)]),
+    })
+
+
 def model_counts(documents: DataFrame, common: frozenset[str]) -> DataFrame:
     """key, n, ends: how often each context occurs, and how often a word or unit ends there."""
 
+    start = [_code(_START)] * ORDERS
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            start = [_code(_START)] * ORDERS
-            rare, names, flags, real = [], [], [], []
-            pairs: Counter[tuple[int, str]] = Counter()
+            rare, names, flags, real, pairs = [], [], [], [], Counter()
             for text in batch["text"]:
-                if not text:
-                    continue
-                tokens, ends = tokens_of(text)
+                tokens, ends = tokens_of(text) if text else ([], None)
                 if not tokens:
                     continue
                 kinds = [_kind(t) for t in tokens]
@@ -179,28 +201,11 @@ def model_counts(documents: DataFrame, common: frozenset[str]) -> DataFrame:
                 flags += [np.zeros(ORDERS, dtype=bool), ends]
                 real += [np.zeros(ORDERS, dtype=bool), np.ones(len(ends), dtype=bool)]
                 pairs.update((p, t) for p, t, k in zip([start[0], *a], tokens, kinds) if k[3])
-            if not rare:
-                continue
-            here, e = np.concatenate(real), np.concatenate(flags)
-            keys = [c[here] for c in _contexts(np.array(rare, dtype=np.uint64))] + [c[here] ^ _MIX for c in _contexts(np.array(names, dtype=np.uint64))]
-            key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(inverse, minlength=len(key))
-            e = np.bincount(inverse, weights=np.tile(e[here], 2 * ORDERS), minlength=len(key)).astype(np.int64)
-            inner: dict[int, list[int]] = {}
-            for (b, t), k in pairs.items():
-                for at, code in enumerate(_word_keys(b, t)):
-                    for c in code:
-                        s = inner.setdefault(c, [0, 0])
-                        s[0] += k
-                        if at == len(t) - 1:
-                            s[1] += k
-            yield pd.DataFrame({"key": _signed(key), "n": n.astype(np.int64), "ends": e})
-            if inner:
-                yield pd.DataFrame({
-                    "key": _signed(np.fromiter(inner, dtype=np.uint64, count=len(inner))),
-                    "n": np.fromiter((s[0] for s in inner.values()), dtype=np.int64, count=len(inner)),
-                    "ends": np.fromiter((s[1] for s in inner.values()), dtype=np.int64, count=len(inner)),
-                })
+                if len(rare) >= COUNTED_TOKENS:  # counts of a part of the batch, so that memory doesn't follow the batch
+                    yield _counted(rare, names, flags, real, pairs)
+                    rare, names, flags, real, pairs = [], [], [], [], Counter()
+            if rare:
+                yield _counted(rare, names, flags, real, pairs)
 
     return documents.select("text").where("text is not null").mapInPandas(run, "key bigint, n bigint, ends bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
