@@ -18,8 +18,11 @@
    together with the other token, and counts if only one entity fits.
 
 A token that stands beside many different ones (a given name, a line of business,
-a frequent surname) is common and never the only thing two names share; names
-without a rare token are compared by their two rarest common ones together.
+a frequent surname) is common and never the only thing two names share. Names
+without a rare token are folded to what they say, meet through every two common
+tokens they share and are told apart by what they say besides. Then short forms,
+abbreviations and initials beside common tokens are looked up by what they may stand
+for; as so many share a common token, they count only if one entity fits.
 
 Defined cases: null, blank and placeholder names are no names; an initial that
 fits two entities fits none; equal names are treated once; contacts without numbers
@@ -31,7 +34,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,6 +59,8 @@ COMMON_DEGREES, LEAST_COMMON, NEIGHBOUR_FREQ = 4, 12, 3
 SELDOM, MEANT = 3, 5
 #: A learned short form: rare tokens that two tokens share, the part of the way from chance to certainty that the share has to go, and by how many deviations the count must exceed chance.
 LEARN_COUNT, LEARN_EXCESS, LEARN_SIGMAS = 4, 0.7, 3
+#: Score of a link that holds only if a name has no other such link.
+MAYBE = 0.4
 
 _QUOTED = re.compile(r'"[^"]*"|\([^)]*\)|“[^”]*”')
 _TOKEN = re.compile(r"\d+/\d+|(?<![^\W\d_])[^\W\d_]/[^\W\d_](?![^\W\d_])|[^\W\d_]+(?:['’][^\W\d_]+)*\.?")
@@ -224,6 +229,45 @@ def learned_short_forms(tokens: DataFrame) -> DataFrame:
     return pairs.join(alone.select("reading", "n"), "reading").join(base, "long").where(good).select("reading", "long")
 
 
+def _agreement(a: tuple, b: tuple) -> float:
+    """Agreement of the tokens beside the anchor; 0 if they contradict or say nothing."""
+    best = 0.0
+    for i, x in enumerate(a[2]):
+        for j, y in enumerate(b[2]):
+            w = max(a[3][i], b[3][j])
+            if x == y:
+                s = 1.0
+            elif y in a[4][i] or x in b[4][j] or set(a[4][i]) & set(b[4][j]):
+                s = 0.95
+            elif len(x) > 3 and len(y) > 3 and close(x, y):
+                s = 0.9
+            elif abbreviates(x, y) or abbreviates(y, x):
+                s = 0.8
+            else:
+                continue
+            best = max(best, s + 0.001 * w)
+    for x, others in ((c, b) for c in a[6]):
+        best = max([best, *(0.8 for y in others[2] if abbreviates(x, y))])
+    for y, others in ((c, a) for c in b[6]):
+        best = max([best, *(0.8 for x in others[2] if abbreviates(y, x))])
+    if best:
+        return best
+    if a[6] and b[6] and set(a[6]) & set(b[6]):
+        return 0.8
+    full_a, full_b = a[2] or a[6], b[2] or b[6]
+
+    def fits(initial: str, other: tuple) -> float:
+        """An initial stands for a given name rather than for its short form."""
+        heads = [(y[0], not longs) for y, longs in zip(other[2], other[4])] + [(y[0], True) for y in other[6]]
+        return max((0.6 if whole else 0.5 for h, whole in heads if h == initial), default=0.0)
+
+    if not full_a and a[5]:
+        return fits(a[5][0], b) if full_b else (0.6 if a[5][0] in b[5] else 0.0)
+    if not full_b and b[5]:
+        return fits(b[5][0], a)
+    return 0.0 if full_a or full_b else 0.5
+
+
 def _resolve(rows: list[tuple]) -> list[tuple]:
     """Links of the names that share an anchor: (val, contact_id, score).
 
@@ -233,44 +277,6 @@ def _resolve(rows: list[tuple]) -> list[tuple]:
     if not book:
         return []
 
-    def match(a: tuple, b: tuple) -> float:
-        """Agreement of the tokens beside the anchor; 0 if they contradict or say nothing."""
-        best = 0.0
-        for i, x in enumerate(a[2]):
-            for j, y in enumerate(b[2]):
-                w = max(a[3][i], b[3][j])
-                if x == y:
-                    s = 1.0
-                elif y in a[4][i] or x in b[4][j] or set(a[4][i]) & set(b[4][j]):
-                    s = 0.95
-                elif len(x) > 3 and len(y) > 3 and close(x, y):
-                    s = 0.9
-                elif abbreviates(x, y) or abbreviates(y, x):
-                    s = 0.8
-                else:
-                    continue
-                best = max(best, s + 0.001 * w)
-        for x, others in ((c, b) for c in a[6]):
-            best = max([best, *(0.8 for y in others[2] if abbreviates(x, y))])
-        for y, others in ((c, a) for c in b[6]):
-            best = max([best, *(0.8 for x in others[2] if abbreviates(y, x))])
-        if best:
-            return best
-        if a[6] and b[6] and set(a[6]) & set(b[6]):
-            return 0.8
-        full_a, full_b = a[2] or a[6], b[2] or b[6]
-
-        def fits(initial: str, other: tuple) -> float:
-            """An initial stands for a given name rather than for its short form."""
-            heads = [(y[0], not longs) for y, longs in zip(other[2], other[4])] + [(y[0], True) for y in other[6]]
-            return max((0.6 if whole else 0.5 for h, whole in heads if h == initial), default=0.0)
-
-        if not full_a and a[5]:
-            return fits(a[5][0], b) if full_b else (0.6 if a[5][0] in b[5] else 0.0)
-        if not full_b and b[5]:
-            return fits(b[5][0], a)
-        return 0.0 if full_a or full_b else 0.5
-
     parent = list(range(len(book)))
 
     def root(i: int) -> int:
@@ -282,15 +288,15 @@ def _resolve(rows: list[tuple]) -> list[tuple]:
     full = [i for i, r in enumerate(book) if r[2] or r[6]]
     for n, i in enumerate(full):
         for j in full[:n]:
-            if match(book[i], book[j]) >= 0.75:
+            if _agreement(book[i], book[j]) >= 0.75:
                 parent[max(root(i), root(j))] = min(root(i), root(j))
     for i in (i for i in range(len(book)) if i not in set(full)):
-        agreed = {j: match(book[i], book[j]) for j in full}
+        agreed = {j: _agreement(book[i], book[j]) for j in full}
         fits = {root(j) for j, s in agreed.items() if s and s >= max(agreed.values()) - 0.04}
         if len(fits) == 1:
             parent[i] = fits.pop()
         elif not fits:
-            same = [j for j in range(i) if j not in set(full) and match(book[i], book[j]) > 0]
+            same = [j for j in range(i) if j not in set(full) and _agreement(book[i], book[j]) > 0]
             if same:
                 parent[i] = root(same[0])
     smallest: dict[int, int] = {}
@@ -300,7 +306,7 @@ def _resolve(rows: list[tuple]) -> list[tuple]:
     for r in (r for r in rows if r[1] is None):
         scores: dict[int, float] = {}
         for i, b in enumerate(book):
-            s = match(r, b)
+            s = _agreement(r, b)
             if s:
                 scores[smallest[root(i)]] = max(scores.get(smallest[root(i)], 0.0), s)
         if not scores:
@@ -312,6 +318,20 @@ def _resolve(rows: list[tuple]) -> list[tuple]:
     return out
 
 
+def _resolve_pairs(rows: list[tuple]) -> list[tuple]:
+    """Links of what names say that share two common tokens: as ``_resolve``, and with MAYBE what says no more than the two, which fits what says more if that is one entity."""
+    said = [r for r in rows if r[2] or r[5] or r[6]]
+    out = _resolve(said)
+    entities, linked = {c for _, c, s in out if s >= 2}, {v for v, _, _ in out}
+    for bare in (r for r in rows if not (r[2] or r[5] or r[6])):
+        if bare[1] is None:
+            out += [(bare[0], c, 0.5) for c in entities if len(entities) == 1]
+        else:
+            more = [r for r in said if (len(entities) == 1 and r[1] is not None) or (len(entities) != 1 and r[0] not in linked)]
+            out += [(bare[0], bare[1], 2.0), *((r[0], bare[1], MAYBE) for r in more)]
+    return out
+
+
 _LINK = "val string, contact_id bigint, score double"
 
 
@@ -327,35 +347,133 @@ def name_links(values: DataFrame, nicknames: DataFrame) -> DataFrame:
     whole = each.groupBy("val").agg(F.array_sort(F.collect_list(token)).alias("all")).join(names.select("val", "contact_id", "initials", "cuts"), "val", "right")
     whole = cut(whole.withColumn("all", F.coalesce("all", F.array().cast("array<struct<reading:string,common:boolean,freq:bigint,longs:array<string>>>"))))
     rare = F.transform(F.filter("all", lambda t: ~t["common"]), lambda t: t["reading"])
-    pair = F.array_join(F.transform(F.slice(F.array_sort(F.transform("all", lambda t: F.struct(t["freq"].alias("f"), t["reading"].alias("r")))), 1, 2), lambda t: t["r"]), " ")
-    anchored = whole.withColumn("anchor", F.explode(F.when(F.size(rare) > 0, rare).when(F.size("all") >= 2, F.array(pair)).otherwise(F.array().cast("array<string>"))))
-    beside = F.filter("all", lambda t: ~F.array_contains(F.split(F.col("anchor"), " "), t["reading"]))
-    blocks = anchored.select("anchor", "val", "contact_id", beside.alias("beside"), "initials", "cuts").repartition(_tasks(whole), "anchor").sortWithinPartitions("anchor", F.col("contact_id").asc_nulls_last(), "val")
+    blocks = whole.withColumn("anchor", F.explode(rare)).select("anchor", "val", "contact_id", F.filter("all", lambda t: t["reading"] != F.col("anchor")).alias("beside"), "initials", "cuts")
+    # a contact of two blocks belongs to the smaller entity; a name takes the entity it agrees with best
+    linked = cut(_resolved(blocks, _resolve).groupBy("val").agg(F.min_by("contact_id", F.struct(-F.col("score"), "contact_id")).alias("contact_id"), F.max("score").alias("score")))
+    linked = cut(_common_links(whole, linked.unionByName(_common_pairs(whole)), each, nicknames))
+    short = _short_surnames(whole, linked)
+    found = cut(linked.select("val", "contact_id").unionByName(short))
+    return found.unionByName(_distant_surnames(whole, linked, found))
 
-    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_anchor, rows = None, []
 
-        def links(rows: list[tuple]) -> list[tuple]:
-            return _resolve(rows)
+def _resolved(blocks: DataFrame, how: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+    """val, contact_id, score: the links of each block; ``blocks``: anchor, val, contact_id, beside, initials, cuts."""
+    blocks = blocks.repartition(_tasks(blocks), "anchor").sortWithinPartitions("anchor", F.col("contact_id").asc_nulls_last(), "val")
 
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_anchor, rows = None, []
         for batch in batches:
             out = []
             for anchor, val, contact, beside_, initials, cuts in batch.itertuples(index=False, name=None):
                 if anchor != open_anchor:
-                    out += links(rows)
+                    out += how(rows)
                     open_anchor, rows = anchor, []
                 rows.append((
                     val, None if contact is None or pd.isna(contact) else int(contact), [t["reading"] for t in beside_], [1 / math.log(2 + t["freq"]) for t in beside_],
                     [list(t["longs"]) for t in beside_], list(initials), list(cuts),
                 ))
             yield pd.DataFrame(out, columns=["val", "contact_id", "score"]).astype({"contact_id": "int64", "score": "float64"})
-        yield pd.DataFrame(links(rows), columns=["val", "contact_id", "score"]).astype({"contact_id": "int64", "score": "float64"})
+        yield pd.DataFrame(how(rows), columns=["val", "contact_id", "score"]).astype({"contact_id": "int64", "score": "float64"})
 
-    # a contact of two blocks belongs to the smaller entity; a name takes the entity it agrees with best
-    linked = cut(blocks.mapInPandas(resolve, _LINK).groupBy("val").agg(F.min_by("contact_id", F.struct(-F.col("score"), "contact_id")).alias("contact_id"), F.max("score").alias("score")))
-    short = _short_surnames(whole, linked)
-    found = cut(linked.select("val", "contact_id").unionByName(short))
-    return found.unionByName(_distant_surnames(whole, linked, found))
+    return blocks.mapInPandas(resolve, _LINK)
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """node, label (the smallest node it is connected with) of the nodes of ``edges`` (a, b)."""
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
+        least = cut(labels.join(near, "node").select("node", F.least("label", "other").alias("now"), "label"))
+        up = least.select(F.col("node").alias("now"), F.col("now").alias("up"))
+        after = cut(least.join(up, "now").select("node", F.least("now", "up").alias("label"), (F.least("now", "up") < F.col("label")).alias("moved")))
+        labels = after.select("node", "label")
+        if after.where("moved").isEmpty():
+            return labels
+
+
+def _merged(links: DataFrame, edges: DataFrame) -> DataFrame:
+    """``links`` with the entities that ``edges`` (a, b) connect as one."""
+    if edges.isEmpty():
+        return links
+    return cut(links.join(_components(edges).withColumnRenamed("node", "contact_id"), "contact_id", "left").select("val", F.coalesce("label", "contact_id").alias("contact_id"), "score"))
+
+
+def _common_pairs(whole: DataFrame) -> DataFrame:
+    """val, contact_id, score of the names without a rare token, by each two common tokens they share.
+
+    Names are folded to what they say, so a pair that a third of the names hold makes
+    a block of its different additions only.
+    """
+    key = F.concat_ws("|", *[F.array_join(c, " ") for c in (F.transform("all", lambda t: t["reading"]), F.array_sort("initials"), F.array_sort("cuts"))])
+    plain = whole.where((F.size(F.filter("all", lambda t: ~t["common"])) == 0) & (F.size("all") > 0) & (F.size("all") + F.size("initials") + F.size("cuts") > 1)).withColumn("form", key)
+    forms = cut(plain.groupBy("form").agg(F.min("contact_id").alias("contact_id"), F.any_value("all").alias("all"), F.min("initials").alias("initials"), F.min("cuts").alias("cuts")))
+    pairs = forms.select("form", "contact_id", "all", F.explode("all.reading").alias("a")).select("form", "contact_id", "a", F.explode("all.reading").alias("b")).where("a < b").select("form", "contact_id", F.concat_ws(" ", "a", "b").alias("anchor"))
+    shared = pairs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.count("contact_id").alias("book")).where("n > 1 and book > 0")
+    met = pairs.select("form", "anchor").join(shared.select("anchor"), "anchor", "left_semi").join(forms, "form")
+    blocks = met.select("anchor", F.col("form").alias("val"), "contact_id", F.filter("all", lambda t: ~F.array_contains(F.split("anchor", " "), t["reading"])).alias("beside"), "initials", "cuts")
+    # what stands in the address book is an entity, whether it meets others or not
+    alone = forms.where("contact_id is not null").select(F.col("form").alias("val"), "contact_id", F.lit(2.0).alias("score"))
+    links = cut(_resolved(blocks, _resolve_pairs).unionByName(alone))
+    # a name that adds to two entities, or agrees with two equally little, belongs to none
+    sure = links.where(F.col("score") > MAYBE).groupBy("val").agg(F.min_by("contact_id", F.struct(-F.col("score"), "contact_id")).alias("contact_id"), F.max_by("contact_id", F.struct("score", "contact_id")).alias("last"), F.max("score").alias("score"))
+    maybe = links.where(F.col("score") == MAYBE).groupBy("val").agg(F.min("contact_id").alias("contact_id"), F.max("contact_id").alias("last"), F.lit(MAYBE).alias("score")).where("contact_id = last")
+    sure = cut(sure.where("score >= 0.75 or contact_id = last").drop("last"))
+    maybe = cut(maybe.drop("last"))
+    edges = links.where("score >= 2").unionByName(maybe).join(alone.select("val", F.col("contact_id").alias("b")), "val").select(F.col("contact_id").alias("a"), "b").where("a <> b")
+    best = sure.unionByName(maybe.join(links.where(F.col("score") > MAYBE).select("val").distinct(), "val", "left_anti"))
+    return plain.select("val", "form").join(_merged(best, edges).withColumnRenamed("val", "form"), "form").select("val", "contact_id", "score")
+
+
+def _abbreviated(each: DataFrame, nicknames: DataFrame) -> DataFrame:
+    """reading, long: readings without a vowel behind the first letter, no given names, that abbreviate a common one."""
+    spelt = nicknames.select(F.explode(F.array(F.lower("nick"), F.lower("given"))).alias("reading"))
+    short = each.select("reading").distinct().where(F.col("reading").rlike("^[a-z][b-df-hj-np-tv-z]+$")).join(spelt, "reading", "left_anti")
+    short = short.select("reading", F.substring("reading", 1, 1).alias("first"), F.substring("reading", 2, 1).alias("second"), F.array_join(F.split("reading", ""), ".*").alias("letters"))
+    long = each.where("common").select(F.col("reading").alias("long")).distinct()
+    long = long.select("long", F.substring("long", 1, 1).alias("first"), F.explode(F.array_distinct(F.split(F.expr("substring(long, 2)"), ""))).alias("second"))
+    return short.join(long, ["first", "second"]).where((F.length("reading") < F.length("long")) & F.expr("long rlike concat('^', letters)")).select("reading", "long")
+
+
+def _common_links(whole: DataFrame, links: DataFrame, each: DataFrame, nicknames: DataFrame) -> DataFrame:
+    """``links`` and those of short forms, abbreviations and initials that stand beside common tokens only.
+
+    Entities offer each token beside each other one, asked for by what a short form may
+    stand for; an offer is folded to the smallest and the largest entity, which are equal
+    if only one fits. Names of three and more tokens ask names of two, since those of
+    more that they share a pair with were compared as wholes.
+    """
+    links = cut(links)
+    abbreviated = _abbreviated(each, nicknames).groupBy("reading").agg(F.collect_set("long").alias("abbreviated"))
+    several = F.size(F.filter("all", lambda t: ~t["common"]))
+    beside = whole.where((several <= 1) & (F.size("all") > 1)).select("val", "contact_id", F.size("all").alias("size"), "all", several.alias("rare"), F.explode("all").alias("t")).where("rare = 0 or not t.common")
+    beside = beside.select("val", "contact_id", "size", F.col("t.reading").alias("reading"), F.col("t.longs").alias("longs"), F.explode("all").alias("b")).where("b.common and b.reading <> reading")
+    none = F.array().cast("array<string>")
+    beside = beside.join(abbreviated, "reading", "left").select("val", "contact_id", "size", "reading", F.array_distinct(F.concat("longs", F.coalesce("abbreviated", none))).alias("longs"), F.col("b.reading").alias("other"))
+    beside = cut(beside)
+    initial = whole.where((several == 0) & (F.size("all") == 1) & (F.size("initials") > 0)).select("val", "contact_id", F.lit("any").alias("of"), F.concat(F.col("initials")[0], F.lit(".")).alias("said"), F.col("all")[0]["reading"].alias("other"), F.lit(True).alias("strict"))
+    of = F.when(F.col("size") == 2, "any").otherwise("two")
+
+    def targets(links: DataFrame, asked: DataFrame) -> DataFrame:
+        book = beside.where("contact_id is not null").drop("contact_id").join(links.where("score >= 2").select("val", F.col("contact_id").alias("entity")), "val")
+        own, head = F.struct(F.col("reading").alias("said"), F.lit(0).alias("rank")), F.struct(F.concat(F.substring("reading", 1, 1), F.lit(".")).alias("said"), (F.size("longs") > 0).cast("int").alias("rank"))
+        whats = F.concat(F.array(own, head), F.transform("longs", lambda x: F.struct(x.alias("said"), F.lit(1).alias("rank"))))
+        offers = book.select("entity", "other", "size", F.explode(whats).alias("w")).select("entity", "other", "w.said", "w.rank", F.explode(F.when(F.col("size") == 2, F.array(F.lit("any"), F.lit("two"))).otherwise(F.array(F.lit("any")))).alias("of"))
+        lows = [f(F.when(F.col("rank") == k, F.col("entity"))).alias(n) for k in (0, 1) for f, n in ((F.min, f"low{k}"), (F.max, f"high{k}"))]
+        offers = offers.groupBy("of", "said", "other").agg(*lows)
+        fits = asked.join(offers, ["of", "said", "other"]).groupBy("val").agg(*[f(n).alias(n) for n, f in (("low0", F.min), ("high0", F.max), ("low1", F.min), ("high1", F.max))], F.max("strict").alias("strict"))
+        only = F.when(F.col("low0") == F.col("high0"), F.col("low0")).when(F.col("low0").isNull() & (~F.col("strict") | (F.col("low1") == F.col("high1"))), F.col("low1"))
+        return fits.select("val", only.alias("target")).where("target is not null")
+
+    # contacts first: the entities of short forms and of what they stand for are one
+    shorts = beside.where("contact_id is not null").select("val", of.alias("of"), F.explode(F.when(F.col("size") == 2, F.col("longs")).when(F.size("longs") > 0, F.array_union(F.array("reading"), "longs"))).alias("said"), "other", F.lit(False).alias("strict"))
+    edges = targets(links, shorts).join(links.where("score >= 2"), "val").select(F.col("contact_id").alias("a"), F.col("target").alias("b")).where("a <> b")
+    links = _merged(links, cut(edges))
+    edges = targets(links, initial.where("contact_id is not null").drop("contact_id")).join(links.where("score >= 2"), "val").select(F.col("contact_id").alias("a"), F.col("target").alias("b")).where("a <> b")
+    links = _merged(links, cut(edges))
+    rest = beside.where("contact_id is null").select("val", of.alias("of"), F.explode(F.array_union(F.array("reading"), "longs")).alias("said"), "other", F.lit(True).alias("strict"))
+    rest = rest.unionByName(initial.where("contact_id is null").drop("contact_id")).join(links.select("val"), "val", "left_anti")
+    return links.unionByName(targets(links, rest).select("val", F.col("target").alias("contact_id"), F.lit(0.5).alias("score")))
 
 
 def _distant_surnames(whole: DataFrame, linked: DataFrame, found: DataFrame) -> DataFrame:
@@ -394,10 +512,12 @@ def _distant_surnames(whole: DataFrame, linked: DataFrame, found: DataFrame) ->
 
 
 def _short_surnames(whole: DataFrame, linked: DataFrame) -> DataFrame:
-    """val, contact_id of names whose rare token is cut to its beginning, found by it and the common token beside it."""
+    """val, contact_id of names one of whose tokens is cut to its beginning, found by it and the common token beside it."""
     members = whole.join(linked.where("score >= 2").select("val", F.col("contact_id").alias("entity")), "val").where("contact_id is not null")
     rare = F.filter("all", lambda t: ~t["common"])
-    full = members.select("entity", F.explode(rare).alias("r"), F.filter("all", lambda t: t["common"]).alias("beside")).select("entity", F.col("r.reading").alias("anchor"), F.explode("beside").alias("b"))
+    # of names without a rare token, any of them may be what is cut
+    cuttable = F.when(F.size(rare) > 0, rare).otherwise(F.col("all"))
+    full = members.select("entity", F.explode(cuttable).alias("r"), F.filter("all", lambda t: t["common"]).alias("beside")).select("entity", F.col("r.reading").alias("anchor"), F.explode("beside").alias("b")).where("b.reading <> anchor")
     spread = F.array_distinct(F.concat(F.array("b.reading"), F.col("b.longs")))
     heads = full.select("entity", "anchor", F.explode(spread).alias("other")).distinct()
     heads = heads.where(F.length("anchor") > 3).withColumn("head", F.explode(F.transform(F.sequence(F.lit(3), F.length("anchor") - 1), lambda i: F.col("anchor").substr(F.lit(1), i))))

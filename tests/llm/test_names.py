@@ -76,6 +76,24 @@ def test_variants_are_linked_and_others_are_not(spark):
     assert got == sorted(expected)
 
 
+def test_variants_under_a_surname_of_a_third_of_the_contacts(spark):
+    rnd = random.Random(7)
+    syllables = ["mar", "low", "tin", "bec", "dor", "fel", "gus", "hin", "jol", "kep", "nov", "pam", "quo", "rus", "sim", "tov"]
+    given = ["Robert", "Zelda", "Wanda", "Clara", "Derek", "Edith", "Fiona", "Gordon", "Hilda", "Ivor", "Julia", "Karl", "Lorna", "Miles", "Nadia", "Oscar", "Pedro", "Quentin", "Rupert", "Selma"]
+    surnames = sorted({"".join(rnd.sample(syllables, 3)).capitalize() for _ in range(140)})
+    names_ = [f"{given[(i + k) % 20]} {s}" for i, s in enumerate(surnames) for k in (0, 7, 13)] + [f"{s} Plumbing" for s in surnames[:30]]
+    names_ += [f"{g} Vandyke" for g in given] + [f"{g} {x}. Vandyke" for g in given[3:] for x in "ABDEGHKLMNOPST"] + ["Bob Gordon Vandyke"]
+    at = {n: i for i, n in enumerate(names_, 1)}
+    assert 3 * sum("Vandyke" in n for n in names_) > len(names_)
+    linked = {
+        "Bob Vandyke": "Robert Vandyke", "Vandyke, Robert": "Robert Vandyke", "Z. Vandyke": "Zelda Vandyke", "Vandyke W.": "Wanda Vandyke", "Zelda Vandy.": "Zelda Vandyke", "Wnd Vandyke": "Wanda Vandyke",
+        "Zelda Plumbing Vandyke": "Zelda Vandyke", "Vandyke Zelda M.": "Zelda Vandyke", "Vandyke Hilda B.": "Hilda B. Vandyke", "Wanda Oscar Vandyke": None, "C. Vandyke": None, "Vandyke": None, "Zelda": None,
+    }
+    got = rows(names.variant_records(*tables(spark, list(enumerate(names_, 1)), [(i, f'"{v}"') for i, v in enumerate(linked, 1)])))
+    assert {list(linked)[i - 1]: c for c, src, i in got if src == "imports"} == {v: at[n] for v, n in linked.items() if n}
+    assert [(c, i) for c, src, i in got if src == "contacts" and i != c] == [(at["Robert Vandyke"], at["Bob Gordon Vandyke"])]
+
+
 def test_empty_null_and_long(spark):
     assert names.variant_records(*tables(spark, [], [])).count() == 0
     assert names.variant_records(*tables(spark, [(1, None), (2, ""), (3, "A")], [(1, None), (2, "x" * 50_000), (3, " ".join(["word"] * 5000))])).count() == 0
