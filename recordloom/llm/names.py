@@ -5,8 +5,9 @@
    vocabulary with frequencies.
 2. A prefix-filtered set-similarity join on the tokens' q-grams finds tokens that
    differ by a typing error: of each token only the rarest q-grams that an error
-   can't all destroy are joined, and pairs that meet are verified by their edit
-   distance. A rarer token is read as the more frequent one it resembles.
+   can't all destroy are joined, tokens of nine and more letters also by what is left
+   of them without any two letters (two errors), and pairs that meet are verified by
+   their edit distance. A rarer token is read as the more frequent one it resembles.
 3. Short forms of given names come from the nickname table, and are learned where
    two common tokens stand beside the same rare ones again and again.
 4. Names that share a rare token are compared by soft weighted token similarity:
@@ -53,6 +54,8 @@ NOISE = frozenset(
 PLACEHOLDERS = frozenset(("unknown", "unknown caller", "unknown number", "private", "private number", "anonymous", "restricted", "n/a", "na", "null", "none", "nan", ""))
 #: q of the q-grams, and how many of them one typing error (an exchange of neighbours at worst) destroys.
 Q, DESTROYED = 4, 5
+#: From how many letters two errors are accepted, and up to how many they are found by leaving out letters (longer ones by more q-grams).
+TWO_ERRORS, LEFT_OUT = 9, 26
 #: A reading is common from so many times the median number of different neighbours, and from so many at least; neighbours seen less than NEIGHBOUR_FREQ times don't count.
 COMMON_DEGREES, LEAST_COMMON, NEIGHBOUR_FREQ = 4, 12, 3
 #: Up to how many names a token is read as any more frequent one it resembles, and how many times more frequent the other must be beyond.
@@ -95,7 +98,7 @@ def parse_name(text: str | None) -> tuple[list[str], list[str], list[str]]:
 
 def close(a: str, b: str) -> bool:
     """One typing error apart at most: a letter replaced, added, left out or exchanged with its neighbour; two in tokens of nine and more letters that begin alike."""
-    return _distance(a, b, 2) <= (1 if min(len(a), len(b)) < 9 or a[0] != b[0] else 2)
+    return _distance(a, b, 2) <= (1 if min(len(a), len(b)) < TWO_ERRORS or a[0] != b[0] else 2)
 
 
 def _distance(a: str, b: str, most: int) -> int:
@@ -153,15 +156,36 @@ def _tasks(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _two_errors(words: DataFrame) -> DataFrame:
+    """token, other, f1, f2: seldom tokens and those they may be meant for that are equal without two letters of each at most, as all are that two errors separate."""
+
+    def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 1000):
+                out = []
+                for t, f in batch[["token", "freq"]].iloc[start : start + 1000].itertuples(index=False, name=None):
+                    one = {t[:i] + t[i + 1 :] for i in range(len(t))}
+                    out += [(t, f, x) for x in {t} | one | {x[:i] + x[i + 1 :] for x in one for i in range(len(x))}]
+                yield pd.DataFrame(out, columns=["token", "freq", "left"])
+
+    asked = words.where(F.length("token").between(TWO_ERRORS, LEFT_OUT) & ((F.col("freq") <= SELDOM) | (F.col("freq") >= MEANT)))
+    # both begin alike
+    lefts = asked.select("token", "freq").repartition(_tasks(words), "token").mapInPandas(left, "token string, freq bigint, left string").select("token", "freq", F.xxhash64(F.substring("token", 1, 1), "left").alias("left"))
+    a = lefts.where(F.col("freq") <= SELDOM).select("left", "token", F.col("freq").alias("f1"))
+    b = lefts.where(F.col("freq") >= MEANT).select("left", F.col("token").alias("other"), F.col("freq").alias("f2"))
+    return a.join(b, "left").where(F.col("f2") >= MEANT * F.col("f1")).select("token", "other", "f1", "f2").distinct()
+
+
 def similar_tokens(words: DataFrame) -> DataFrame:
     """token, other, f2 (the frequency of the other), d (their distance): pairs that typing errors separate, the more frequent one as ``other``."""
     long_enough = words.where(F.length("token") >= 4).select("token", "freq", "contacts", F.concat(F.lit("^" * (Q - 1)), "token", F.lit("$" * (Q - 1))).alias("padded"))
     grams = long_enough.withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("padded") - (Q - 1)), lambda i: F.col("padded").substr(i, F.lit(Q))))))
     weights = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    # of a token's grams, the rarest: one error destroys at most DESTROYED, so one of the first DESTROYED + 1 survives
+    # of a token's grams, the rarest: one error destroys at most DESTROYED, so one of the first DESTROYED + 1 survives; two errors twice as many
+    long, first = F.length("token") > LEFT_OUT - 2, F.array_sort(F.collect_list(F.struct("df", "gram")))
     prefixes = (
         grams.join(weights, "gram").groupBy("token", "freq", "contacts")
-        .agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram"))), 1, DESTROYED + 1).alias("first"))
+        .agg(first.alias("first")).withColumn("first", F.slice("first", F.lit(1), F.when(long, 2 * DESTROYED + 1).otherwise(DESTROYED + 1)))
         .select("token", "freq", "contacts", F.explode("first.gram").alias("gram"))
         .repartition(_tasks(words), "gram")
     )
@@ -171,7 +195,9 @@ def similar_tokens(words: DataFrame) -> DataFrame:
     # what is written often is meant, unless the other is written far more often
     more = ahead & ((F.col("f1") <= SELDOM) | (F.col("f2") >= MEANT * F.col("f1")))
     near = F.abs(F.length("token") - F.length("other")) <= 2
-    pairs = a.join(b, "gram").where(more & near & (F.levenshtein("token", "other", 2) >= 0)).select("token", "other", "f1", "f2").distinct()
+    # an exchange counts as two here
+    apart = (F.levenshtein("token", "other", 2) >= 0) | (long & (F.levenshtein("token", "other", 4) >= 0))
+    pairs = a.join(b, "gram").where(more & near & apart).select("token", "other", "f1", "f2").unionByName(_two_errors(words)).distinct()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -45,6 +45,20 @@ def test_prefix_filter_loses_no_single_error(spark):
     assert pairs <= {(r.token, r.other) for r in names.similar_tokens(df).collect()}
 
 
+def test_candidates_lose_no_two_errors_in_long_tokens(spark):
+    rnd = random.Random(3)
+    words = sorted({"".join(rnd.choice("abcdefghij") for _ in range(n)) for n in (9, 10, 12, 24, 25, 26, 27, 40) for _ in range(25)})
+
+    def error(w):
+        i = rnd.randrange(1, len(w) - 1)
+        return rnd.choice([w[:i] + w[i + 1 :], w[:i] + "z" + w[i:], w[:i] + "z" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]])
+
+    pairs = {(e, w) for w in words for e in [error(error(w))] if e not in words and min(len(e), len(w)) >= 9 and names._distance(e, w, 2) == 2}
+    data = [(w, 10, 1) for w in words] + [(e, 1, 0) for e in {p[0] for p in pairs}]
+    got = names.similar_tokens(spark.createDataFrame(data, "token string, freq bigint, contacts bigint"))
+    assert len(pairs) > 100 and pairs <= {(r.token, r.other) for r in got.collect()}
+
+
 @pytest.mark.parametrize("short,long,expected", [("plbg", "plumbing", True), ("svc", "service", True), ("marl", "marlowe", True), ("ma", "marlowe", False), ("bakery", "bakery", False), ("bob", "robert", False)])
 def test_abbreviations(short, long, expected):
     assert names.abbreviates(short, long) == expected
