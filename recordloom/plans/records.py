@@ -85,7 +85,7 @@ _EVENT_KEY = "sha256(concat_ws('|', user_id, event_type, epoch_us(ts)))"
   r AS (SELECT *, row_number() OVER (PARTITION BY {_EVENT_KEY} ORDER BY src, event_id) AS rn FROM b)
   SELECT CAST(year(ts) AS INTEGER) AS year, event_type, {_STATS} FROM r GROUP BY ALL""")
 def coalesce_events(spark: SparkSession, sf: str) -> DataFrame:
-    """The event log split in two overlapping halves and coalesced; the halves are the operator's input, every event is in one of them or both, or new."""
+    """The event log split in two overlapping parts and coalesced; as in the SQL, events with event_id = 3 mod 6 are in neither part and in no counter."""
     e = table(spark, sf, "events")
     key = F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type", F.unix_micros(F.col("ts").cast("timestamp")).cast("string")), 256)
     r = C.coalesce(e.where("event_id % 3 <> 0"), e.where("event_id % 2 = 0"), key, F.col("event_id"))

@@ -85,7 +85,7 @@ def attachment_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH a AS (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 0 AND text IS NOT NULL), r AS (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)
   SELECT coalesce(a.hash, r.hash) AS hash, CASE WHEN r.hash IS NULL THEN 'orphaned' ELSE 'missing' END AS state FROM a FULL JOIN r ON a.hash = r.hash WHERE a.hash IS NULL OR r.hash IS NULL""")
 def orphans_and_missing(spark: SparkSession, sf: str) -> DataFrame:
-    """Attachments without a reference and references without an attachment; stored and referred are two overlapping halves of the texts."""
+    """Attachments without a reference and references without an attachment; stored and referred are two overlapping parts of the texts, and as in the SQL those with doc_id = 3 mod 6 are in neither."""
     d = table(spark, sf, "documents").where("text is not null").withColumn("hash", F.sha2("text", 256))
     return T.reference_check(d.where("doc_id % 3 <> 0"), d.where("doc_id % 2 = 0"))
 
@@ -104,7 +104,7 @@ _ACTUAL = "(SELECT 'f' || o_orderkey AS name, CAST(round(o_totalprice * 100) AS
 
 
 def _files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """A manifest and the files it should list, made of ``orders`` with known differences."""
+    """A manifest and the files it should list, made of ``orders`` with known differences; as in the SQL, keys that are multiples of 35 are in neither."""
     o, k = table(spark, sf, "orders"), F.col("o_orderkey")
     name, size, text = F.concat(F.lit("f"), k.cast("string")).alias("name"), F.round(F.col("o_totalprice") * 100).cast("bigint"), F.concat("o_orderstatus", "o_orderpriority")
     manifest = o.where("o_orderkey % 7 <> 0").select(name, size.alias("size"), F.md5(text).alias("checksum"))
