@@ -1,19 +1,31 @@
 """Minimum-cost error parse of call lines.
 
-Every line is read by a small grammar (``csv`` or ``xml``). A line that the
-grammar accepts without any edit and whose values have the right types costs
-nothing and loads as a typed call. For every other line a dynamic program finds
-the cheapest edits (a quote inserted or deleted, a delimiter inserted or deleted,
-an attribute renamed) that make it a row of six fields; the edits are the reason
-why it was refused.
-
-Zero-cost lines are recognised by one regular expression, so the program runs over
-the refused ones only.
+Every line is read by a small grammar (``csv`` or ``xml``) with dynamic programs
+that insert and delete quotes and delimiters. A line that costs nothing and whose
+values have the right types loads as a typed call; for every other line the edits
+of its cheapest reading are the reason why it was refused:
+
+* quotes first: a program of a few states (outside, in a bare value, in a quoted
+  value, behind a closing quote) runs over the quotes and delimiters of the line
+  and finds the fewest quotes to insert or delete;
+* then delimiters: the pieces between them are aligned with the six fields, a
+  delimiter inserted where a field is missing and deleted where there is one too
+  many, so that as many values as possible have the type of their field. Two
+  neighbouring pieces that only together are a value of their field (a readable
+  date, a name with a comma) lack the pair of quotes around them.
+
+Both programs are linear in the line. ``line_edits`` gives the edits themselves.
+Lines that a regular expression recognises as free of cost skip the programs.
+
+Each line is in exactly one output: ``refused_lines`` if it has a reason,
+``valid_calls`` otherwise.
 
 Defined cases: a null, empty or blank line has no field and is refused as
 ``columns``; an unknown ``form`` is parsed as csv unless the line starts with
-``<``; repeated lines are judged one by one; further columns of the input are
-ignored.
+``<``; an element with all six attributes whose end (``/>``, ``></call>``) is
+missing or incomplete loads, as no field is affected; text between the attributes
+or behind the end is a field too many; repeated lines are judged one by one;
+further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -30,34 +42,21 @@ CALL_FIELDS = ("number", "duration", "date", "type", "readable_date", "contact_n
 #: Largest duration (32 bits) and date (64 bits).
 MAX_DURATION, MAX_DATE = 2**31 - 1, 2**63 - 1
 
-QUOTE_EDIT, DELIMITER_EDIT = 1, 3
+#: Costs of the alignment: a pair of quotes that makes a value of its field, a delimiter, and a value that hasn't the type of its field.
+PAIR_EDIT, DELIMITER_EDIT, WRONG_TYPE = 4, 12, 1
 #: Delimiters of other dialects.
 OTHER_DELIMITERS = ";|\t"
-#: A line with more signs of equality is no call of six attributes; its quotes are only counted.
-MAX_ATTRIBUTES = 200
 
-_CSV_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
+_CSV_FIELD = r'(?:"(?:[^"]|"")*+"|[^",]*+)'
 _CSV_LINE = re.compile(",".join([f"({_CSV_FIELD})"] * 6))
-_XML_ATTR = re.compile(r"""\s+([A-Za-z_][\w.-]*)\s*=\s*("[^"]*"|'[^']*')""")
-_XML_LINE = re.compile(rf"""\s*<call(?:{_XML_ATTR.pattern})*\s*(?:/>|>\s*</call>)\s*""")
+_XML_ATTR = re.compile(r"""\s++([A-Za-z_][\w.-]*+)\s*+=\s*+("[^"]*+"|'[^']*+')""")
+_XML_LINE = re.compile(rf"""\s*+<call(?:{_XML_ATTR.pattern})*+\s*+(?:/>|>\s*+</call>)\s*+""")
 _READABLE = re.compile(r"^\s*[A-Z][a-z]{2,8} \d{1,2}, \d{4}( \d{1,2}:\d{2}(:\d{2})?( [AP]M)?)?\s*$")
 _PACKED_NAME = re.compile(r"^[^,]*[^,\s], \S[^,]*$")
+_NUMBER = re.compile(r"[-+0-9() .*#/]*[0-9][-+0-9() .*#/]*")
+_WHOLE = re.compile(r"[+-]?[0-9]+")
 
-
-def zero_cost(form: str | None, line: str | None) -> tuple[str, ...] | None:
-    """The six values in file order of a line that the grammar accepts without an edit, else None."""
-    if line is None:
-        return None
-    if _is_xml(form, line):
-        if not _XML_LINE.fullmatch(line):
-            return None
-        found = _XML_ATTR.findall(line)
-        values = {name: value[1:-1] for name, value in found}
-        if len(found) != 6 or len(values) != 6 or not all(f in values for f in CALL_FIELDS):
-            return None
-        return tuple(unescape(values[f]) if "&" in values[f] else values[f] for f in CALL_FIELDS)
-    m = _CSV_LINE.fullmatch(line)
-    return tuple(v[1:-1].replace('""', '"') if v[:1] == '"' else v for v in m.groups()) if m else None
+Edit = tuple[str, int]
 
 
 def bad_values(duration: str | None, date: str | None, kind: str | None) -> list[str]:
@@ -77,183 +76,312 @@ def _is_xml(form: str | None, line: str) -> bool:
     return form == "xml" or (form != "csv" and line.startswith("<"))
 
 
-def valid_calls(lines: DataFrame) -> DataFrame:
-    """The zero-cost, type-valid lines as typed calls: line_id, device_id, file_name and the six fields."""
+def zero_cost(form: str | None, line: str | None) -> tuple[str, ...] | None:
+    """The six values in file order of a line that one regular expression accepts, else None."""
+    if line is None:
+        return None
+    if _is_xml(form, line):
+        if not _XML_LINE.fullmatch(line):
+            return None
+        return _named([(name, value[1:-1]) for name, value in _XML_ATTR.findall(line)])
+    m = _CSV_LINE.fullmatch(line)
+    return tuple(_plain(v) for v in m.groups()) if m else None
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for line, device, file, form, raw in batch.itertuples(index=False, name=None):
-                v = zero_cost(form, raw)
-                if v and not bad_values(v[1], v[2], v[3]):
-                    rows.append((line, device, file, v[0], int(v[1]), int(v[2]), int(v[3]), v[4], v[5]))
-            out = pd.DataFrame(rows, columns=["line_id", "device_id", "file_name", *CALL_FIELDS])
-            yield out.astype({"line_id": "int64", "duration": "int32", "date": "int64", "type": "int32"}).assign(device_id=out["device_id"].astype("Int32"))
 
-    schema = "line_id bigint, device_id int, file_name string, number string, duration int, date bigint, type int, readable_date string, contact_name string"
-    return lines.select("line_id", "device_id", "file_name", "form", "raw_line").mapInPandas(load, schema)
+def _plain(written: str) -> str:
+    return written[1:-1].replace('""', '"') if written[:1] == '"' else written
 
 
-def _csv_edits(line: str, delimiter: str = ",") -> tuple[int, int]:
-    """(fields, quote edits) of the cheapest reading of a csv line when only quotes may be edited.
+def _named(found: list[tuple[str, str]]) -> tuple[str, ...] | None:
+    """The values in file order if each field is there exactly once and nothing else."""
+    values = dict(found)
+    if len(found) != 6 or len(values) != 6 or not all(f in values for f in CALL_FIELDS):
+        return None
+    return tuple(unescape(values[f]) if "&" in values[f] else values[f] for f in CALL_FIELDS)
 
-    States: 0 at the start of a field, 1 in a bare field, 2 in a quoted field,
-    3 behind a closing quote. An entry is (edits, fields); the cheapest entry of
-    each state is kept, so the program is linear in the line.
-    """
-    inf = (1 << 30, 0)
-    state = [(0, 1), inf, inf, inf]
-    for ch in line:
-        at0, bare, quoted, closed = state
-        new = [inf, inf, inf, inf]
 
-        def put(k: int, cost: tuple[int, int], more: int = 0, fields: int = 0) -> None:
-            value = (cost[0] + more, cost[1] + fields)
-            if value < new[k]:
-                new[k] = value
+class _Path:
+    """The cheapest way to a state: its cost, fields so far and edits (a chain from the last one back)."""
+
+    __slots__ = ("cost", "fields", "edits")
+
+    def __init__(self, cost: int, fields: int, edits: tuple | None = None):
+        self.cost, self.fields, self.edits = cost, fields, edits
+
+    def edit(self, what: str, at: int) -> _Path:
+        return _Path(self.cost + 1, self.fields, (what, at, self.edits))
 
+    def field(self) -> _Path:
+        return _Path(self.cost, self.fields + 1, self.edits)
+
+    def __lt__(self, other: _Path) -> bool:
+        return (self.cost, self.fields) < (other.cost, other.fields)
+
+
+def _chain(edits: tuple | None) -> list[Edit]:
+    out = []
+    while edits is not None:
+        out.append(edits[:2])
+        edits = edits[2]
+    return out[::-1]
+
+
+def _csv_quotes(line: str, delimiter: str = ",") -> tuple[int, list[Edit]]:
+    """(fields, quote edits) of the cheapest reading of a csv line when only quotes may be edited; of equally cheap ones the one nearest to six fields.
+
+    Runs of other characters count as one step, so the program takes as many steps
+    as the line has quotes and delimiters. Beyond seven fields only the fewest are kept.
+    """
+    Paths = dict[int, _Path]
+    start: Paths = {1: _Path(0, 1)}
+    bare: Paths = {}
+    quoted: Paths = {}
+    closed: Paths = {}
+
+    def put(to: Paths, path: _Path) -> None:
+        k = min(path.fields, 7)
+        if k not in to or path < to[k]:
+            to[k] = path
+
+    for m in re.finditer(rf'"|{re.escape(delimiter)}|[^"{re.escape(delimiter)}]+', line):
+        i, ch = m.start(), m.group()
+        at0, in_bare, in_quoted, behind = Paths(), Paths(), Paths(), Paths()
         if ch == '"':
-            put(2, at0)                       # opens
-            put(3, quoted)                    # closes, or is the first of a doubled pair
-            put(2, closed)                    # the second of a doubled pair
-            put(1, bare, QUOTE_EDIT)          # deleted
-            put(1, at0, QUOTE_EDIT)
-            put(2, quoted, QUOTE_EDIT)        # deleted or doubled by an insertion
+            for p in start.values():
+                put(in_quoted, p)  # opens
+                put(in_bare, p.edit("delete quote", i))
+            for p in quoted.values():
+                put(behind, p)  # closes, or is the first of a doubled pair
+                put(in_quoted, p.edit("double quote", i))
+            for p in closed.values():
+                put(in_quoted, p)  # the second of a doubled pair
+            for p in bare.values():
+                put(in_bare, p.edit("delete quote", i))
         elif ch == delimiter:
-            put(0, at0, 0, 1)
-            put(0, bare, 0, 1)
-            put(0, closed, 0, 1)
-            put(2, quoted)                    # a delimiter inside quotes is text
-            put(0, quoted, QUOTE_EDIT, 1)     # a closing quote inserted before it
+            for paths in (start, bare, closed):
+                for p in paths.values():
+                    put(at0, p.field())
+            for p in quoted.values():
+                put(in_quoted, p)  # a delimiter inside quotes is text
+                put(at0, p.edit("insert quote", i).field())
         else:
-            put(1, at0)
-            put(1, bare)
-            put(2, quoted)
-            put(2, at0, QUOTE_EDIT)           # an opening quote inserted
-            put(2, closed, QUOTE_EDIT)        # the closing quote was one too few
-        state = new
-    ends = [state[0], state[1], state[3], (state[2][0] + QUOTE_EDIT, state[2][1])]
-    edits, fields = min(ends)
-    return fields, edits
-
-
-def _csv_pieces(line: str) -> list[str]:
-    """The fields of a csv line whose quotes are in order."""
-    return [x[0] for x in re.findall(r'(?:^|,)(("(?:[^"]|"")*"|[^",]*))', line)]
-
-
-def _missing_pair(pieces: list[str]) -> bool:
-    """Does a pair of quotes around two neighbouring fields, which a comma and a blank join, give six fields of the right form?"""
-    if len(pieces) <= 6 or any(not p for p in pieces[:4]):
-        return False
-    best: dict[tuple[int, int], int] = {(0, 0): 0}
+            for p in start.values():
+                put(in_bare, p)
+                put(in_quoted, p.edit("insert quote", i))
+            for p in bare.values():
+                put(in_bare, p)
+            for p in quoted.values():
+                put(in_quoted, p)
+            for p in closed.values():
+                put(in_quoted, p.edit("delete quote", i - 1))  # the closing quote was one too few
+        start, bare, quoted, closed = at0, in_bare, in_quoted, behind
+    ends = [p for paths in (start, bare, closed) for p in paths.values()] + [p.edit("insert quote", len(line)) for p in quoted.values()]
+    best = min(ends, key=lambda p: (p.cost, abs(p.fields - 6)))
+    return best.fields, _chain(best.edits)
+
+
+def _pieces(line: str, delimiter: str = ",") -> list[tuple[int, str]]:
+    """(start, text) of the fields of a line whose quotes are in order under ``delimiter``."""
+    d = re.escape(delimiter)
+    out, at = [], 0
+    piece = re.compile(rf'"(?:[^"]|"")*+"|[^"{d}]*+')
+    while True:
+        m = piece.match(line, at)
+        out.append((at, m.group()))
+        if m.end() >= len(line):
+            return out
+        at = m.end() + 1
+
+
+def _has_type(field: int, text: str) -> bool:
+    text = _plain(text)
+    if field == 0:
+        return not text or _NUMBER.fullmatch(text) is not None
+    if field in (1, 2, 3):
+        low, high = ((0, MAX_DURATION), (1, MAX_DATE), (1, 4))[field - 1]
+        return len(text) <= 40 and _WHOLE.fullmatch(text) is not None and low <= int(text) <= high
+    return field == 5 or not text or _READABLE.match(text) is not None
+
+
+def _align(pieces: list[tuple[int, str]]) -> list[Edit]:
+    """The cheapest edits that make six fields of the pieces between the delimiters of a line."""
     n = len(pieces)
-    for i in range(n):
+    before: list[tuple[int, tuple | None] | None] = [(0, None)] + [None] * 6
+    behind: list = [None] * 7  # of one piece earlier
+    for k in range(1, 7):  # fields without a piece at the beginning
+        before[k] = (before[k - 1][0] + DELIMITER_EDIT, ("insert delimiter", pieces[0][0], before[k - 1][1]))
+    for i, (at, text) in enumerate(pieces):
+        now: list = [None] * 7
+        paired = None
+        if i and '"' not in text + pieces[i - 1][1] and text.startswith(" "):
+            paired = pieces[i - 1][1] + "," + text
         for k in range(7):
-            cost = best.get((i, k))
-            if cost is None or k >= 6:
-                continue
-            best[(i + 1, k + 1)] = min(cost, best.get((i + 1, k + 1), 1 << 30))
-            if i + 2 <= n and k >= 4 and pieces[i + 1].startswith(" ") and '"' not in pieces[i] + pieces[i + 1]:
-                joined = pieces[i] + "," + pieces[i + 1]
-                if (_READABLE if k == 4 else _PACKED_NAME).match(joined):
-                    best[(i + 2, k + 1)] = min(cost + QUOTE_EDIT, best.get((i + 2, k + 1), 1 << 30))
-    return best.get((n, 6), 1 << 30) < DELIMITER_EDIT
-
-
-_XML_HEAD = re.compile(r"\s*<?call\b")
-_XML_NAME = re.compile(r"\s*([A-Za-z_][\w.-]*)\s*=\s*")
-_XML_END = re.compile(r"\s*(/>|/|>\s*(</call>?)?|>.*|)\s*$", re.S)
-_XML_NEXT = re.compile(r"\s+[A-Za-z_][\w.-]*\s*=\s*[\"']?|\s*/?>")
-
-
-def _xml_edits(line: str) -> tuple[list[str], int]:
-    """(attribute names, quote edits) of the cheapest reading of a call element.
-
-    A value is taken as written if its quotes match and what follows can begin
-    another attribute or end the element; otherwise its end is the place from
-    which the rest reads on with the fewest edits, and each quote that had to be
-    inserted or deleted to get there counts as an edit.
-    """
-    m = _XML_HEAD.match(line)
-    if not m:
-        return [], 0
-    if line.count("=") > MAX_ATTRIBUTES:
-        return _XML_NAME.findall(line), (line.count('"') | line.count("'")) % 2
-    memo: dict[int, tuple[int, list[str]]] = {}
-
-    def read(at: int) -> tuple[int, list[str]]:
-        first = at
-        if at in memo:
-            return memo[at]
-        if _XML_END.match(line, at):
-            memo[at] = (0, [])
-            return memo[at]
-        name, junk = _XML_NAME.match(line, at), 0
-        while not name and at < len(line):  # junk is skipped; an odd quote in it costs, other junk is no edit of quotes
-            junk += line[at] in "\"'"
-            at += 1
-            if _XML_END.match(line, at):
-                return junk, []
-            name = _XML_NAME.match(line, at)
-        if not name:
-            return junk, []
-        start = name.end()
-        quote = line[start] if start < len(line) and line[start] in "\"'" else ""
-        options: list[tuple[int, int]] = []
-        body = start + len(quote)
-        if quote:
-            close = line.find(quote, body)
-            if close >= 0:
-                follows = line[close + 1 : close + 2]
-                if not follows or follows.isspace() or follows in "/>":
-                    options.append((0, close + 1))
-        for nxt in _XML_NEXT.finditer(line, body):
-            value = line[body : nxt.start()]
-            cost = 0 if quote else 1
-            tail = value[-1:] if value[-1:] in ("'", '"') and value else ""
-            if not tail:
-                cost += 1
-            elif tail != quote:
-                cost += 1
-            cost += sum(c == (quote or '"') for c in value[: len(value) - len(tail)])
-            options.append((max(cost, 0), nxt.start()))
-        if not options:
-            cost = 1 + (not quote)
-            if quote and line.endswith(quote) and len(line) > body:
-                cost = 0
-            memo[first] = (junk + cost, [name.group(1)])
-            return memo[first]
-        found = []
-        for cost, end in options:
-            rest = read(end)
-            found.append((cost + rest[0], [name.group(1), *rest[1]]))
-            if cost + rest[0] == 0:
-                break
-        edits, names = min(found, key=lambda x: x[0])
-        memo[first] = (junk + edits, names)
-        return memo[first]
-
-    edits, names = read(m.end())
-    return names, edits
+            best = None
+            if before[k] is not None and i:  # joined to the field before it
+                best = (before[k][0] + DELIMITER_EDIT + (0 if not text or k == 6 else WRONG_TYPE), ("delete delimiter", at - 1, before[k][1]))
+            if k and before[k - 1] is not None:
+                cost = before[k - 1][0] + (0 if _has_type(k - 1, text) else WRONG_TYPE)
+                if best is None or cost <= best[0]:
+                    best = (cost, before[k - 1][1])
+            if k >= 5 and paired and behind[k - 1] is not None and (_READABLE if k == 5 else _PACKED_NAME).match(paired):
+                cost = behind[k - 1][0] + PAIR_EDIT
+                if best is None or cost < best[0]:
+                    best = (cost, ("insert pair of quotes", pieces[i - 1][0], behind[k - 1][1]))
+            if k and now[k - 1] is not None and (best is None or now[k - 1][0] + DELIMITER_EDIT < best[0]):
+                best = (now[k - 1][0] + DELIMITER_EDIT, ("insert delimiter", at + len(text), now[k - 1][1]))
+            now[k] = best
+        behind, before = before, now
+    return _chain(before[6][1])
 
 
-def line_reason(form: str | None, line: str | None) -> str:
-    """``quoting``, ``columns`` or an empty text for a line with right quotes and columns."""
+_XML_HEAD = re.compile(r"\s*+<?call(?![\w.-])")
+_XML_EVENT = re.compile(r"""(?<![\w.-])(?P<name>[A-Za-z_][\w.-]*+)\s*+=\s*+|(?P<quote>["'])|(?P<end>/?>)|(?P<text>[^\s"'/>]++)""")
+_XML_TAIL = re.compile(r"\s*+(?:<(?:/(?:c(?:a(?:l(?:l(?:\s*+>)?)?)?)?)?)?)?\s*+")
+_DOUBLE, _SINGLE, _BARE = '"', "'", ""
+
+
+class _Reading:
+    """A reading of an element up to a place: quote edits, pieces of text of no attribute, and the chains of edits and attributes."""
+
+    __slots__ = ("cost", "junk", "known", "edits", "attrs", "name", "start")
+
+    def __init__(self, cost: int, junk: int, known: int, edits: tuple | None, attrs: tuple | None, name: str = "", start: int = 0):
+        self.cost, self.junk, self.known, self.edits, self.attrs, self.name, self.start = cost, junk, known, edits, attrs, name, start
+
+    def edit(self, what: str, at: int) -> _Reading:
+        return _Reading(self.cost + 1, self.junk, self.known, (what, at, self.edits), self.attrs, self.name, self.start)
+
+    def stray(self, quotes: int = 0) -> _Reading:
+        return _Reading(self.cost + quotes, self.junk + 1, self.known, self.edits, self.attrs, self.name, self.start)
+
+    def value_at(self, name: str, start: int) -> _Reading:
+        return _Reading(self.cost, self.junk, self.known, self.edits, self.attrs, name, start)
+
+    def closed(self, line: str, end: int) -> _Reading:
+        return _Reading(self.cost, self.junk, self.known + (self.name in CALL_FIELDS), self.edits, (self.name, line[self.start : end], self.attrs))
+
+
+def _least(*readings: _Reading | None) -> _Reading | None:
+    return min((r for r in readings if r is not None), key=lambda r: (r.cost, r.junk, -r.known), default=None)
+
+
+def _xml_quotes(line: str) -> tuple[list[tuple[str, str]], list[Edit], bool] | None:
+    """(attributes as written, quote edits, is there text of no attribute?) of the cheapest reading of a call element; None: no call element.
+
+    One pass over names, quotes and ends with five states: between attributes, behind
+    an equals sign, and in a value of either kind of quote or of none. A value ends at
+    its quote if a blank or the end of the element follows; it ends at the other
+    quote, or where the next attribute or the end of the element begins, at the cost
+    of an edit, and each of its quotes inside it costs one. Of equally many edits the
+    reading with less text of no attribute counts, then the one with more attributes.
+    """
+    head = _XML_HEAD.match(line)
+    if not head:
+        return None
+    behind_quotes = line.count('"', head.end()) + line.count("'", head.end())
+    between: _Reading | None = _Reading(0, 0, 0, None, None)
+    expected: _Reading | None = None
+    values: dict[str, _Reading | None] = {_DOUBLE: None, _SINGLE: None, _BARE: None}
+    ended: _Reading | None = None
+    for m in _XML_EVENT.finditer(line, head.end()):
+        kind, i = m.lastgroup, m.start()
+        if expected is not None and not (kind == "quote" and i == expected.start):
+            values[_BARE] = _least(values[_BARE], expected.edit("insert quote", expected.start))
+            expected = None
+        open_ = [r for r in values.values() if r is not None]
+        if kind == "name":
+            ways = [between, *(r.edit("insert quote", i).closed(line, len(line[:i].rstrip()) if i - r.start < 64 else i) for r in open_ if line[i - 1].isspace())]
+            way = _least(*ways)
+            between, expected = None, way and way.value_at(m.group(kind), m.end())
+        elif kind == "quote":
+            ch, behind_quotes = m.group(), behind_quotes - 1
+            follows = line[i + 1 : i + 2]
+            free = not follows or follows.isspace() or follows in "/>"
+            ends = [between and between.edit("delete quote", i)]
+            for q, r in values.items():
+                if r is None:
+                    continue
+                if free:
+                    ends.append((r if q in (ch, _BARE) else r.edit("replace quote", i)).closed(line, i))
+                values[q] = r.edit("escape quote", i) if q in (ch, _BARE) else r
+            if expected is not None:
+                values[ch] = _least(values[ch], expected.value_at(expected.name, i + 1))
+                expected = None
+            between = _least(*ends)
+        elif kind == "end":
+            tail = _XML_TAIL.match(line, m.end()).end() == len(line)
+            for way in (between, *(r.edit("insert quote", i).closed(line, i) for r in open_)):
+                if way is not None:
+                    ended = _least(ended, way if tail else way.stray(behind_quotes))
+            between = between and between.stray()
+        else:
+            between = between and between.stray()
+    size = len(line)
+    if expected is not None:
+        values[_BARE] = _least(values[_BARE], expected.edit("insert quote", expected.start))
+    best = _least(ended, between, *(r.edit("insert quote", size).closed(line, size) for r in values.values() if r is not None))
+    found, attrs = [], best.attrs
+    while attrs is not None:
+        found.append(attrs[:2])
+        attrs = attrs[2]
+    edits = _chain(best.edits) or ([("delete quote", size)] if best.cost else [])
+    return found[::-1], edits, best.junk > 0
+
+
+def parse_line(form: str | None, line: str | None) -> tuple[list[str], tuple[str, ...] | None, list[Edit]]:
+    """(reasons, values in file order, edits) of a line; without a reason the values are those of a typed call."""
+    values = zero_cost(form, line)
+    if values:
+        return bad_values(*values[1:4]), values, []
     if line is None or not line.strip():
-        return "columns"
+        return ["columns"], None, [("insert delimiter", 0)] * 5
     if _is_xml(form, line):
-        names, edits = _xml_edits(line)
+        read = _xml_quotes(line)
+        if read is None:
+            return ["columns"], None, [("insert element", 0)]
+        attributes, edits, stray = read
         if edits:
-            return "quoting"
-        return "" if sorted(names) == sorted(CALL_FIELDS) else "columns"
-    fields, edits = _csv_edits(line)
+            return ["quoting"], None, edits
+        values = _named(attributes)
+        if stray or values is None:
+            names = [name for name, _ in attributes]
+            edits = [("delete text", len(line))] if stray else []
+            edits += [(f"insert {f}", len(line)) for f in CALL_FIELDS if f not in names]
+            edits += [(f"delete {n}", k) for k, n in enumerate(names) if n not in CALL_FIELDS or n in names[:k]]
+            return ["columns"], None, edits
+        return bad_values(*values[1:4]), values, []
+    edits = _csv_quotes(line)[1]
+    # a line whose quotes are in order under another delimiter has the wrong delimiter
+    for d in (d for d in OTHER_DELIMITERS if line.count(d) >= 5):
+        if _csv_quotes(line, d) == (6, []):
+            return ["columns"], None, [(f"replace {d!r}", at - 1) for at, _ in _pieces(line, d)[1:]]
     if edits:
-        # a line whose quotes are in order under another delimiter has the wrong delimiter
-        return "columns" if any(_csv_edits(line, d) == (6, 0) for d in OTHER_DELIMITERS) else "quoting"
-    if fields != 6:
-        return "quoting" if _missing_pair(_csv_pieces(line)) else "columns"
-    return ""
+        return ["quoting"], None, edits
+    edits = _align(_pieces(line))
+    return ["quoting" if any(what == "insert pair of quotes" for what, _ in edits) else "columns"], None, edits
+
+
+def line_reason(form: str | None, line: str | None) -> str:
+    """``quoting``, ``columns`` or an empty text for a line with right quotes and columns."""
+    reasons = parse_line(form, line)[0]
+    return reasons[0] if reasons and reasons[0] in ("quoting", "columns") else ""
+
+
+def valid_calls(lines: DataFrame) -> DataFrame:
+    """The lines without a reason as typed calls: line_id, device_id, file_name and the six fields."""
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for line, device, file, form, raw in batch.itertuples(index=False, name=None):
+                reasons, v, _ = parse_line(form, raw)
+                if not reasons:
+                    rows.append((line, device, file, v[0], int(v[1]), int(v[2]), int(v[3]), v[4], v[5]))
+            out = pd.DataFrame(rows, columns=["line_id", "device_id", "file_name", *CALL_FIELDS])
+            yield out.astype({"line_id": "int64", "duration": "int32", "date": "int64", "type": "int32"}).assign(device_id=out["device_id"].astype("Int32"))
+
+    schema = "line_id bigint, device_id int, file_name string, number string, duration int, date bigint, type int, readable_date string, contact_name string"
+    return lines.select("line_id", "device_id", "file_name", "form", "raw_line").mapInPandas(load, schema)
 
 
 def refused_lines(lines: DataFrame) -> DataFrame:
@@ -263,17 +391,25 @@ def refused_lines(lines: DataFrame) -> DataFrame:
         for batch in batches:
             ids, reasons = [], []
             for i, form, raw in zip(batch["line_id"], batch["form"], batch["raw_line"]):
-                v = zero_cost(form, raw)
-                if v:
-                    found = bad_values(v[1], v[2], v[3])
-                elif reason := line_reason(form, raw):
-                    found = [reason]
-                else:  # all columns are there, but the element isn't closed
-                    values = {name: value[1:-1] for name, value in _XML_ATTR.findall(raw)}
-                    found = bad_values(*[values.get(f) for f in ("duration", "date", "type")])
-                for r in found:
+                for r in parse_line(form, raw)[0]:
                     ids.append(i)
                     reasons.append(r)
             yield pd.DataFrame({"line_id": pd.Series(ids, dtype="int64"), "reason": pd.Series(reasons, dtype="object")})
 
     return lines.select("line_id", "form", "raw_line").mapInPandas(judge, "line_id bigint, reason string")
+
+
+def line_edits(lines: DataFrame) -> DataFrame:
+    """line_id, edits, cost of the refused lines: the operations (with their place in the line) that make a row of six fields; a line refused for its values only has none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, form, raw in zip(batch["line_id"], batch["form"], batch["raw_line"]):
+                reasons, _, edits = parse_line(form, raw)
+                if reasons:
+                    rows.append((i, [f"{what} at {at}" for what, at in edits], len(edits)))
+            out = pd.DataFrame(rows, columns=["line_id", "edits", "cost"])
+            yield out.astype({"line_id": "int64", "cost": "int32"})
+
+    return lines.select("line_id", "form", "raw_line").mapInPandas(run, "line_id bigint, edits array<string>, cost int")
