@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: A side is broadcast only when it has at most this many rows.
 BROADCAST_ROWS = 200_000
@@ -16,8 +15,9 @@ BROADCAST_ROWS = 200_000
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting wins. Only a session that has none (tests on one
-    machine) gets a folder below the user's temporary directory.
+    The cluster's setting wins. Only a session on one machine (``local`` master, as in
+    tests) may go without it and gets a folder below the user's temporary directory;
+    a session with executors on other machines has to name a folder they share.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -25,28 +25,55 @@ def scratch_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     local = os.path.join(tempfile.gettempdir(), "recordloom-scratch")
     os.makedirs(local, exist_ok=True)
     return "file://" + local
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of the JVM for a path of any scheme."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _application_scratch(spark: SparkSession) -> str:
+    """The application's own folder below the scratch folder; it is deleted when the driver ends."""
+    path = f"{scratch_dir(spark)}/recordloom/{spark.sparkContext.applicationId}"
+    if path not in _registered:
+        fs, at = file_system(spark, path)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+        _registered.add(path)
+    return path
+
+
+_registered: set[str] = set()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts the lineage with files every executor can read, so the loss of an
-    executor costs no recomputation of what was cut.
+    executor costs no recomputation of what was cut. The files go with ``drop_cut``
+    or with the end of the application.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/recordloom/{uuid.uuid4().hex}"
+    path = f"{_application_scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop_cut(*frames: DataFrame) -> None:
+    """Delete the files of results of ``cut`` that nothing will read again."""
+    for df in frames:
+        fs, at = file_system(df.sparkSession, df._scratch_path)
+        fs.delete(at, True)
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``rows`` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows
-
-
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its checked row count allows it."""
-    return F.broadcast(df) if small_enough(df, rows) else df
