@@ -18,28 +18,33 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.session import cut
+
 #: The fields that identify a call in a dump.
 KEY_FIELDS = ("number", "date", "duration", "type")
 #: What a comparison ignores: blanks, control characters and punctuation, the ASCII signs included; not the separator of fields.
 IGNORED = r"[\s\p{Z}\p{C}\p{P}$+<=>^`|~&&[^\x1f]]+"
-_FIELD = r"""(?is)(?<![\p{L}\p{N}_])(number|date|duration|type)["']?\s*[=:]\s*("[^"]*"|'[^']*'|[^"'\s,;>}][^\s,;>}]*)"""
-
+_ASCII_IGNORED = "".join(chr(c) for c in range(128) if not chr(c).isalnum() and c != 0x1F)
+_FIELD = r"""(?s)(?<![\p{L}\p{N}_])(number|date|duration|type)["']?\s*[=:]\s*("[^"]*"|'[^']*'|[^"'\s,;>}][^\s,;>}]*)"""
 
-def bare(column: Column) -> Column:
-    """Letters and digits of a text in lower case; separators of fields stay."""
-    return F.lower(F.regexp_replace(column, IGNORED, ""))
 
+def keyed_records(records: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """key, id, n = 1 of each record; copies of a record have equal keys.
 
-def canonical_key(text: Column) -> Column:
-    """The key under which copies of a record are equal."""
-    text = F.translate(text, "\x1f", " ")
-    names = F.transform(F.regexp_extract_all(text, F.lit(_FIELD), F.lit(1)), F.lower)
-    values = F.regexp_extract_all(text, F.lit(_FIELD), F.lit(2))
-    fields = [F.coalesce(F.try_element_at(values, F.nullif(F.array_position(names, f).cast("int"), F.lit(0))), F.lit("")) for f in KEY_FIELDS]
-    return bare(F.when(F.size(names) > 0, F.concat_ws("\x1f", *fields)).otherwise(text))
+    One expression a step, so that none is evaluated twice a row. ASCII signs go by
+    translation; the regular expression for all others runs only where there are any.
+    """
+    text = F.lower(F.translate(text_column, "\x1f", " "))
+    rows = records.where(F.col(text_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("id"), text.alias("text"))
+    found = rows.select("id", "text", F.regexp_extract_all("text", F.lit(_FIELD), F.lit(1)).alias("names"), F.regexp_extract_all("text", F.lit(_FIELD), F.lit(2)).alias("values"))
+    fields = [F.coalesce(F.try_element_at("values", F.nullif(F.array_position("names", F.lit(f)).cast("int"), F.lit(0))), F.lit("")) for f in KEY_FIELDS]
+    said = found.select("id", F.when(F.size("names") > 0, F.concat_ws("\x1f", *fields)).otherwise(F.col("text")).alias("said"))
+    plain = said.select("id", "said", F.translate("said", _ASCII_IGNORED, "").alias("plain"))
+    only_ascii = F.octet_length("plain") == F.length("plain")
+    return plain.select(F.when(only_ascii, F.col("plain")).otherwise(F.regexp_replace("plain", IGNORED, "")).alias("key"), "id", F.lit(1).cast("bigint").alias("n"))
 
 
 def fold_batches(df: DataFrame) -> DataFrame:
@@ -94,9 +99,13 @@ def scan_runs(ordered: DataFrame) -> DataFrame:
 
 
 def collapse(records: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """One row per record: key, id (the smallest of its copies), copies."""
-    keyed = records.where(F.col(text_column).isNotNull()).select(canonical_key(F.col(text_column)).alias("key"), F.col(id_column).cast("bigint").alias("id"), F.lit(1).cast("bigint").alias("n"))
-    return scan_runs(fold_batches(keyed).repartitionByRange("key").sortWithinPartitions("key"))
+    """One row per record: key, id (the smallest of its copies), copies.
+
+    The folded keys are written once, since a range exchange reads its input twice
+    (for the borders of the ranges and for the rows).
+    """
+    folded = cut(fold_batches(keyed_records(records, id_column, text_column)))
+    return scan_runs(folded.repartitionByRange("key").sortWithinPartitions("key"))
 
 
 def found(records: DataFrame) -> DataFrame:
