@@ -5,42 +5,53 @@ start and its duration. Rows that agree in all three are the same call whatever
 their exact start, so they are folded before anything else happens; all further
 work is on distinct texts.
 
-Each batch becomes an immutable segment: the concatenation of its texts and the
-array of its record suffixes in sorted order (a sparse suffix array, one suffix a
-record). For each record of a later batch the substrings "number, cell" of its own
-and the two neighbouring cells, continued by the durations that differ by at most
-two, are binary-searched in every segment. What is matched covers the number and
-the cell of the record whole; an exact check of the milliseconds follows.
-Segments of similar size are merged, so there are only logarithmically many of
-them, and no batch makes the history be sorted again.
-
-Links are joined to classes by hooking and pointer jumping, so the class of a call
-is its connected component. Work is split by number and day; a margin of
-neighbouring cells goes along with each day, so a class that crosses midnight is
-seen whole from both sides. A class that runs through a whole margin is worked
-again with days and margins made 64 times as long, until none does.
+Each batch becomes an immutable segment in a shared folder: the concatenation of
+its texts in the order of a sparse suffix array (the suffixes that begin a record;
+no other can match a whole number and cell), divided by the hash of number and
+day. For each record of a new batch the substrings "number, cell" of its own and
+the two neighbouring cells, continued by the durations that differ by at most two,
+are binary-searched in every segment where it lies: tasks read the stored runs of
+their own division, and of those the row groups between the first and the last
+substring asked for only. Nothing of the history is shuffled or sorted again. What
+is matched covers a record's number and cell whole; an exact check of the
+milliseconds and of the duration follows, and the matched bytes are added up for
+each record as its coverage. When a segment isn't twice as large as the next one
+both are merged, so there are logarithmically many of them.
+
+The links of a batch are contracted to stars in the tasks (by hooking and pointer
+jumping) and kept beside the segments; classes are the connected components of
+all stars, of which only labels that meet in one record have to be joined further.
 
 Defined cases: rows without a usable number or start belong to no class, rows
 without a usable duration only to their own (no class of two); ties take the
-smaller call_id; exact repetitions are members like any others.
+smaller call_id; exact repetitions are members like any others; a number of more
+than MAX_DIGITS digits is compared by its digest; rows without batch_no or call_id
+are in no batch.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.session import cut
+from recordloom.llm.components import connected
+from recordloom.session import _application_scratch, cut, file_system
 
 #: Starts differ by at most this many milliseconds, durations by at most this many seconds.
 MAX_MS, MAX_S = 2000, 2
 #: Milliseconds of a cell: any two starts in one cell are near enough.
 CELL_MS = MAX_MS + 1
-#: Cells of a day and of the margin that goes along on either side.
-BLOCK_CELLS, MARGIN_CELLS = 43_200, 300
+#: Cells of a day, by which the records of one number are divided, and how far a search may reach into the next day.
+BLOCK_CELLS, MARGIN_CELLS = 43_200, 1
+#: Digits that a text has room for.
+MAX_DIGITS = 32
+#: Bytes of a row group of a stored segment.
+ROW_GROUP = 1 << 20
 
 
 def number_key(number: Column) -> Column:
@@ -52,14 +63,19 @@ def number_key(number: Column) -> Column:
     return F.regexp_extract(plain, r"^(?:00)?+(?:1(?=[0-9]{10}$))?+([0-9]{3,})$", 1)
 
 
+def _bounded(num: Column) -> Column:
+    """The number, or its first digits and its digest if it has more digits than a text has room for."""
+    return F.when(F.length(num) > MAX_DIGITS, F.concat(F.substring(num, 1, 8), F.sha2(num, 256))).otherwise(num)
+
+
 def usable_calls(calls: DataFrame, *more: str) -> DataFrame:
     """call_id, num, cell, ms_in, dur of the rows that can be compared, and the columns ``more``."""
     ms = F.trim("date").try_cast("bigint")
     dur = F.trim("duration").try_cast("int")
     return (
         calls.select("call_id", *more, number_key(F.col("number")).alias("num"), ms.alias("ms"), dur.alias("dur"))
-        .where("num <> '' and ms > 0 and dur >= 0")
-        .select("call_id", *more, "num", F.expr(f"ms div {CELL_MS}").alias("cell"), (F.col("ms") % CELL_MS).cast("int").alias("ms_in"), "dur")
+        .where("call_id is not null and num <> '' and ms > 0 and dur >= 0")
+        .select("call_id", *more, _bounded(F.col("num")).alias("num"), F.expr(f"ms div {CELL_MS}").alias("cell"), (F.col("ms") % CELL_MS).cast("int").alias("ms_in"), "dur")
     )
 
 
@@ -73,7 +89,7 @@ def _be(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def texts_of(num: np.ndarray, cell: np.ndarray, dur: np.ndarray) -> np.ndarray:
-    """Fixed-width texts: number, cell (6 bytes), duration (5 bytes, moved by one so that it can be stepped below zero)."""
+    """The texts of some records as one concatenation of fixed-width texts: number, cell (6 bytes), duration (5 bytes, moved by MAX_S + 1 so that it can be stepped below zero)."""
     width = num.dtype.itemsize
     out = np.empty((len(num), width + 11), dtype=np.uint8)
     out[:, :width] = num.view(np.uint8).reshape(len(num), width)
@@ -82,41 +98,6 @@ def texts_of(num: np.ndarray, cell: np.ndarray, dur: np.ndarray) -> np.ndarray:
     return out.view(f"S{width + 11}").ravel()
 
 
-class Segment:
-    """Sorted record suffixes of one batch or of several merged ones."""
-
-    def __init__(self, texts: np.ndarray, records: np.ndarray):
-        order = np.argsort(texts, kind="stable")
-        self.texts, self.records = texts[order], records[order]
-
-    def merged(self, other: Segment) -> Segment:
-        out = Segment.__new__(Segment)
-        at = np.searchsorted(self.texts, other.texts, side="right")
-        out.texts = np.insert(self.texts, at, other.texts)
-        out.records = np.insert(self.records, at, other.records)
-        return out
-
-    def search(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, record) of all suffixes between low[i] and high[i]."""
-        a, b = np.searchsorted(self.texts, low, side="left"), np.searchsorted(self.texts, high, side="right")
-        size = b - a
-        query = np.repeat(np.arange(len(low)), size)
-        place = np.arange(len(query)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
-        return query, self.records[place]
-
-
-class SegmentList:
-    """Segments whose sizes at least double from the newest to the oldest."""
-
-    def __init__(self):
-        self.segments: list[Segment] = []
-
-    def add(self, segment: Segment) -> None:
-        while self.segments and len(self.segments[-1].texts) <= 2 * len(segment.texts):
-            segment = self.segments.pop().merged(segment)
-        self.segments.append(segment)
-
-
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest member of the component of each of n nodes, by hooking and pointer jumping."""
     label = np.arange(n)
@@ -135,187 +116,294 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def link_records(num: np.ndarray, cell: np.ndarray, dur: np.ndarray, lo: np.ndarray, hi: np.ndarray, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of records of the same call, each record against the segments of its own and all earlier batches."""
-    texts = texts_of(num, cell, dur)
-    pairs_a, pairs_b = [], []
-    held = SegmentList()
-    for k in np.unique(batch):
-        own = np.flatnonzero(batch == k)
-        held.add(Segment(texts[own], own))
-        for step in (-1, 0, 1):
-            low, high = texts_of(num[own], cell[own] + step, dur[own] - MAX_S), texts_of(num[own], cell[own] + step, dur[own] + MAX_S)
-            for segment in held.segments:
-                query, other = segment.search(low, high)
-                me = own[query]
-                if step < 0:
-                    near = lo[me] + CELL_MS - hi[other] <= MAX_MS
-                elif step > 0:
-                    near = lo[other] + CELL_MS - hi[me] <= MAX_MS
-                else:
-                    near = me != other
-                pairs_a.append(me[near])
-                pairs_b.append(other[near])
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate(pairs_a or [none]), np.concatenate(pairs_b or [none])
-
-
-_LABELS = "num string, cell bigint, dur int, first_call_id bigint, first_batch int, last_batch int, members bigint, open boolean"
-
-
-def _labels_once(records: DataFrame, block: int, margin: int) -> DataFrame:
-    """The label of each distinct text of ``records`` (num, cell, dur, batch_no, lo, hi, first, n), seen from its own block."""
-    home = F.expr(f"cell div {block}")
-    inside = F.col("cell") - home * block
-    views = F.filter(F.array(home, F.when(inside < margin, home - 1), F.when(inside >= block - margin, home + 1)), lambda x: x.isNotNull())
-    spread = records.withColumn("block", F.explode(views)).repartition("num", "block")
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
-            return
-        col = {c: table.column(c).combine_chunks() for c in table.column_names}
-        num = np.array(col["num"].to_pylist(), dtype="S")
-        cell, blk = col["cell"].to_numpy(), col["block"].to_numpy()
-        dur, batch = col["dur"].to_numpy().astype(np.int64), col["batch_no"].to_numpy()
-        lo, hi = col["lo"].to_numpy().astype(np.int64), col["hi"].to_numpy().astype(np.int64)
-        first, n = col["first"].to_numpy(), col["n"].to_numpy()
-        if len(blk) > 1 and (blk != blk[0]).any():
-            # views of one number must not be linked with each other: the block is part of the number's text
-            width = num.dtype.itemsize
-            wide = np.empty((len(num), width + 8), dtype=np.uint8)
-            wide[:, :width], wide[:, width:] = num.view(np.uint8).reshape(-1, width), _be(blk + 2, 8)
-            num_key = wide.view(f"S{width + 8}").ravel()
+def _star(node: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, label of each): the links contracted to the smallest node of each component."""
+    nodes, at = np.unique(np.concatenate([node, other]), return_inverse=True)
+    return nodes, nodes[components(len(nodes), at[: len(node)], at[len(node) :])]
+
+
+class Run:
+    """A stored segment's sorted texts of one bucket, read by row groups; the last one read is kept."""
+
+    def __init__(self, fs, path: str, touched=None):
+        import pyarrow.parquet as pq
+
+        self.file, self.touched, self.last = pq.ParquetFile(fs.open_input_file(path)), touched, (-1, None)
+        names = [self.file.schema_arrow.names.index(c) for c in ("num", "cell")]
+        meta = self.file.metadata
+        self.bounds = []
+        for g in range(meta.num_row_groups):
+            num, cell = (meta.row_group(g).column(i).statistics for i in names)
+            known = num is not None and num.has_min_max and cell is not None and cell.has_min_max
+            # within one number the cells are in order as well
+            self.bounds.append(((num.min, cell.min if num.min == num.max else -1), (num.max, cell.max if num.min == num.max else 1 << 62)) if known else None)
+
+    def between(self, low: tuple[str, int], high: tuple[str, int]) -> Iterator[dict]:
+        """Columns of the row groups that may hold texts between two (number, cell)."""
+        for g, bounds in enumerate(self.bounds):
+            if bounds is not None and (bounds[1] < low or bounds[0] > high):
+                continue
+            if self.last[0] != g:
+                self.last = (g, _columns(self.file.read_row_group(g)))
+                if self.touched is not None:
+                    self.touched.add(1)
+            yield self.last[1]
+
+
+def _columns(table) -> dict:
+    out = {c: table.column(c).to_numpy() for c in ("cell", "dur", "lo", "hi", "first", "n", "batch_no")}
+    out["dur"] = out["dur"].astype(np.int64)
+    out["num"] = np.array(table.column("num").to_pylist(), dtype="S") if table.num_rows else np.zeros(0, "S1")
+    return out
+
+
+def _widened(num: np.ndarray, width: int) -> np.ndarray:
+    return num if num.dtype.itemsize == width else num.astype(f"S{width}")
+
+
+def search(asked: dict, held: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(asking, held) positions of records of the same call; ``held`` is sorted by text."""
+    width = max(asked["num"].dtype.itemsize, held["num"].dtype.itemsize)
+    texts = texts_of(_widened(held["num"], width), held["cell"], held["dur"])
+    num, cell, dur = _widened(asked["num"], width), asked["cell"], asked["dur"]
+    me, other = [], []
+    for step in (-1, 0, 1):
+        a = np.searchsorted(texts, texts_of(num, cell + step, dur - MAX_S), side="left")
+        b = np.searchsorted(texts, texts_of(num, cell + step, dur + MAX_S), side="right")
+        size = b - a
+        i = np.repeat(np.arange(len(num)), size)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
+        if step < 0:
+            near = asked["lo"][i].astype(np.int64) + CELL_MS - held["hi"][j] <= MAX_MS
+        elif step > 0:
+            near = held["lo"][j].astype(np.int64) + CELL_MS - asked["hi"][i] <= MAX_MS
         else:
-            num_key = num
-        a, b = link_records(num_key, cell, dur, lo, hi, batch)
-        label = components(len(num), a, b)
-        members, first_id = np.zeros(len(num), np.int64), np.full(len(num), np.iinfo(np.int64).max)
-        low_b, high_b = np.full(len(num), 1 << 30), np.full(len(num), -1)
-        open_ = np.zeros(len(num), bool)
-        np.add.at(members, label, n)
-        np.minimum.at(first_id, label, first)
-        np.minimum.at(low_b, label, batch)
-        np.maximum.at(high_b, label, batch)
-        at = cell - blk * block
-        np.logical_or.at(open_, label, (at <= -margin + 1) | (at >= block + margin - 2))
-        keep = (cell // block == blk) & ((members[label] > 1) | open_[label])
-        # one row per distinct text: the smallest batch stands for the others
-        keys = texts_of(num_key, cell, dur)
-        order = np.lexsort((batch, keys))
-        once = np.zeros(len(num), bool)
-        once[order] = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-        k = np.flatnonzero(keep & once)
-        l = label[k]
-        yield pa.RecordBatch.from_arrays(
-            [col["num"].take(pa.array(k)), pa.array(cell[k]), pa.array(dur[k].astype(np.int32)), pa.array(first_id[l]), pa.array(low_b[l].astype(np.int32)),
-             pa.array(high_b[l].astype(np.int32)), pa.array(members[l]), pa.array(open_[l])],
-            names=["num", "cell", "dur", "first_call_id", "first_batch", "last_batch", "members", "open"],
-        )
-
-    return spread.select("num", "cell", "dur", "batch_no", "lo", "hi", "first", "n", "block").mapInArrow(run, _LABELS)
-
-
-def class_labels(usable: DataFrame, by_batch: bool, block: int = BLOCK_CELLS, margin: int = MARGIN_CELLS) -> DataFrame:
-    """num, cell, dur, first_call_id, first_batch, last_batch, members of every distinct text whose class has two or more rows.
-
-    ``usable`` comes from ``usable_calls``, with ``batch_no`` if ``by_batch``. The result is written to
-    the scratch folder.
-    """
-    records = folded(usable, "batch_no") if by_batch else folded(usable).withColumn("batch_no", F.lit(0))
-    return class_labels_of(records, block, margin)
-
-
-def class_labels_of(records: DataFrame, block: int = BLOCK_CELLS, margin: int = MARGIN_CELLS) -> DataFrame:
-    """``class_labels`` of records that are folded already: num, cell, dur, batch_no, lo, hi, first, n."""
-    labels = cut(_labels_once(records, block, margin))
-    done, rest = labels.where("not open and members > 1"), labels.where("open")
-    while not rest.isEmpty():
-        block, margin = block * 64, margin * 64
-        again = records.join(rest.select("num", "cell", "dur"), ["num", "cell", "dur"], "left_semi")
-        labels = cut(_labels_once(again, block, margin))
-        done, rest = done.unionByName(labels.where("not open and members > 1")), labels.where("open")
-    return done.drop("open")
+            near = asked["first"][i] != held["first"][j]
+        me.append(i[near])
+        other.append(j[near])
+    return np.concatenate(me), np.concatenate(other)
 
 
-def found(calls: DataFrame) -> DataFrame:
-    """first_call_id, call_id of the rows of new batches that repeat a call of the history or of an earlier batch."""
-    usable = usable_calls(calls, "batch_no")
-    labels = class_labels(usable, by_batch=True).where("last_batch > first_batch").select("num", "cell", "dur", "first_call_id", "first_batch")
-    return (
-        usable.where("batch_no >= 1").select("call_id", "batch_no", "num", "cell", "dur").join(labels, ["num", "cell", "dur"]).where("batch_no > first_batch").select("first_call_id", "call_id")
-    )
+#: A record that is linked with another one: its text, its smallest call_id, batch, rows and the smallest call_id it was found connected with; ``covered``: the share of its text that the best match covers.
+_STARS = "num string, cell bigint, dur int, node bigint, batch_no int, n bigint, label bigint, covered double"
 
 
 class History:
-    """Segments of accepted batches in a folder; a new batch is held against them without the accepted rows themselves.
+    """Segments of accepted batches in a folder; a new batch is held against them without reading what it doesn't touch.
 
-    Every batch is written once as a segment (sorted distinct texts, split by the
-    hash of number and day) and never changed; ``accept`` merges segments of
-    similar size into a new one and leaves the list of the valid ones in the
-    folder ``_list``. ``repeats`` reads the segments and the batch, not the history.
+    Every batch is written once as a segment (sorted distinct texts, one file for
+    each bucket of number and day) and never changed; ``accept`` merges segments of
+    similar size into a new one and leaves the list of the valid ones in the folder
+    ``_list``, the links of the batch in ``_links``. ``buckets`` is fixed with the
+    first batch; more of them make smaller tasks.
+
+    The folder has to be one that pyarrow and Spark both reach by its URI.
     """
 
     BUCKETS = 64
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, block: int = BLOCK_CELLS, margin: int = MARGIN_CELLS):
+        self.spark, self.buckets, self.block, self.margin = spark, buckets or self.BUCKETS, block, max(1, margin)
+        fs, at = file_system(spark, path.rstrip("/"))
+        self.path = at.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+        #: Row groups that searches have read.
+        self.touched = spark.sparkContext.accumulator(0)
+        self._pending: tuple | None = None
+
+    def _exists(self, name: str) -> bool:
+        fs, at = file_system(self.spark, f"{self.path}/{name}")
+        return fs.exists(at)
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+    def _names(self, folder: str) -> list[str]:
+        fs, at = file_system(self.spark, f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
 
     def segments(self) -> list[tuple[str, int]]:
         """(name, rows) of the valid segments, oldest first."""
-        fs, at = self._fs()
-        if not fs.exists(at(f"{self.path}/_list")):
-            return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(at(f"{self.path}/_list")))
-        last = names[-1] if names else None
-        return [] if last is None else [(r["name"], r["rows"]) for r in self.spark.read.json(f"{self.path}/_list/{last}").orderBy("at").collect()]
-
-    def _bucketed(self, records: DataFrame) -> DataFrame:
-        return records.withColumn("bucket", F.pmod(F.xxhash64("num", F.expr(f"cell div {BLOCK_CELLS}")), F.lit(self.BUCKETS)).cast("int"))
+        names = self._names("_list")
+        return [(r["name"], r["rows"]) for r in self.spark.read.json(f"{self.path}/_list/{names[-1]}").orderBy("at").collect()] if names else []
+
+    def _bucket(self, cell: Column) -> Column:
+        return F.pmod(F.xxhash64("num", F.floor(cell / self.block)), F.lit(self.buckets)).cast("int")
+
+    def _write(self, records: DataFrame) -> str:
+        name = f"segment-{uuid.uuid4().hex}"
+        placed = records.withColumn("bucket", self._bucket(F.col("cell"))).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "num", "cell", "dur")
+        placed.select("num", "cell", "dur", "lo", "hi", "first", "n", "batch_no", "bucket").write.option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(f"{self.path}/{name}")
+        return name
+
+    def _read(self, *names: str) -> DataFrame:
+        schema = "num string, cell bigint, dur int, lo int, hi int, first bigint, n bigint, batch_no int, bucket int"
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{self.path}/{n}") for n in names])
+
+    def _linked(self, name: str, held: list[str]) -> DataFrame:
+        """The stars of the links of the segment ``name`` with those in ``held`` and itself."""
+        reach = F.array_distinct(F.array(*[self._bucket(F.col("cell") + d) for d in sorted({-self.margin, -1, 0, 1, self.margin})]))
+        asked = self._read(name).withColumn("bucket", F.explode(reach)).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "num", "cell")
+        path, names, touched = self.path, [*held, name], self.touched
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+            from pyarrow import fs as pafs
+
+            fs, base = pafs.FileSystem.from_uri(path)
+            open_bucket, runs = -1, []
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                buckets = table.column("bucket").to_numpy()
+                starts = np.concatenate([[0], np.flatnonzero(buckets[1:] != buckets[:-1]) + 1]) if len(buckets) else []
+                for at, start in enumerate(starts):
+                    end = starts[at + 1] if at + 1 < len(starts) else len(buckets)
+                    if buckets[start] != open_bucket:
+                        open_bucket = buckets[start]
+                        files = [f.path for n in names for f in fs.get_file_info(pafs.FileSelector(f"{base}/{n}/bucket={open_bucket}", allow_not_found=True)) if f.path.endswith(".parquet")]
+                        runs = [Run(fs, f, touched) for f in files]
+                    asked = _columns(table.slice(start, end - start))
+                    low = (asked["num"][0].decode(), int(asked["cell"][0]) - 1)
+                    high = (asked["num"][-1].decode(), int(asked["cell"][-1]) + 1)
+                    if len(asked["num"]) and (out := _stars_of(asked, [h for r in runs for h in r.between(low, high)])) is not None:
+                        yield out
+
+        def _stars_of(asked: dict, groups: list[dict]):
+            import pyarrow as pa
+
+            left, right, rows = [], [], []
+            covered = np.zeros(len(asked["num"]), dtype=np.int64)
+            width = np.char.str_len(asked["num"])
+            for held in groups:
+                me, other = search(asked, held)
+                if not len(me):
+                    continue
+                # number and cell are matched whole; the duration is only where it is equal
+                np.maximum.at(covered, me, width[me] + 6 + 5 * (asked["dur"][me] == held["dur"][other]))
+                left.append(asked["first"][me])
+                right.append(held["first"][other])
+                far = np.unique(other)
+                rows.append([held[c][far] for c in ("num", "cell", "dur", "first", "batch_no", "n")] + [np.zeros(len(far))])
+            if not left:
+                return None
+            near = np.unique(np.flatnonzero(covered))
+            rows.append([asked[c][near] for c in ("num", "cell", "dur", "first", "batch_no", "n")] + [covered[near] / (width[near] + 11)])
+            nodes, labels = _star(np.concatenate(left), np.concatenate(right))
+            num = np.concatenate([r[0].astype(object) for r in rows])
+            cell, dur, node, batch, n, share = (np.concatenate([r[i] for r in rows]) for i in range(1, 7))
+            # the asking record's own row comes last and is kept
+            once = len(node) - 1 - np.unique(node[::-1], return_index=True)[1]
+            label = labels[np.searchsorted(nodes, node[once])]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x.decode() for x in num[once]], pa.string()), pa.array(cell[once]), pa.array(dur[once].astype(np.int32)), pa.array(node[once]), pa.array(batch[once].astype(np.int32)), pa.array(n[once]), pa.array(label), pa.array(share[once])],
+                names=["num", "cell", "dur", "node", "batch_no", "n", "label", "covered"],
+            )
+
+        return asked.select("num", "cell", "dur", "lo", "hi", "first", "n", "batch_no", "bucket").mapInArrow(run, _STARS)
+
+    def links(self) -> DataFrame | None:
+        """The stars of all accepted batches."""
+        names = self._names("_links")
+        return self.spark.read.schema(_STARS).parquet(*[f"{self.path}/_links/{n}" for n in names]) if names else None
+
+    def _staged(self, batch: DataFrame, number: int | None) -> tuple[str, DataFrame]:
+        """(segment, stars) of a batch, which ``repeats`` and ``accept`` of the same batch share."""
+        if self._pending is None or self._pending[0] is not batch:
+            number = len(self._names("_links")) if number is None else number
+            name = self._write(folded(usable_calls(batch)).withColumn("batch_no", F.lit(number)))
+            stars = f"_staged/{name}"
+            self._linked(name, [n for n, _ in self.segments()]).write.parquet(f"{self.path}/{stars}")
+            self._pending = (batch, name, stars)
+        return self._pending[1], self.spark.read.schema(_STARS).parquet(f"{self.path}/{self._pending[2]}")
 
     def repeats(self, batch: DataFrame) -> DataFrame:
-        """first_call_id, call_id of the rows of ``batch`` (as ``calls``) whose call is in the history."""
-        usable = usable_calls(batch)
-        new = folded(usable).withColumn("batch_no", F.lit(1))
-        old = self.records()
-        if old is not None:  # only the numbers of the batch can have a class with one of its rows
-            old = old.join(new.select("num").distinct(), "num", "left_semi").select("num", "cell", "dur", "lo", "hi", "first", "n")
-        labels = class_labels_of(new if old is None else old.withColumn("batch_no", F.lit(0)).unionByName(new))
-        labels = labels.where("first_batch = 0").select("num", "cell", "dur", "first_call_id")
-        return usable.join(labels, ["num", "cell", "dur"]).select("first_call_id", "call_id")
-
-    def records(self) -> DataFrame | None:
-        """The distinct texts of all segments."""
-        names = [n for n, _ in self.segments()]
-        if not names:
-            return None
-        return self.spark.read.parquet(*[f"{self.path}/{n}" for n in names]).select("num", "cell", "dur", "lo", "hi", "first", "n")
-
-    def accept(self, batch: DataFrame) -> None:
-        """Adds a batch as a segment and merges segments of similar size."""
-        import uuid
-
-        held, name = self.segments(), f"segment-{uuid.uuid4().hex}"
-        self._bucketed(folded(usable_calls(batch))).repartition("bucket").sortWithinPartitions("bucket", "num", "cell", "dur").write.parquet(f"{self.path}/{name}")
-        rows = self.spark.read.parquet(f"{self.path}/{name}").count()
-        held = [*held, (name, rows)]
+        """first_call_id, call_id, covered of the rows of ``batch`` (as ``calls``) whose call is in the history."""
+        number = len(self._names("_links"))
+        stars, before = self._staged(batch, None)[1], self.links()
+        if before is not None:  # only stars that share a record with the batch's can join its classes
+            stars = stars.unionByName(before.join(_reached(before, stars), "label", "left_semi"))
+        labels = classes(stars).where(F.col("first_batch") < number).select("num", "cell", "dur", "first_call_id", "covered")
+        return usable_calls(batch).join(labels, ["num", "cell", "dur"]).select("first_call_id", "call_id", "covered")
+
+    def accept(self, batch: DataFrame, number: int | None = None) -> None:
+        """Adds a batch as a segment with its links and merges segments of similar size; ``number``: its place in the order of batches."""
+        name, stars = self._staged(batch, number)
+        version = len(self._names("_links"))
+        stars.write.parquet(f"{self.path}/_links/{version:08d}")
+        fs, at = file_system(self.spark, f"{self.path}/{self._pending[2]}")
+        fs.delete(at, True)
+        self._pending = None
+        held = [*self.segments(), (name, self._read(name).count())]
+        merged_away = []
         while len(held) > 1 and held[-2][1] <= 2 * held[-1][1]:
             (a, _), (b, _) = held.pop(-2), held.pop(-1)
-            name = f"segment-{uuid.uuid4().hex}"
-            both = self.spark.read.parquet(f"{self.path}/{a}", f"{self.path}/{b}")
-            merged = both.groupBy("num", "cell", "dur", "bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"), F.sum("n").alias("n"))
-            merged.repartition("bucket").sortWithinPartitions("bucket", "num", "cell", "dur").write.parquet(f"{self.path}/{name}")
-            held.append((name, self.spark.read.parquet(f"{self.path}/{name}").count()))
-        version = f"{len(self._versions()):08d}"
-        self.spark.createDataFrame([(i, n, r) for i, (n, r) in enumerate(held)], "at int, name string, rows bigint").coalesce(1).write.json(f"{self.path}/_list/{version}")
-
-    def _versions(self) -> list[str]:
-        fs, at = self._fs()
-        return [s.getPath().getName() for s in fs.listStatus(at(f"{self.path}/_list"))] if fs.exists(at(f"{self.path}/_list")) else []
+            both = self._read(a, b).groupBy("num", "cell", "dur").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"), F.sum("n").alias("n"), F.min("batch_no").alias("batch_no"))
+            name = self._write(both)
+            held.append((name, self._read(name).count()))
+            merged_away += [a, b]
+        self.spark.createDataFrame([(i, n, r) for i, (n, r) in enumerate(held)], "at int, name string, rows bigint").coalesce(1).write.json(f"{self.path}/_list/{version:08d}")
+        for n in merged_away:  # the new list doesn't name them any more
+            fs, at = file_system(self.spark, f"{self.path}/{n}")
+            fs.delete(at, True)
+
+
+def _reached(before: DataFrame, stars: DataFrame) -> DataFrame:
+    """Labels of ``before`` that are connected with the records or labels of ``stars``."""
+    both = before.select("node", "label")
+    roots = connected(both.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))).select("node", F.col("label").alias("root"))
+    asked = stars.select("node").union(stars.select("label")).distinct()
+    hit = roots.join(asked, "node", "left_semi").select("root").distinct()
+    members = roots.join(hit, "root", "left_semi").select(F.col("node").alias("label"))
+    return members.union(before.where("node = label").select("label").join(asked.select(F.col("node").alias("label")), "label", "left_semi")).distinct()
+
+
+def classes(stars: DataFrame) -> DataFrame:
+    """num, cell, dur, first_call_id, first_batch, last_batch, members, covered of every text of a class of two or more rows.
+
+    Each star is connected already; only labels that meet in one record are joined.
+    """
+    nodes = stars.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("num", "cell", "dur")], F.min("batch_no").alias("batch_no"), F.max("n").alias("n"), F.max("covered").alias("covered"), F.min("label").alias("label"), F.max("label").alias("high"))
+    nodes = cut(nodes)
+    meeting = nodes.where("label < high").select("node", F.col("label").alias("a")).join(stars.select("node", F.col("label").alias("b")), "node").where("a < b").select("a", "b").distinct()
+    meeting = cut(meeting)
+    joined = nodes
+    if not meeting.isEmpty():
+        joined = nodes.join(connected(meeting).select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+    whole = joined.groupBy("label").agg(F.min("node").alias("first_call_id"), F.min("batch_no").alias("first_batch"), F.max("batch_no").alias("last_batch"), F.sum("n").alias("members"))
+    return joined.select("num", "cell", "dur", "label", "covered").join(whole, "label").groupBy("num", "cell", "dur").agg(
+        *[F.any_value(c).alias(c) for c in ("first_call_id", "first_batch", "last_batch", "members")], F.max("covered").alias("covered")
+    )
+
+
+def _temporary(spark: SparkSession, block: int = BLOCK_CELLS, margin: int = MARGIN_CELLS) -> History:
+    """A history in the application's scratch folder with as many buckets as the session has shuffle partitions."""
+    return History(spark, f"{_application_scratch(spark)}/{uuid.uuid4().hex}", max(12, int(spark.conf.get("spark.sql.shuffle.partitions"))), block, margin)
+
+
+def class_labels(usable: DataFrame, by_batch: bool, block: int = BLOCK_CELLS, margin: int = MARGIN_CELLS) -> DataFrame:
+    """num, cell, dur, first_call_id, first_batch, last_batch, members of every distinct text whose class has two or more rows.
+
+    ``usable`` comes from ``usable_calls``, with ``batch_no`` if ``by_batch``; all of it is one segment that is searched
+    for its own records. The stars are written to the scratch folder.
+    """
+    records = folded(usable, "batch_no") if by_batch else folded(usable).withColumn("batch_no", F.lit(0))
+    history = _temporary(usable.sparkSession, block, margin)
+    name = history._write(records)
+    linked = classes(cut(history._linked(name, [])))
+    # a text that was delivered again and again alone is a class as well
+    alone = history._read(name).where("n > 1").select("num", "cell", "dur", F.col("first").alias("first_call_id"), F.col("batch_no").alias("first_batch"), F.col("batch_no").alias("last_batch"), F.col("n").alias("members"))
+    rest = alone.join(linked.select("num", "cell", "dur"), ["num", "cell", "dur"], "left_anti")
+    return linked.drop("covered").unionByName(rest)
+
+
+def found(calls: DataFrame) -> DataFrame:
+    """first_call_id, call_id of the rows of new batches that repeat a call of the history or of an earlier batch.
+
+    The batches are accepted one by one in their order, each searched against the segments of those before it.
+    """
+    history = _temporary(calls.sparkSession)
+    numbers = sorted(r[0] for r in calls.where("batch_no is not null").select("batch_no").distinct().collect())  # one row a batch
+    for k in numbers:
+        history.accept(calls.where(F.col("batch_no") == k), k)
+    stars = history.links()
+    usable = usable_calls(calls.where("batch_no >= 1"), "batch_no")
+    if stars is None:
+        return usable.select(F.col("call_id").alias("first_call_id"), "call_id").limit(0)
+    labels = classes(stars).where("last_batch > first_batch").select("num", "cell", "dur", "first_call_id", "first_batch")
+    return usable.select("call_id", "batch_no", "num", "cell", "dur").join(labels, ["num", "cell", "dur"]).where("batch_no > first_batch").select("first_call_id", "call_id")

@@ -41,6 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.components import connected
 from recordloom.operators.packed import packed_values
 from recordloom.session import cut
 
@@ -404,25 +405,11 @@ def _resolved(blocks: DataFrame, how: Callable[[list[tuple]], list[tuple]]) -> D
     return blocks.mapInPandas(resolve, _LINK)
 
 
-def _components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node it is connected with) of the nodes of ``edges`` (a, b)."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
-        least = cut(labels.join(near, "node").select("node", F.least("label", "other").alias("now"), "label"))
-        up = least.select(F.col("node").alias("now"), F.col("now").alias("up"))
-        after = cut(least.join(up, "now").select("node", F.least("now", "up").alias("label"), (F.least("now", "up") < F.col("label")).alias("moved")))
-        labels = after.select("node", "label")
-        if after.where("moved").isEmpty():
-            return labels
-
-
 def _merged(links: DataFrame, edges: DataFrame) -> DataFrame:
     """``links`` with the entities that ``edges`` (a, b) connect as one."""
     if edges.isEmpty():
         return links
-    return cut(links.join(_components(edges).withColumnRenamed("node", "contact_id"), "contact_id", "left").select("val", F.coalesce("label", "contact_id").alias("contact_id"), "score"))
+    return cut(links.join(connected(edges).withColumnRenamed("node", "contact_id"), "contact_id", "left").select("val", F.coalesce("label", "contact_id").alias("contact_id"), "score"))
 
 
 def _common_pairs(whole: DataFrame) -> DataFrame:
