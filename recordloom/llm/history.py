@@ -31,16 +31,17 @@ are in no batch.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.components import connected
-from recordloom.session import _application_scratch, cut, file_system
+from recordloom.session import application_scratch, cut, file_system, read_text, write_text
 
 #: Starts differ by at most this many milliseconds, durations by at most this many seconds.
 MAX_MS, MAX_S = 2000, 2
@@ -210,10 +211,6 @@ class History:
         self.touched = spark.sparkContext.accumulator(0)
         self._pending: tuple | None = None
 
-    def _exists(self, name: str) -> bool:
-        fs, at = file_system(self.spark, f"{self.path}/{name}")
-        return fs.exists(at)
-
     def _names(self, folder: str) -> list[str]:
         fs, at = file_system(self.spark, f"{self.path}/{folder}")
         return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
@@ -221,16 +218,17 @@ class History:
     def segments(self) -> list[tuple[str, int]]:
         """(name, rows) of the valid segments, oldest first."""
         names = self._names("_list")
-        return [(r["name"], r["rows"]) for r in self.spark.read.json(f"{self.path}/_list/{names[-1]}").orderBy("at").collect()] if names else []
+        return [tuple(x) for x in json.loads(read_text(self.spark, f"{self.path}/_list/{names[-1]}"))] if names else []
 
     def _bucket(self, cell: Column) -> Column:
         return F.pmod(F.xxhash64("num", F.floor(cell / self.block)), F.lit(self.buckets)).cast("int")
 
-    def _write(self, records: DataFrame) -> str:
-        name = f"segment-{uuid.uuid4().hex}"
-        placed = records.withColumn("bucket", self._bucket(F.col("cell"))).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "num", "cell", "dur")
+    def _write(self, records: DataFrame) -> tuple[str, int]:
+        """(name, rows) of a new segment."""
+        name, counted = f"segment-{uuid.uuid4().hex}", Observation()
+        placed = records.observe(counted, F.count(F.lit(1)).alias("rows")).withColumn("bucket", self._bucket(F.col("cell"))).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "num", "cell", "dur")
         placed.select("num", "cell", "dur", "lo", "hi", "first", "n", "batch_no", "bucket").write.option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(f"{self.path}/{name}")
-        return name
+        return name, counted.get["rows"]
 
     def _read(self, *names: str) -> DataFrame:
         schema = "num string, cell bigint, dur int, lo int, hi int, first bigint, n bigint, batch_no int, bucket int"
@@ -302,20 +300,19 @@ class History:
         names = self._names("_links")
         return self.spark.read.schema(_STARS).parquet(*[f"{self.path}/_links/{n}" for n in names]) if names else None
 
-    def _staged(self, batch: DataFrame, number: int | None) -> tuple[str, DataFrame]:
-        """(segment, stars) of a batch, which ``repeats`` and ``accept`` of the same batch share."""
+    def _staged(self, batch: DataFrame, number: int | None) -> tuple[str, int, str]:
+        """(segment, its rows, folder of its stars) of a batch, which ``repeats`` and ``accept`` of the same batch share."""
         if self._pending is None or self._pending[0] is not batch:
             number = len(self._names("_links")) if number is None else number
-            name = self._write(folded(usable_calls(batch)).withColumn("batch_no", F.lit(number)))
-            stars = f"_staged/{name}"
-            self._linked(name, [n for n, _ in self.segments()]).write.parquet(f"{self.path}/{stars}")
-            self._pending = (batch, name, stars)
-        return self._pending[1], self.spark.read.schema(_STARS).parquet(f"{self.path}/{self._pending[2]}")
+            name, rows = self._write(folded(usable_calls(batch)).withColumn("batch_no", F.lit(number)))
+            self._linked(name, [n for n, _ in self.segments()]).write.parquet(f"{self.path}/_staged-{name}")
+            self._pending = (batch, name, rows, f"{self.path}/_staged-{name}")
+        return self._pending[1:]
 
     def repeats(self, batch: DataFrame) -> DataFrame:
         """first_call_id, call_id, covered of the rows of ``batch`` (as ``calls``) whose call is in the history."""
         number = len(self._names("_links"))
-        stars, before = self._staged(batch, None)[1], self.links()
+        stars, before = self.spark.read.schema(_STARS).parquet(self._staged(batch, None)[2]), self.links()
         if before is not None:  # only stars that share a record with the batch's can join its classes
             stars = stars.unionByName(before.join(_reached(before, stars), "label", "left_semi"))
         labels = classes(stars).where(F.col("first_batch") < number).select("num", "cell", "dur", "first_call_id", "covered")
@@ -323,24 +320,22 @@ class History:
 
     def accept(self, batch: DataFrame, number: int | None = None) -> None:
         """Adds a batch as a segment with its links and merges segments of similar size; ``number``: its place in the order of batches."""
-        name, stars = self._staged(batch, number)
-        version = len(self._names("_links"))
-        stars.write.parquet(f"{self.path}/_links/{version:08d}")
-        fs, at = file_system(self.spark, f"{self.path}/{self._pending[2]}")
-        fs.delete(at, True)
+        name, rows, stars = self._staged(batch, number)
+        version = f"{len(self._names('_links')):08d}"
+        fs, at = file_system(self.spark, stars)
+        fs.mkdirs(file_system(self.spark, f"{self.path}/_links")[1])
+        fs.rename(at, file_system(self.spark, f"{self.path}/_links/{version}")[1])
         self._pending = None
-        held = [*self.segments(), (name, self._read(name).count())]
-        merged_away = []
-        while len(held) > 1 and held[-2][1] <= 2 * held[-1][1]:
-            (a, _), (b, _) = held.pop(-2), held.pop(-1)
-            both = self._read(a, b).groupBy("num", "cell", "dur").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"), F.sum("n").alias("n"), F.min("batch_no").alias("batch_no"))
-            name = self._write(both)
-            held.append((name, self._read(name).count()))
-            merged_away += [a, b]
-        self.spark.createDataFrame([(i, n, r) for i, (n, r) in enumerate(held)], "at int, name string, rows bigint").coalesce(1).write.json(f"{self.path}/_list/{version:08d}")
-        for n in merged_away:  # the new list doesn't name them any more
-            fs, at = file_system(self.spark, f"{self.path}/{n}")
-            fs.delete(at, True)
+        held, newer, size = self.segments(), [name], rows
+        while held and held[-1][1] <= 2 * size:
+            older, n = held.pop()
+            newer, size = [older, *newer], size + n
+        if len(newer) > 1:
+            merged = self._read(*newer).groupBy("num", "cell", "dur").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"), F.sum("n").alias("n"), F.min("batch_no").alias("batch_no"))
+            name, rows = self._write(merged)
+        write_text(self.spark, f"{self.path}/_list/{version}", json.dumps([*held, (name, rows)]))
+        for n in newer if len(newer) > 1 else ():  # the new list doesn't name them any more
+            fs.delete(file_system(self.spark, f"{self.path}/{n}")[1], True)
 
 
 def _reached(before: DataFrame, stars: DataFrame) -> DataFrame:
@@ -359,9 +354,7 @@ def classes(stars: DataFrame) -> DataFrame:
     Each star is connected already; only labels that meet in one record are joined.
     """
     nodes = stars.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("num", "cell", "dur")], F.min("batch_no").alias("batch_no"), F.max("n").alias("n"), F.max("covered").alias("covered"), F.min("label").alias("label"), F.max("label").alias("high"))
-    nodes = cut(nodes)
     meeting = nodes.where("label < high").select("node", F.col("label").alias("a")).join(stars.select("node", F.col("label").alias("b")), "node").where("a < b").select("a", "b").distinct()
-    meeting = cut(meeting)
     joined = nodes
     if not meeting.isEmpty():
         joined = nodes.join(connected(meeting).select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
@@ -373,7 +366,7 @@ def classes(stars: DataFrame) -> DataFrame:
 
 def _temporary(spark: SparkSession, block: int = BLOCK_CELLS, margin: int = MARGIN_CELLS) -> History:
     """A history in the application's scratch folder with as many buckets as the session has shuffle partitions."""
-    return History(spark, f"{_application_scratch(spark)}/{uuid.uuid4().hex}", max(12, int(spark.conf.get("spark.sql.shuffle.partitions"))), block, margin)
+    return History(spark, f"{application_scratch(spark)}/{uuid.uuid4().hex}", max(12, int(spark.conf.get("spark.sql.shuffle.partitions"))), block, margin)
 
 
 def class_labels(usable: DataFrame, by_batch: bool, block: int = BLOCK_CELLS, margin: int = MARGIN_CELLS) -> DataFrame:
@@ -384,7 +377,7 @@ def class_labels(usable: DataFrame, by_batch: bool, block: int = BLOCK_CELLS, ma
     """
     records = folded(usable, "batch_no") if by_batch else folded(usable).withColumn("batch_no", F.lit(0))
     history = _temporary(usable.sparkSession, block, margin)
-    name = history._write(records)
+    name, _ = history._write(records)
     linked = classes(cut(history._linked(name, [])))
     # a text that was delivered again and again alone is a class as well
     alone = history._read(name).where("n > 1").select("num", "cell", "dur", F.col("first").alias("first_call_id"), F.col("batch_no").alias("first_batch"), F.col("batch_no").alias("last_batch"), F.col("n").alias("members"))

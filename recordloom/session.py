@@ -38,7 +38,27 @@ def file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def _application_scratch(spark: SparkSession) -> str:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written by the driver."""
+    fs, at = file_system(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, read by the driver."""
+    fs, at = file_system(spark, path)
+    data = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(data, "UTF-8")
+    finally:
+        data.close()
+
+
+def application_scratch(spark: SparkSession) -> str:
     """The application's own folder below the scratch folder; it is deleted when the driver ends."""
     path = f"{scratch_dir(spark)}/recordloom/{spark.sparkContext.applicationId}"
     if path not in _registered:
@@ -60,7 +80,7 @@ def cut(df: DataFrame) -> DataFrame:
     or with the end of the application.
     """
     spark = df.sparkSession
-    path = f"{_application_scratch(spark)}/{uuid.uuid4().hex}"
+    path = f"{application_scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
