@@ -7,13 +7,23 @@ from pyspark.sql import functions as F
 
 #: Texts that stand for an unknown contact.
 UNKNOWN_CONTACTS = ("", "(Unknown)", "null")
-#: MIME types and their file extensions.
+#: MIME types of binary contents and their file extensions.
 MIME_EXTENSIONS = {
-    "image/jpeg": "jpg", "image/png": "png", "image/gif": "gif", "image/bmp": "bmp", "image/webp": "webp",
-    "video/mp4": "mp4", "video/3gpp": "3gp", "audio/mpeg": "mp3", "audio/amr": "amr", "application/pdf": "pdf",
+    "image/jpeg": "jpg", "image/jpg": "jpg", "image/png": "png", "image/gif": "gif", "image/bmp": "bmp", "image/webp": "webp", "image/tiff": "tiff", "image/tif": "tif",
+    "video/mp4": "mp4", "video/3gpp": "3gp", "video/quicktime": "mov", "video/avi": "avi", "video/mov": "mov", "video/wmv": "wmv", "video/flv": "flv",
+    "audio/mpeg": "mp3", "audio/mp3": "mp3", "audio/mp4": "m4a", "audio/amr": "amr", "audio/wav": "wav", "audio/ogg": "ogg", "audio/aac": "aac", "audio/m4a": "m4a",
+    "application/pdf": "pdf", "application/zip": "zip", "application/rar": "rar", "application/7z": "7z",
+    "application/msword": "doc", "application/vnd.ms-excel": "xls", "application/vnd.ms-powerpoint": "ppt",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx", "application/octet-stream": "bin",
 }
+#: MIME types that stand for each file extension of several types.
+EXTENSION_MIMES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "mp3": "audio/mpeg", "m4a": "audio/mp4", "mov": "video/quicktime", "tif": "image/tiff"}
 #: Content types that stay inline.
-INLINE_TYPES = ("application/smil", "text/plain", "text/x-vcard", "text/vcard", "text/html")
+INLINE_TYPES = (
+    "text/plain", "text/html", "text/xml", "text/css", "text/javascript", "text/csv", "text/rtf", "text/x-vcard", "text/vcard",
+    "application/xml", "application/json", "application/javascript", "application/smil", "application/xhtml+xml", "application/vnd.wap.multipart.related",
+)
 
 
 def as_text(c: Column | str) -> Column:
@@ -80,7 +90,7 @@ def mime_extension(ct: Column | str) -> Column:
 def extension_mime(name: Column | str) -> Column:
     """The MIME type of a file name, ``application/octet-stream`` for others."""
     ext = F.lower(F.regexp_extract(as_text(name), r"\.([A-Za-z0-9]+)$", 1))
-    pairs = F.create_map(*[F.lit(x) for k, v in {**{v: k for k, v in MIME_EXTENSIONS.items()}, "jpeg": "image/jpeg"}.items() for x in (k, v)])
+    pairs = F.create_map(*[F.lit(x) for k, v in {**{v: k for k, v in MIME_EXTENSIONS.items()}, **EXTENSION_MIMES}.items() for x in (k, v)])
     return F.coalesce(pairs[ext], F.lit("application/octet-stream"))
 
 
@@ -150,8 +160,8 @@ def is_phone_text(c: Column | str) -> Column:
 
 
 def is_unknown(name: Column | str) -> Column:
-    """Does a contact name stand for nobody?"""
-    return F.coalesce(F.trim(as_text(name)).isin(*UNKNOWN_CONTACTS), F.lit(True))
+    """Does a contact name, as written, stand for nobody?"""
+    return F.coalesce(as_text(name).isin(*UNKNOWN_CONTACTS), F.lit(True))
 
 
 def event_id(*parts: Column) -> Column:

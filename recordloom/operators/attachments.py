@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.scalars import INLINE_TYPES, MIME_EXTENSIONS, normalize_mime, path_of_hash
-from recordloom.operators.coalesce import first_wins
 
 #: Fixed value: content shorter than this many characters stays inline.
 MIN_CONTENT = 1024
@@ -22,6 +21,19 @@ def extraction_reason(ct: Column, data: Column, text: Column, disposition: Colum
     )
 
 
+def extraction_actions(parts: DataFrame, stored: DataFrame) -> DataFrame:
+    """``parts`` (ct, data, text, cd) with hash and action of each: as ``extraction_reason``, and ``referenced`` where the content is stored already.
+
+    Of equal contents within ``parts`` each counts as extracted; they share one address. ``stored``: hash.
+    """
+    acted = parts.withColumn("action", extraction_reason(F.col("ct"), F.col("data"), F.col("text"), F.col("cd")))
+    content = F.coalesce(F.when(F.col("data") != "", F.col("data")), F.col("text"))
+    hashed = acted.withColumn("hash", F.when(F.col("action") == "extracted", F.sha2(content, 256)))
+    known = stored.select("hash").where("hash is not null").distinct().withColumn("is_stored", F.lit(True))
+    joined = hashed.join(known, "hash", "left")
+    return joined.withColumn("action", F.when(F.col("is_stored"), "referenced").otherwise(F.col("action"))).drop("is_stored")
+
+
 def explode_parts(messages: DataFrame, *keep: str) -> DataFrame:
     """One row per part with its place from 0; messages without parts give none."""
     return messages.select(*keep, F.posexplode("parts").alias("pos", "part")).select(*keep, "pos", "part.*")
@@ -33,10 +45,13 @@ def mark_extracted(parts: str, size: str = "size") -> Column:
 
 
 def content_addresses(parts: DataFrame, content: str, *order: str) -> DataFrame:
-    """hash, path and the first part (by order) of each distinct content, with its number of references."""
-    ranked = first_wins(parts, F.sha2(content, 256), *[F.col(o) for o in order])
-    counted = ranked.groupBy("key").agg(F.count(F.lit(1)).alias("references"), *[F.max(F.when(F.col("rn") == 1, F.col(o))).alias(o) for o in order])
-    return counted.withColumnRenamed("key", "hash").withColumn("path", path_of_hash("hash"))
+    """hash, path and the first part (by order) of each distinct content, with its number of references.
+
+    Minimum and count combine before the shuffle, so a content that a third of the parts hold costs its hash once a task.
+    """
+    first = F.min(F.struct(*order))
+    counted = parts.groupBy(F.sha2(content, 256).alias("hash")).agg(F.count(F.lit(1)).alias("references"), first.alias("first"))
+    return counted.select("hash", "references", "first.*").withColumn("path", path_of_hash("hash"))
 
 
 def reference_check(attachments: DataFrame, references: DataFrame) -> DataFrame:
@@ -54,5 +69,5 @@ def type_mismatches(attachments: DataFrame, references: DataFrame) -> DataFrame:
 
 def action_counts(parts: DataFrame) -> DataFrame:
     """ct and one column per action: how many parts of each type took which action."""
-    actions = ["extracted", "content-type-filtered", "unknown-type", "no-data", "too-small"]
+    actions = ["extracted", "referenced", "content-type-filtered", "unknown-type", "no-data", "too-small"]
     return parts.groupBy("ct").agg(*[F.count_if(F.col("action") == a).alias(a.replace("-", "_")) for a in actions])

@@ -1,13 +1,17 @@
 """Mixed timestamp formats and zones to one UTC instant.
 
-1. Every text is read by its form: an epoch number of any precision, or a date
-   and a time with an offset, a zone name, an abbreviation or nothing.
-2. Devices whose zone is missing or contradicted get one by estimation: rows whose
-   two fields are an instant and a bare local time show the offset that was in
-   force, and the candidate zone whose offset history leaves the fewest
-   violations (a wrong offset, or an instant later than the ingestion) is taken.
-   A declared zone stands unless its history is violated by most of the rows and
-   another one is hardly violated at all.
+1. Every text is read once by its form: an epoch number of any precision, or a date
+   and a time with an offset, a zone name, an abbreviation or nothing. What was
+   read is written to the scratch folder.
+2. Devices whose zone is missing or contradicted get one by estimation among all
+   zones of the time zone database, those that devices declare first. Evidence is
+   added up by device and day: rows whose two fields are an instant and a bare
+   local time show the offset that was in force; a bare local time can't lie after
+   its ingestion, so it shows the least offset that is possible. The zone whose
+   offset history leaves the fewest violations is taken. A device without rows of
+   the first kind takes, of the zones with hardly more violations than the best one, that whose
+   times lie closest before their ingestion. A declared zone stands unless its history is
+   violated by most of the rows and another one is hardly violated at all.
 3. Local times are converted in that zone. A time that occurs twice takes the
    instant that agrees with the other field of the row, if that one is
    unambiguous, and the first otherwise. A time that a zone skips is read with the
@@ -24,12 +28,14 @@ import re
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, available_timezones
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.session import cut
+
 #: Texts that stand for no timestamp.
 PLACEHOLDERS = frozenset(("", "0", "-", "--", "null", "none", "nan", "n/a", "na", "unknown", "(unknown)", "?"))
 #: Month names, English, German, French and Spanish.
@@ -195,102 +201,175 @@ def _stamps(date: str | None, readable: str | None, month_first: bool, zone: str
     return _resolve(out[0], out[1]), _resolve(out[1], out[0])
 
 
-def offset_evidence(rows: DataFrame) -> DataFrame:
-    """device_id, day (of an hour), offset_min, late, n: offsets that rows with an instant beside a bare local time show.
+#: What is kept of a text: an instant, or a local time (as milliseconds since 1970 by the wall clock) and its zone text.
+_READ = "import_id bigint, device_id bigint, arrived bigint, normal boolean, ms_a bigint, local_a bigint, zone_a string, ms_b bigint, local_b bigint, zone_b string"
 
-    ``rows``: device_id, date, readable_date, imported_at, locale. The counts are added up per
-    batch before anything is shuffled.
-    """
 
-    def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def read_fields(rows: DataFrame) -> DataFrame:
+    """What the two fields of each row say; ``rows``: import_id, device_id, imported_at, date, readable_date, locale."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts: dict[tuple, int] = {}
-            for device, date, readable, arrived, locale in batch.itertuples(index=False, name=None):
+            read: list[list] = [[] for _ in range(6)]
+            normal = []
+            for date, readable, locale in zip(batch["date"], batch["readable_date"], batch["locale"]):
                 first = locale in MONTH_FIRST
-                a, b = read_stamp(date, first), read_stamp(readable, first)
-                for instant, local in ((a, b), (b, a)):
-                    if instant[0] is not None and local[1] is not None and local[2] is None:
-                        naive = (datetime(*local[1][:6]) - _EPOCH) // timedelta(milliseconds=1)
-                        offset = round((naive - instant[0] // 60_000 * 60_000) / 900_000) * 15
-                        if abs(offset) <= 16 * 60:
-                            late = bool(pd.notna(arrived) and instant[0] > arrived.value // 1_000_000)
-                            key = (device, instant[0] // 3_600_000, offset, late)
-                            counts[key] = counts.get(key, 0) + 1
-            yield pd.DataFrame(
-                [(*k, n) for k, n in counts.items()], columns=["device_id", "hour", "offset_min", "late", "n"]
-            ).astype({"hour": "int64", "offset_min": "int32", "late": "bool", "n": "int64"}).assign(device_id=lambda d: d["device_id"].astype("Int64"))
+                normal.append(date is not None and len(date) == 13 and date.isascii() and date.isdigit())
+                for k, text in ((0, date), (3, readable)):
+                    ms, parts, zone = read_stamp(text, first)
+                    read[k].append(ms)
+                    read[k + 1].append(None if parts is None else _wall(parts))
+                    read[k + 2].append(zone)
+            out = pd.DataFrame({"import_id": batch["import_id"], "device_id": batch["device_id"].astype("Int64"), "arrived": batch["arrived"].astype("Int64"), "normal": normal})
+            for name, k in (("a", 0), ("b", 3)):
+                out[f"ms_{name}"], out[f"local_{name}"] = (pd.array(read[k + j], dtype="Int64") for j in (0, 1))
+                out[f"zone_{name}"] = pd.Series(read[k + 2], dtype="object")
+            yield out
 
-    return (
-        rows.select(F.col("device_id").cast("bigint").alias("device_id"), "date", "readable_date", "imported_at", "locale")
-        .mapInPandas(collect, "device_id bigint, hour bigint, offset_min int, late boolean, n bigint")
-        .groupBy("device_id", "hour", "offset_min")
-        .agg(F.sum("n").alias("n"), F.sum(F.when(F.col("late"), F.col("n")).otherwise(0)).alias("late"))
-    )
+    return rows.select(F.col("import_id").cast("bigint").alias("import_id"), "device_id", F.unix_millis(F.col("imported_at").cast("timestamp")).alias("arrived"), "date", "readable_date", "locale").mapInPandas(run, _READ)
 
 
-def estimated_zones(rows: DataFrame, devices: DataFrame) -> DataFrame:
-    """device_id (bigint), zone: for every device with a usable or estimable zone.
+def _wall(parts: Local) -> int:
+    return (datetime(*parts[:6]) - _EPOCH) // timedelta(milliseconds=1) + parts[6]
 
-    The candidates are the zones that the devices declare. Each line of evidence is
-    held against each candidate's offset in that hour, so the work is (hours with
-    evidence) x (distinct zones), not rows x zones.
+
+def _parts(wall: int) -> Local:
+    t = _EPOCH + timedelta(milliseconds=wall)
+    return t.year, t.month, t.day, t.hour, t.minute, t.second, wall % 1000
+
+
+def offset_evidence(read: DataFrame) -> DataFrame:
+    """device_id, day, paired, offset_min, n: offsets (in steps of a quarter of an hour) that rows with an instant beside a bare local time show,
+    and the least offsets at which bare local times don't lie after their ingestion.
+
+    Least offsets that every zone reaches say nothing and are left out. The counts combine before they are shuffled.
     """
-    zones = [r[0] for r in devices.select("zone_id").where("zone_id is not null").groupBy("zone_id").count().orderBy(F.desc("count"), "zone_id").limit(600).collect()]
-    declared = devices.select(F.col("device_id").cast("bigint").alias("device_id"), F.col("zone_id").alias("declared"))
+    bare_a, bare_b = F.col("local_a").isNotNull() & F.col("zone_a").isNull(), F.col("local_b").isNotNull() & F.col("zone_b").isNull()
+    instant = F.when(bare_a, F.col("ms_b")).when(bare_b, F.col("ms_a"))
+    wall = F.when(bare_a & (F.col("ms_b").isNotNull() | ~bare_b), F.col("local_a")).when(bare_b, F.col("local_b"))
+    shown = F.round((F.expr("wall div 1000 * 1000") - F.expr("instant div 60000 * 60000")) / 900_000).cast("int") * 15
+    least = F.ceil((F.col("wall") - F.col("arrived")) / 900_000).cast("int") * 15
+    paired = F.col("instant").isNotNull()
+    return (
+        read.select("device_id", "arrived", instant.alias("instant"), wall.alias("wall")).where("device_id is not null and wall is not null and (instant is not null or arrived is not null)")
+        .select("device_id", F.expr("coalesce(instant, wall) div 86400000").cast("int").alias("day"), paired.alias("paired"), F.when(paired, shown).otherwise(least).alias("offset_min"))
+        .where(f"offset_min between -{_WIDEST} and {_WIDEST}")
+        .groupBy("device_id", "day", "paired", "offset_min").agg(F.count(F.lit(1)).alias("n"))
+    )
 
-    def violations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = [z for z in zones if _zone(z)]
 
-        @lru_cache(maxsize=200_000)
-        def offset(zone: str, hour: int) -> int:
-            return int(datetime.fromtimestamp(hour * 3600, ZoneInfo(zone)).utcoffset().total_seconds() // 60)
+#: No zone is further from UTC than this many minutes.
+_WIDEST = 16 * 60
+#: Zones that a task holds evidence against, and by how much more of the rows a zone may be violated than the best one to be as good.
+ZONES_A_TASK, AS_GOOD = 40, 0.02
 
+
+@lru_cache(maxsize=1_000_000)
+def _offsets(zone: str, day: int) -> tuple[int, int]:
+    """Offsets in minutes at the beginning and the end of a day."""
+    z = _zone(zone)
+    if z is None:
+        return 0, 0
+    try:
+        return tuple(int((_EPOCH + timedelta(days=day + k)).replace(tzinfo=timezone.utc).astimezone(z).utcoffset().total_seconds() // 60) for k in (0, 1))
+    except OverflowError:  # a day at the end of time
+        return 0, 0
+
+
+def zone_votes(evidence: DataFrame) -> DataFrame:
+    """device_id, zone, paired, rows, violations, gap: evidence held against zones; ``evidence``: as ``offset_evidence``, and zones array<string>.
+
+    ``gap``: minutes between the local times and their ingestion, where they lie before it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sums: dict[tuple, list[int]] = {}
-            for device, hour, seen, n, late in batch.itertuples(index=False, name=None):
-                for z in known:
-                    s = sums.setdefault((device, z), [0, 0])
+            sums: dict[tuple, list[float]] = {}
+            for device, day, paired, seen, n, zones in batch.itertuples(index=False, name=None):
+                for z in zones:
+                    begin, end = _offsets(z, day)
+                    s = sums.setdefault((device, z, paired), [0, 0, 0])
                     s[0] += n
-                    # the hour of a change may show either offset
-                    s[1] += 0 if seen in (offset(z, hour), offset(z, hour + 1)) else n
-            yield pd.DataFrame([(d, z, a, b) for (d, z), (a, b) in sums.items()], columns=["device_id", "zone", "rows", "violations"]).astype(
-                {"rows": "int64", "violations": "int64"}).assign(device_id=lambda d: d["device_id"].astype("Int64"))
-
-    votes = (
-        offset_evidence(rows)
-        .mapInPandas(violations, "device_id bigint, zone string, rows bigint, violations bigint")
-        .groupBy("device_id", "zone").agg(F.sum("rows").alias("rows"), F.sum("violations").alias("violations"))
-        .withColumn("share", F.col("violations") / F.col("rows"))
+                    if paired:  # the day of a change may show either offset
+                        s[1] += 0 if seen in (begin, end) else n
+                    elif max(begin, end) < seen:
+                        s[1] += n
+                    else:
+                        s[2] += n * (min(begin, end) - seen)
+            yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["device_id", "zone", "paired", "rows", "violations", "gap"]).astype(
+                {"device_id": "int64", "zone": "object", "paired": "bool", "rows": "int64", "violations": "int64", "gap": "int64"})
+
+    votes = evidence.select("device_id", "day", "paired", "offset_min", "n", "zones").mapInPandas(run, "device_id bigint, zone string, paired boolean, rows bigint, violations bigint, gap bigint")
+    return votes.groupBy("device_id", "zone", "paired").agg(*[F.sum(c).alias(c) for c in ("rows", "violations", "gap")])
+
+
+def estimated_zones(read: DataFrame, devices: DataFrame) -> DataFrame:
+    """device_id (bigint), zone: for every device with a usable or estimable zone."""
+    spark = devices.sparkSession
+    declared = devices.select(F.col("device_id").cast("bigint").alias("device_id"), F.col("zone_id").alias("declared")).where("device_id is not null").dropDuplicates(["device_id"])
+    evidence = offset_evidence(read)
+    own = zone_votes(evidence.join(declared.where("declared is not null"), "device_id").withColumn("zones", F.array("declared")))
+    own = own.groupBy("device_id").agg((F.sum("violations") / F.sum("rows")).alias("own_share"))
+    known = sorted(available_timezones())
+    judged = cut(
+        evidence.select("device_id").distinct().join(declared, "device_id", "full_outer").join(own, "device_id", "left")
+        .withColumn("usable", F.coalesce(F.col("declared").isin(known), F.lit(False)))
     )
-    rank = {z: i for i, z in enumerate(zones)}
-    order = F.coalesce(*[F.when(F.col("zone") == z, F.lit(i)) for z, i in rank.items()], F.lit(len(rank))) if rank else F.lit(0)
-    best = votes.groupBy("device_id").agg(F.min_by(F.struct("zone", "share"), F.struct("share", order)).alias("best"))
-    own = votes.withColumnRenamed("zone", "declared").select("device_id", "declared", F.col("share").alias("own_share"))
-    joined = declared.join(own, ["device_id", "declared"], "left").join(best, "device_id", "full_outer")
-    stands = F.col("declared").isin(zones) & ~((F.coalesce(F.col("own_share"), F.lit(0.0)) > 0.5) & (F.col("best.share") < 0.05))
-    return joined.select("device_id", F.when(F.coalesce(stands, F.lit(False)), F.col("declared")).otherwise(F.coalesce(F.col("best.zone"), F.col("declared"))).alias("zone"))
+    stands = F.coalesce("own_share", F.lit(0.0)) <= 0.5
+    doubted = judged.where(~F.col("usable") | ~stands)
+    if doubted.isEmpty():
+        return judged.select("device_id", F.col("declared").alias("zone"))
+    # all zones of the database, in a fixed order; a zone that devices declare goes before others
+    usual = judged.where("usable").groupBy(F.col("declared").alias("zone")).agg(F.count(F.lit(1)).alias("devices"))
+    shares = [known[i : i + ZONES_A_TASK] for i in range(0, len(known), ZONES_A_TASK)]
+    lists = F.explode(F.array(*[F.array(*map(F.lit, share)) for share in shares]))
+    asked = evidence.join(doubted.select("device_id"), "device_id", "left_semi").withColumn("zones", lists)
+    votes = zone_votes(asked.repartition(max(len(shares), int(spark.conf.get("spark.sql.shuffle.partitions"))), "device_id", F.col("zones")[0])).withColumn("share", F.col("violations") / F.col("rows"))
+    votes = cut(votes)
+    kinds = votes.groupBy("device_id").agg(F.max("paired").alias("paired"))
+    votes = votes.join(kinds, ["device_id", "paired"])  # offsets that were seen count alone, where there are any
+    least = votes.groupBy("device_id").agg(F.min("share").alias("least"))
+    close = votes.join(least, "device_id").where(F.col("share") <= F.col("least") + F.when(F.col("paired"), 0.0).otherwise(AS_GOOD)).join(usual, "zone", "left")
+    order = F.struct(F.when(F.col("paired"), F.lit(0.0)).otherwise(F.col("gap") / F.col("rows")), -F.coalesce("devices", F.lit(0)), "zone")
+    best = close.groupBy("device_id").agg(F.min_by(F.struct("zone", "share", "paired"), order).alias("best"))
+    joined = judged.join(best, "device_id", "left")
+    stands = F.col("usable") & ~(~stands & (F.col("best.share") < 0.05) & F.col("best.paired"))
+    return joined.select("device_id", F.when(F.coalesce(stands, F.col("usable")), F.col("declared")).otherwise(F.coalesce(F.col("best.zone"), F.col("declared"))).alias("zone"))
 
 
 def utc_instants(imports: DataFrame, devices: DataFrame) -> DataFrame:
     """import_id, field_name, utc_ms of the values of ``date`` that aren't epoch milliseconds yet and of ``readable_date``."""
     base = imports.select("import_id", F.col("device_id").cast("bigint").alias("device_id"), "date", "readable_date", "imported_at")
-    locales = devices.select(F.col("device_id").cast("bigint").alias("device_id"), "locale")
-    zones = estimated_zones(base.join(locales, "device_id", "left"), devices)
-    about = zones.join(locales, "device_id", "left")
+    locales = devices.select(F.col("device_id").cast("bigint").alias("device_id"), "locale").dropDuplicates(["device_id"])
+    read = cut(read_fields(base.join(locales, "device_id", "left")))
+    # an instant needs no zone
+    plain = read.where("local_a is null and local_b is null")
+    apart = F.explode(F.array(
+        F.struct(F.lit("date").alias("field_name"), F.when(~F.col("normal"), F.col("ms_a")).alias("utc_ms")), F.struct(F.lit("readable_date").alias("field_name"), F.col("ms_b").alias("utc_ms"))
+    ))
+    done = plain.select("import_id", apart.alias("x")).select("import_id", "x.field_name", "x.utc_ms").where("utc_ms is not null")
+    local = read.where("local_a is not null or local_b is not null").join(estimated_zones(read, devices), "device_id", "left")
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, fields, values = [], [], []
-            for i, date, readable, zone, locale in batch.itertuples(index=False, name=None):
-                a, b = _stamps(date, readable, locale in MONTH_FIRST, zone)
-                if a is not None and not re.fullmatch(r"\d{13}", date):
+            columns = [batch["import_id"].tolist(), batch["normal"].tolist(), *(batch[c].astype("object").where(batch[c].notna(), None).tolist() for c in ("zone", "ms_a", "local_a", "zone_a", "ms_b", "local_b", "zone_b"))]
+            for i, normal, zone, ms_a, local_a, zone_a, ms_b, local_b, zone_b in zip(*columns):
+                a = [int(ms_a)] if ms_a is not None else _instants(local_a, zone_a, zone)
+                b = [int(ms_b)] if ms_b is not None else _instants(local_b, zone_b, zone)
+                if a and not normal:
                     ids.append(i)
                     fields.append("date")
-                    values.append(a)
-                if b is not None:
+                    values.append(_resolve(a, b))
+                if b:
                     ids.append(i)
                     fields.append("readable_date")
-                    values.append(b)
+                    values.append(_resolve(b, a))
             yield pd.DataFrame({"import_id": pd.Series(ids, dtype="int64"), "field_name": pd.Series(fields, dtype="object"), "utc_ms": pd.Series(values, dtype="int64")})
 
-    return base.join(about, "device_id", "left").select("import_id", "date", "readable_date", "zone", "locale").mapInPandas(convert, "import_id bigint, field_name string, utc_ms bigint")
+    schema = "import_id bigint, field_name string, utc_ms bigint"
+    return done.unionByName(local.select("import_id", "normal", "zone", "ms_a", "local_a", "zone_a", "ms_b", "local_b", "zone_b").mapInPandas(convert, schema))
+
+
+def _instants(wall: int | None, zone_text: str | None, zone: str | None) -> list[int]:
+    return [] if wall is None else candidates(_parts(int(wall)), zone_text, zone)

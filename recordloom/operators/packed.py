@@ -1,14 +1,17 @@
 """Dictionary-guided segmentation of fields that hold several values.
 
 A cell is cut at delimiters that no quote or escape protects. A multi-pattern
-automaton over the known whole values that contain a delimiter finds the places
-where one of them is written out; a dynamic program then picks the cover of the
-cell with the fewest unknown pieces, so a known value that stands between two
-boundaries keeps its inner delimiters.
-
-The dictionary travels to the tasks only up to ``BROADCAST_ROWS`` values (checked
-by a count). Beyond that the spans of the cells that could be such a value are
-joined with the dictionary, which gives the same result.
+automaton over the known whole values finds the places where one of them is written
+out; a dynamic program then picks the cheapest cover of the cell, in which an
+unknown piece costs most, a known value with a delimiter inside less and a known
+piece least. So a known value that stands between two boundaries keeps its inner
+delimiters, unless all of its pieces are known values as well.
+
+Only known values with a delimiter and those that equal a piece of one can change a
+cover, so the automaton holds no others. It travels to the tasks only up to
+``BROADCAST_ROWS`` values and ``DICTIONARY_CHARS`` characters (checked by an
+aggregate). Beyond that the pieces and spans of the cells are joined with the
+dictionary, which gives the same result.
 
 Defined cases: null cells and null or blank elements hold no value; an empty
 piece takes no position; a quote that isn't closed before a delimiter is text;
@@ -29,6 +32,10 @@ from recordloom.session import BROADCAST_ROWS, small_enough
 DELIMITERS = ",;|~\t\n\r"
 _QUOTES = "\"'"
 HAS_DELIMITER = r"[,;|~\t\n\r/]"
+#: Costs of a cover: an unknown piece, a known value with a delimiter inside, a known piece.
+UNKNOWN, KNOWN_SPAN, KNOWN_PIECE = 1.0, 0.5, 0.25
+#: Characters of the dictionary that travels to the tasks.
+DICTIONARY_CHARS = 4_000_000
 
 
 def _quoted(text: str, at: int) -> tuple[str, int] | None:
@@ -88,17 +95,17 @@ def _pieces(text: str) -> list[tuple[int, int, str, bool]]:
 
 
 def spans(text: str, widest: int) -> Iterable[tuple[int, int, str]]:
-    """Runs of two to ``widest`` neighbouring bare pieces as written: (first piece, last piece, text)."""
+    """Runs of one to ``widest`` neighbouring bare pieces as written, if there are two at all: (first piece, last piece, text)."""
     pieces = _pieces(text)
-    for a in range(len(pieces)):
-        for b in range(a + 1, min(len(pieces), a + widest)):
+    for a in range(len(pieces) if len(pieces) > 1 else 0):
+        for b in range(a, min(len(pieces), a + widest)):
             if pieces[b][3] or pieces[a][3]:
                 break
             yield a, b, text[pieces[a][0] : pieces[b][1]].strip()
 
 
 def segment(text: str | None, known_at: list[tuple[int, int]] | None = None) -> list[str]:
-    """Values of one cell in order. ``known_at``: character ranges at which a known value with a delimiter inside is written."""
+    """Values of one cell in order. ``known_at``: character ranges at which a known value is written."""
     if text is None:
         return []
     pieces = _pieces(text)
@@ -109,16 +116,17 @@ def segment(text: str | None, known_at: list[tuple[int, int]] | None = None) ->
     for start, end, _, kept in pieces:
         raw = text[start:end]
         bounds.append((start + len(raw) - len(raw.lstrip()), start + len(raw.rstrip()), kept))
-    # cost[i]: fewest unknown pieces that cover the pieces from i on
+    # cost[i]: of the cheapest cover of the pieces from i on
     n = len(pieces)
     cost, step = [0.0] * (n + 1), [1] * (n + 1)
     for i in range(n - 1, -1, -1):
-        cost[i], step[i] = (1.0 if pieces[i][2].strip() else 0.0) + cost[i + 1], 1
+        own = 0.0 if not pieces[i][2].strip() else KNOWN_PIECE if (bounds[i][0], bounds[i][1]) in ranges else UNKNOWN
+        cost[i], step[i] = own + cost[i + 1], 1
         for j in range(i + 1, n):
             if bounds[i][2] or bounds[j][2]:
                 break
-            if (bounds[i][0], bounds[j][1]) in ranges and cost[j + 1] + 0.5 < cost[i]:
-                cost[i], step[i] = cost[j + 1] + 0.5, j - i + 1
+            if (bounds[i][0], bounds[j][1]) in ranges and cost[j + 1] + KNOWN_SPAN < cost[i]:
+                cost[i], step[i] = cost[j + 1] + KNOWN_SPAN, j - i + 1
     out, i = [], 0
     while i < n:
         value = pieces[i][2] if step[i] == 1 else text[pieces[i][0] : pieces[i + step[i] - 1][1]]
@@ -146,7 +154,10 @@ def split_values(cells: DataFrame, dictionary: DataFrame, *, limit: int = BROADC
     ``pos`` counting over its elements from 1.
     """
     cells = cells.select("src", "row_id", "texts")
-    words = dictionary.select(F.trim("val").alias("val")).where(F.col("val").rlike(HAS_DELIMITER) & (F.length("val") > 0)).distinct()
+    known_values = dictionary.select(F.trim("val").alias("val")).where(F.length("val") > 0).distinct()
+    spanning = known_values.where(F.col("val").rlike(HAS_DELIMITER))
+    parts = spanning.select(F.explode(F.split("val", HAS_DELIMITER)).alias("val")).select(F.trim("val").alias("val")).distinct()
+    words = spanning.unionByName(known_values.where(~F.col("val").rlike(HAS_DELIMITER)).join(parts, "val", "left_semi"))
     schema = "src string, row_id bigint, pos bigint, val string"
 
     def emit(batch: pd.DataFrame, values_of) -> pd.DataFrame:
@@ -162,7 +173,7 @@ def split_values(cells: DataFrame, dictionary: DataFrame, *, limit: int = BROADC
                     val.append(v)
         return pd.DataFrame({"src": pd.Series(src, dtype="object"), "row_id": pd.Series(row, dtype="int64"), "pos": pd.Series(pos, dtype="int64"), "val": pd.Series(val, dtype="object")})
 
-    if small_enough(words, limit):
+    if small_enough(words, limit) and (words.agg(F.sum(F.length("val"))).first()[0] or 0) <= DICTIONARY_CHARS:
         known = [r[0] for r in words.limit(limit).collect()]  # at most ``limit`` rows, checked above
 
         def by_automaton(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

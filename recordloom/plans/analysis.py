@@ -70,24 +70,24 @@ def last_per_key(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-_LINES = "(SELECT doc_id, i AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND source IN ('manual','report','issue')), unnest(range(1, len(l) + 1)) AS u(i))"
+_LINES = "(SELECT doc_id, i AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) AS u(i))"
 _FENCED = f"(SELECT *, (sum(CASE WHEN line LIKE '```%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) % 2 = 1) OR line LIKE '```%' AS in_fence FROM {_LINES})"
 _HEADED = f"(SELECT *, regexp_matches(line, '^#{{1,6}} ') AND NOT in_fence AS is_heading FROM {_FENCED})"
 _SECTIONED = f"(SELECT *, sum(CASE WHEN is_heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS section, last_value(CASE WHEN is_heading THEN regexp_replace(line, '^#+ +', '') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS title FROM {_HEADED})"
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return X.lines_of(table(spark, sf, "documents").where(F.col("source").isin("manual", "report", "issue")), "text", "doc_id")
+    return X.lines_of(table(spark, sf, "documents"), "text", "doc_id")
 
 
 @query(f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, in_fence, is_heading, CAST(section AS BIGINT) AS section, title FROM {_SECTIONED}")
-def text_sections(spark: SparkSession, sf: str) -> DataFrame:
+def document_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Section number, fence state and title of every line of the longer texts."""
     return X.containing_section(X.sections(_lines(spark, sf), "doc_id"), "doc_id").select("doc_id", "line_no", "in_fence", "is_heading", "section", "title")
 
 
 @query(f"SELECT doc_id, CAST(section AS BIGINT) AS section, count(*) AS n_lines, sum(length(line)) AS chars, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS fingerprint FROM {_SECTIONED} GROUP BY doc_id, section")
-def section_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+def section_prints(spark: SparkSession, sf: str) -> DataFrame:
     """Size and fingerprint of each section."""
     s = X.sections(_lines(spark, sf), "doc_id")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
@@ -95,7 +95,7 @@ def section_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"SELECT title, count(DISTINCT doc_id) AS n, trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 _-]', '', 'g'), '[ ]+', '-', 'g'), '-') AS anchor FROM {_SECTIONED} WHERE is_heading GROUP BY title")
-def heading_anchors(spark: SparkSession, sf: str) -> DataFrame:
+def anchors_of_headings(spark: SparkSession, sf: str) -> DataFrame:
     """Headings, how many texts have them, and their anchors."""
     s = X.containing_section(X.sections(_lines(spark, sf), "doc_id"), "doc_id").where("is_heading")
     return s.groupBy("title").agg(F.count_distinct("doc_id").alias("n")).withColumn("anchor", S.slug("title"))
@@ -124,33 +124,9 @@ def text_measures(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.words(t).cast("bigint").alias("words"), X.reading_minutes(t).alias("minutes"), X.keyword_hits(t, ("backup", "import")).alias("hits"))
 
 
-@query("SELECT doc_id FROM documents WHERE text IS NOT NULL AND len(regexp_extract_all(text, '[(]')) <> len(regexp_extract_all(text, '[)]')) AND NOT regexp_matches(text, '[\\[\\]{}]')")
-def unbalanced_brackets(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts with round brackets only, of which one is missing."""
-    count = lambda sign: F.regexp_count("text", F.lit(sign))
-    d = table(spark, sf, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[\[\]{}]"))
-    return d.where(~X.balanced(F.col("text")) & (count(r"\(") != count(r"\)"))).select("doc_id")
-
-
-@query("""SELECT line_id, CASE WHEN regexp_matches(file_name, '\\.xml$') THEN 'xml' ELSE 'csv' END AS kind, regexp_matches(file_name, '^calls-20[12][0-9]\\.[a-z]*$') AS included FROM call_lines""")
-def glob_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines by a glob on the file's name."""
-    c = table(spark, sf, "call_lines")
-    return c.select("line_id", F.when(F.col("file_name").rlike(X.glob_regex("*.xml")), "xml").otherwise("csv").alias("kind"), (F.col("file_name").rlike(X.glob_regex("calls-20??.*")) & F.col("file_name").rlike("^calls-20[12]")).alias("included"))
-
-
 _PATHS = "(SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'docs/a.txt' WHEN 1 THEN 'src/../x.py' WHEN 2 THEN '/etc/x.yaml' WHEN 3 THEN 'tests/x.py' WHEN 4 THEN 'src/x.py' ELSE 'bin/x' END AS path FROM part)"
 
 
-@query(f"""SELECT p_partkey, CASE path WHEN 'docs/a.txt' THEN 'docs' WHEN 'src/../x.py' THEN 'code' WHEN '/etc/x.yaml' THEN 'config' WHEN 'tests/x.py' THEN 'test' WHEN 'src/x.py' THEN 'code' ELSE 'other' END AS category, path NOT IN ('src/../x.py', '/etc/x.yaml') AS safe FROM {_PATHS}""")
-def path_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Category and safety of paths."""
-    m = F.col("p_size") % 6
-    path = F.when(m == 0, "docs/a.txt").when(m == 1, "src/../x.py").when(m == 2, "/etc/x.yaml").when(m == 3, "tests/x.py").when(m == 4, "src/x.py").otherwise("bin/x")
-    p = table(spark, sf, "part").select("p_partkey", path.alias("path"))
-    return p.select("p_partkey", X.file_category(F.col("path")).alias("category"), X.safe_path(F.col("path")).alias("safe"))
-
-
 _TREE = "(SELECT n_nationkey AS node, CASE WHEN n_nationkey > 0 THEN n_nationkey // 2 END AS needs FROM nation)"
 
 
@@ -179,13 +155,6 @@ def role_closure(spark: SparkSession, sf: str) -> DataFrame:
     return G.closure(_tree(spark, sf).withColumnRenamed("needs", "next"))
 
 
-@query("SELECT n_nationkey AS node FROM nation WHERE n_nationkey < 3 OR n_nationkey IN (10, 11)")
-def cycle_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes on a cycle: 0-1-2-0 and 10-11-10 in a chain."""
-    k = F.col("n_nationkey")
-    return G.cycles(table(spark, sf, "nation").select(k.alias("node"), F.when(k == 2, 0).when(k == 11, 10).when(k < 24, k + 1).alias("next")))
-
-
 @query("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
 def broken_references(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose reference has no target."""
@@ -193,10 +162,10 @@ def broken_references(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left_anti").select("s_suppkey")
 
 
-@query("SELECT doc_id, given FROM documents d JOIN nicknames n ON contains(d.text, n.given || ' ') WHERE d.source = 'sms' GROUP BY ALL")
-def names_mentioned(spark: SparkSession, sf: str) -> DataFrame:
-    """Short messages that hold a given name followed by a blank: words are joined, no text meets all names."""
-    d = table(spark, sf, "documents").where("source = 'sms' and text is not null")
+@query("SELECT doc_id, given FROM documents d JOIN nicknames n ON contains(d.text, n.given || ' ') GROUP BY ALL")
+def given_names_mentioned(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that hold a given name followed by a blank: words are joined, no text meets all names."""
+    d = table(spark, sf, "documents").where("text is not null")
     n = table(spark, sf, "nicknames").where("given is not null").select(F.col("given").alias("nick"), "given").distinct()
     # a name that ends in front of a blank ends a word; all ends of words are looked up
     lengths = [r[0] for r in n.select(F.length("nick").alias("n")).groupBy("n").count().select("n").collect()]  # one row per length

@@ -90,14 +90,14 @@ def array_mismatches(spark: SparkSession, sf: str) -> DataFrame:
     return out.where("missing <> '' or unexpected <> ''")
 
 
-_BLOCKS = "(SELECT doc_id, i AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND source IN ('manual','report','issue')), unnest(range(1, len(l) + 1)) AS u(i))"
+_BLOCKS = "(SELECT doc_id, i AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) AS u(i))"
 
 
 @query(f"""WITH f AS (SELECT *, sum(CASE WHEN line LIKE '```%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM {_BLOCKS})
   SELECT doc_id, CAST((k + 1) // 2 AS BIGINT) AS block, count(*) AS n_lines, count(*) FILTER (line LIKE '%WARN%') AS warnings FROM f WHERE k % 2 = 1 AND line NOT LIKE '```%' GROUP BY 1, 2""")
-def code_blocks(spark: SparkSession, sf: str) -> DataFrame:
+def fenced_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Fenced blocks with their lines and warnings."""
-    lines = X.lines_of(table(spark, sf, "documents").where(F.col("source").isin("manual", "report", "issue")), "text", "doc_id")
+    lines = X.lines_of(table(spark, sf, "documents"), "text", "doc_id")
     fence = F.col("line").startswith("```")
     order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = lines.withColumn("k", F.sum(fence.cast("int")).over(order)).where((F.col("k") % 2 == 1) & ~fence)
@@ -105,9 +105,9 @@ def code_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""SELECT doc_id, arg_min(regexp_replace(line, '^#+ +', ''), line_no) FILTER (regexp_matches(line, '^#+ ')) AS title, arg_min(line, line_no) FILTER (line <> '' AND NOT regexp_matches(line, '^(#|-|```)')) AS paragraph, count(*) FILTER (regexp_matches(line, '^- ')) AS bullets FROM {_BLOCKS} GROUP BY doc_id""")
-def text_outline(spark: SparkSession, sf: str) -> DataFrame:
-    """First heading, first paragraph and bullets of each longer text."""
-    lines = X.lines_of(table(spark, sf, "documents").where(F.col("source").isin("manual", "report", "issue")), "text", "doc_id")
+def document_outline(spark: SparkSession, sf: str) -> DataFrame:
+    """First heading, first paragraph and bullets of each text."""
+    lines = X.lines_of(table(spark, sf, "documents"), "text", "doc_id")
     heading, plain = F.col("line").rlike("^#+ "), (F.col("line") != "") & ~F.col("line").rlike("^(#|-|```)")
     first = lambda c, v: F.min_by(F.when(c, v), F.when(c, F.col("line_no")))
     return lines.groupBy("doc_id").agg(first(heading, F.regexp_replace("line", "^#+ +", "")).alias("title"), first(plain, F.col("line")).alias("paragraph"), F.count_if(F.col("line").rlike("^- ")).alias("bullets"))
@@ -115,10 +115,10 @@ def text_outline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH h AS (SELECT doc_id, lower(regexp_replace(line, '^#+ +', '')) AS title FROM {_BLOCKS} WHERE regexp_matches(line, '^#+ ')), p AS (SELECT DISTINCT title FROM h)
   SELECT p.title, count(DISTINCT d.doc_id) AS mentions FROM p JOIN (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS word FROM documents WHERE text IS NOT NULL) d ON d.word = p.title GROUP BY p.title""")
-def heading_mentions(spark: SparkSession, sf: str) -> DataFrame:
+def mentions_of_headings(spark: SparkSession, sf: str) -> DataFrame:
     """In how many texts the word of a heading occurs: an equi-join on words."""
     d = table(spark, sf, "documents").where("text is not null")
-    lines = X.lines_of(d.where(F.col("source").isin("manual", "report", "issue")), "text", "doc_id")
+    lines = X.lines_of(d, "text", "doc_id")
     titles = lines.where(F.col("line").rlike("^#+ ")).select(F.lower(F.regexp_replace("line", "^#+ +", "")).alias("title")).distinct()
     words = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("title"))
     return words.join(titles, "title", "left_semi").groupBy("title").agg(F.count(F.lit(1)).alias("mentions"))

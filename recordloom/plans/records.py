@@ -81,17 +81,6 @@ def new_calls_anti(spark: SparkSession, sf: str) -> DataFrame:
 _EVENT_KEY = "sha256(concat_ws('|', user_id, event_type, epoch_us(ts)))"
 
 
-@query(f"""WITH b AS (SELECT 0 AS src, * FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT 1, * FROM events WHERE event_id % 2 = 0),
-  r AS (SELECT *, row_number() OVER (PARTITION BY {_EVENT_KEY} ORDER BY src, event_id) AS rn FROM b)
-  SELECT CAST(year(ts) AS INTEGER) AS year, event_type, {_STATS} FROM r GROUP BY ALL""")
-def coalesce_events(spark: SparkSession, sf: str) -> DataFrame:
-    """The event log split in two overlapping parts and coalesced; as in the SQL, events with event_id = 3 mod 6 are in neither part and in no counter."""
-    e = table(spark, sf, "events")
-    key = F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type", F.unix_micros(F.col("ts").cast("timestamp")).cast("string")), 256)
-    r = C.coalesce(e.where("event_id % 3 <> 0"), e.where("event_id % 2 = 0"), key, F.col("event_id"))
-    return C.coalesce_statistics(r.withColumn("year", F.year("ts")), "year", "event_type")
-
-
 @query("SELECT user_id, minute, event_id FROM (SELECT user_id, date_trunc('minute', ts) AS minute, event_id, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1")
 def first_per_user_minute(spark: SparkSession, sf: str) -> DataFrame:
     """The first event of each user and minute."""
@@ -114,12 +103,6 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.coalesce("address", F.lit("")).alias("address"), S.epoch_ms("sent_at").alias("date"), F.when(F.col("doc_id") % 2 == 0, 1).otherwise(2).alias("type"), F.col("source").alias("kind"), F.col("text").alias("body"))
 
 
-@query(f"SELECT doc_id, sha256(concat('address:', address, '|date:', date, '|type:', type, '|kind:', kind, '|body:', coalesce(body, ''), '|')) AS full_key, sha256(concat('address:', address, '|date:', date, '|type:', type, '|')) AS short_key FROM {_MESSAGES}")
-def message_key_hash(spark: SparkSession, sf: str) -> DataFrame:
-    """Full and short key of each message."""
-    return messages(spark, sf).select("doc_id", C.message_key("full").alias("full_key"), C.message_key("short").alias("short_key"))
-
-
 @query(f"SELECT {YEAR} AS year, count(*) AS n, min(date) AS earliest, max(date) AS latest FROM {TYPED} GROUP BY ROLLUP (year)")
 def calls_per_year_range(spark: SparkSession, sf: str) -> DataFrame:
     """Calls, earliest and latest date of each year, and in all."""
@@ -245,10 +228,3 @@ def readable_date(spark: SparkSession, sf: str) -> DataFrame:
 def contact_data_check(spark: SparkSession, sf: str) -> DataFrame:
     """Faults of the address book."""
     return K.contact_faults(table(spark, sf, "contacts"))
-
-
-@query("SELECT DISTINCT contact_name AS name, 'error' AS severity FROM (SELECT contact_name FROM calls UNION ALL SELECT contact_name FROM imports) n WHERE contact_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM contacts c WHERE c.name = n.contact_name)")
-def contact_reference_check(spark: SparkSession, sf: str) -> DataFrame:
-    """Names in calls and imports that no contact has."""
-    names = table(spark, sf, "calls").select(F.col("contact_name").alias("name")).union(table(spark, sf, "imports").select("contact_name"))
-    return K.unreferenced_names(names, table(spark, sf, "contacts"))

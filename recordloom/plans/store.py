@@ -44,52 +44,12 @@ def parts_size(spark: SparkSession, sf: str) -> DataFrame:
     return _messages_with_parts(spark, sf).withColumn("parts", parts).select("l_orderkey", Q.parts_bytes("parts").cast("bigint").alias("bytes"))
 
 
-_PARTS = """(SELECT doc_id, CASE source WHEN 'mms' THEN 'image/png' WHEN 'report' THEN 'application/pdf; name=x' WHEN 'voicemail' THEN 'audio/amr' WHEN 'importlog' THEN 'text/plain' ELSE 'x/' || source END AS ct,
-  CASE WHEN lang = 'en' THEN coalesce(text, '') ELSE '' END AS data, coalesce(text, '') AS text, CASE WHEN doc_id % 2 = 0 THEN 'attachment' END AS cd FROM documents)"""
-_KIND = "lower(trim(string_split(ct, ';')[1]))"
-_CONTENT = "coalesce(CASE WHEN data <> '' THEN data END, CASE WHEN cd = 'attachment' AND text <> '' THEN text END)"
-_ACTIONS = f"""(SELECT *, CASE WHEN {_CONTENT} IS NULL THEN 'no-data' WHEN {_KIND} IN ('application/smil','text/plain','text/x-vcard','text/vcard','text/html') THEN 'content-type-filtered'
-  WHEN {_KIND} NOT IN ('image/jpeg','image/png','image/gif','image/bmp','image/webp','video/mp4','video/3gpp','audio/mpeg','audio/amr','application/pdf') THEN 'unknown-type' WHEN length({_CONTENT}) < 1024 THEN 'too-small' ELSE 'extracted' END AS action FROM {_PARTS})"""
-
-
-def _document_parts(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as parts: the content type follows the source, the disposition the id."""
-    s = F.col("source")
-    ct = F.when(s == "mms", "image/png").when(s == "report", "application/pdf; name=x").when(s == "voicemail", "audio/amr").when(s == "importlog", "text/plain").otherwise(F.concat(F.lit("x/"), s))
-    text = F.coalesce("text", F.lit(""))
-    return table(spark, sf, "documents").select("doc_id", ct.alias("ct"), F.when(F.col("lang") == "en", text).otherwise("").alias("data"), text.alias("text"), F.when(F.col("doc_id") % 2 == 0, "attachment").alias("cd"))
-
-
-def _acted(spark: SparkSession, sf: str) -> DataFrame:
-    return _document_parts(spark, sf).withColumn("action", T.extraction_reason(F.col("ct"), F.col("data"), F.col("text"), F.col("cd")))
-
-
-@query(f"SELECT doc_id, action FROM {_ACTIONS}")
-def extraction_actions(spark: SparkSession, sf: str) -> DataFrame:
-    """What is done with each part, or why not."""
-    return _acted(spark, sf).select("doc_id", "action")
-
-
-@query(f"SELECT ct, count(*) FILTER (action = 'extracted') AS extracted, count(*) FILTER (action = 'content-type-filtered') AS content_type_filtered, count(*) FILTER (action = 'unknown-type') AS unknown_type, count(*) FILTER (action = 'no-data') AS no_data, count(*) FILTER (action = 'too-small') AS too_small FROM {_ACTIONS} GROUP BY ct")
-def extraction_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Actions by content type."""
-    return T.action_counts(_acted(spark, sf))
-
-
 @query("SELECT sha256(text) AS hash, count(*) AS \"references\", min(doc_id) AS doc_id, 'attachments/' || substr(sha256(text), 1, 2) || '/' || sha256(text) AS path FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)")
 def attachment_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Each distinct content with its address, first holder and references."""
     return T.content_addresses(table(spark, sf, "documents").where("text is not null").select("doc_id", F.encode("text", "utf-8").alias("content")), "content", "doc_id")
 
 
-@query("""WITH a AS (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE doc_id % 3 <> 0 AND text IS NOT NULL), r AS (SELECT DISTINCT sha256(text) AS hash FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)
-  SELECT coalesce(a.hash, r.hash) AS hash, CASE WHEN r.hash IS NULL THEN 'orphaned' ELSE 'missing' END AS state FROM a FULL JOIN r ON a.hash = r.hash WHERE a.hash IS NULL OR r.hash IS NULL""")
-def orphans_and_missing(spark: SparkSession, sf: str) -> DataFrame:
-    """Attachments without a reference and references without an attachment; stored and referred are two overlapping parts of the texts, and as in the SQL those with doc_id = 3 mod 6 are in neither."""
-    d = table(spark, sf, "documents").where("text is not null").withColumn("hash", F.sha2("text", 256))
-    return T.reference_check(d.where("doc_id % 3 <> 0"), d.where("doc_id % 2 = 0"))
-
-
 @query("""SELECT DISTINCT sha256(text) AS hash, CASE WHEN text LIKE '#%' THEN 'text/markdown' WHEN text LIKE '<%' THEN 'text/html' ELSE 'text/plain' END AS detected, CASE source WHEN 'manual' THEN 'text/markdown' ELSE 'text/plain' END AS declared
   FROM documents WHERE text IS NOT NULL AND CASE WHEN text LIKE '#%' THEN 'text/markdown' WHEN text LIKE '<%' THEN 'text/html' ELSE 'text/plain' END <> CASE source WHEN 'manual' THEN 'text/markdown' ELSE 'text/plain' END""")
 def mime_mismatch(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,29 +59,6 @@ def mime_mismatch(spark: SparkSession, sf: str) -> DataFrame:
     return T.type_mismatches(d.select("hash", detected.alias("detected")).distinct(), d.select("hash", F.when(F.col("source") == "manual", " Text/Markdown; charset=utf-8").otherwise("text/plain").alias("ct")).distinct())
 
 
-_MANIFEST = "(SELECT 'f' || o_orderkey AS name, CAST(round(o_totalprice * 100) AS BIGINT) AS size, md5(o_orderstatus || o_orderpriority) AS checksum FROM orders WHERE o_orderkey % 7 <> 0)"
-_ACTUAL = "(SELECT 'f' || o_orderkey AS name, CAST(round(o_totalprice * 100) AS BIGINT) + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS size, md5(CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE o_orderstatus || o_orderpriority END) AS checksum FROM orders WHERE o_orderkey % 5 <> 0)"
-
-
-def _files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """A manifest and the files it should list, made of ``orders`` with known differences; as in the SQL, keys that are multiples of 35 are in neither."""
-    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
-    name, size, text = F.concat(F.lit("f"), k.cast("string")).alias("name"), F.round(F.col("o_totalprice") * 100).cast("bigint"), F.concat("o_orderstatus", "o_orderpriority")
-    manifest = o.where("o_orderkey % 7 <> 0").select(name, size.alias("size"), F.md5(text).alias("checksum"))
-    actual = o.where("o_orderkey % 5 <> 0").select(name, (size + F.when(k % 11 == 0, 1).otherwise(0)).alias("size"), F.md5(F.when(k % 13 == 0, "x").otherwise(text)).alias("checksum"))
-    return manifest, actual
-
-
-_COMPARED = f"""(SELECT coalesce(m.name, a.name) AS name, CASE WHEN a.name IS NULL THEN 'missing_file' WHEN m.name IS NULL THEN 'extra_file' WHEN m.checksum <> a.checksum THEN 'checksum_mismatch' WHEN m.size <> a.size THEN 'size_mismatch' END AS state
-  FROM {_MANIFEST} m FULL JOIN {_ACTUAL} a ON m.name = a.name)"""
-
-
-@query(f"SELECT name, state FROM {_COMPARED} WHERE state IS NOT NULL")
-def manifest_compare(spark: SparkSession, sf: str) -> DataFrame:
-    """Files that differ from the manifest, and how."""
-    return I.compare_manifest(*_files(spark, sf))
-
-
 @query(f"SELECT year, coalesce(e.n, 0) AS expected, coalesce(a.n, 0) AS actual FROM (SELECT {YEAR} AS year, count(*) AS n FROM {TYPED} WHERE batch_no = 0 GROUP BY 1) e FULL JOIN (SELECT {YEAR} AS year, count(*) AS n FROM {TYPED} WHERE batch_no < 3 GROUP BY 1) a USING (year) WHERE coalesce(e.n, 0) <> coalesce(a.n, 0)")
 def year_count_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Years whose number of calls changed with the first two batches."""
@@ -129,15 +66,6 @@ def year_count_compare(spark: SparkSession, sf: str) -> DataFrame:
     return I.compare_counts(c.where("batch_no = 0").groupBy("year").agg(F.count(F.lit(1)).alias("n")), c.where("batch_no < 3").groupBy("year").agg(F.count(F.lit(1)).alias("n")), "year")
 
 
-@query("""SELECT line_id, fy AS file_year, y AS year FROM (SELECT line_id, CAST(regexp_extract(file_name, '([0-9]{4})', 1) AS INTEGER) AS fy, CAST(year(make_timestamp(TRY_CAST(regexp_extract(raw_line, ' date="([0-9]{13})"', 1) AS BIGINT) * 1000)) AS INTEGER) AS y
-  FROM call_lines WHERE regexp_matches(raw_line, ' date="[0-9]{13}"')) WHERE fy <> y""")
-def year_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines whose call isn't of the year in the file's name."""
-    ms = F.regexp_extract("raw_line", ' date="([0-9]{13})"', 1)
-    lines = table(spark, sf, "call_lines").where(ms != "").select("line_id", F.regexp_extract("file_name", "([0-9]{4})", 1).cast("int").alias("file_year"), ms.cast("bigint").alias("date"))
-    return I.wrong_year(lines, "date", "file_year").select("line_id", "file_year", S.utc_year("date").alias("year"))
-
-
 _ENTRIES = "(SELECT CASE WHEN l_orderkey % 50 = 0 THEN '/f' WHEN l_orderkey % 51 = 0 THEN '../f' ELSE 'f' END || l_orderkey AS name, CAST(l_quantity AS BIGINT) - 2 AS size, 'sha256:' || CASE WHEN l_linenumber = 3 THEN 'x' ELSE sha256(CAST(l_partkey AS VARCHAR)) END AS checksum, l_linenumber FROM lineitem)"
 
 
@@ -151,38 +79,6 @@ def manifest_format_check(spark: SparkSession, sf: str) -> DataFrame:
     return I.manifest_faults(entries)
 
 
-_REPORT = f"(SELECT state AS type, CASE WHEN state IN ('missing_file','checksum_mismatch') THEN 'error' ELSE 'warning' END AS severity, name AS file, CAST(substr(name, 2) AS BIGINT) AS seq FROM {_COMPARED} WHERE state IS NOT NULL)"
-
-
-def _report(spark: SparkSession, sf: str) -> DataFrame:
-    r = I.compare_manifest(*_files(spark, sf))
-    return r.select(F.col("state").alias("type"), F.when(F.col("state").isin("missing_file", "checksum_mismatch"), "error").otherwise("warning").alias("severity"), F.col("name").alias("file"), F.substring("name", 2, 20).cast("bigint").alias("seq"))
-
-
-@query(f"SELECT type, severity, file, seq FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY seq) AS rn FROM {_REPORT} WHERE NOT contains(file, '9')) WHERE rn <= 5")
-def violation_top_n(spark: SparkSession, sf: str) -> DataFrame:
-    """The first five violations of each type, files with a 9 left out."""
-    return Q.filter_report(_report(spark, sf), excluded=("9",), per_type=5)
-
-
-@query(f"SELECT type, severity, file, seq FROM {_REPORT} WHERE severity = 'error' AND type = 'missing_file'")
-def violation_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Violations of one severity and type."""
-    return Q.filter_report(_report(spark, sf), severities=("error",), types=("missing_file",))
-
-
-@query(f"SELECT type, severity, count(*) AS n FROM {_REPORT} GROUP BY GROUPING SETS ((type), (severity), ())")
-def violation_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Violations by type, by severity and in all."""
-    return Q.report_counts(_report(spark, sf))
-
-
-@query(f"SELECT coalesce(NOT bool_or(severity = 'error'), true) AS valid, count(*) = 0 AS clean, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM {_REPORT}")
-def violation_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Status of the report."""
-    return Q.report_status(_report(spark, sf))
-
-
 @query(f"SELECT string_agg(CAST(y AS VARCHAR), ',' ORDER BY y) AS years FROM (SELECT {YEAR} AS y FROM {TYPED} UNION SELECT CAST(year(sent_at) AS INTEGER) FROM documents WHERE sent_at IS NOT NULL)")
 def years_covered(spark: SparkSession, sf: str) -> DataFrame:
     """The years of calls and documents."""
@@ -207,14 +103,6 @@ def size_format(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("n_chars is not null").select("doc_id", S.format_size(F.col("n_chars").cast("bigint")).alias("size"))
 
 
-@query("SELECT doc_id, strlen(text) AS bytes, sha256(text) AS hash FROM documents WHERE text IS NOT NULL")
-def base64_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Size and hash of contents decoded from strict base64."""
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.base64(F.encode("text", "utf-8")).alias("b"))
-    data = S.decode_base64("b")
-    return d.select("doc_id", F.octet_length(data).cast("bigint").alias("bytes"), F.sha2(data, 256).alias("hash"))
-
-
 @query("""SELECT p_partkey, regexp_replace(regexp_replace(p_type || '/..' || p_brand, '\\.\\.', '_', 'g'), '[/\\\\:]', '_', 'g') AS file_name,
   CASE p_size % 4 WHEN 0 THEN 'jpg' WHEN 1 THEN 'pdf' WHEN 2 THEN 'bin' ELSE 'mp3' END AS extension FROM part""")
 def file_names(spark: SparkSession, sf: str) -> DataFrame:

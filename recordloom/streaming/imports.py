@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from recordloom.operators.coalesce import call_key, new_only
+from recordloom.operators.coalesce import call_key
 
 
 def stream_table(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 16) -> DataFrame:
@@ -18,12 +18,18 @@ def stream_table(spark: SparkSession, path: str, schema: StructType, files_per_t
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+#: First digits of a key that name the part of the store it is in.
+PREFIX = 2
+
+
 def import_stream(calls: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Adds the calls of a stream to a store, each key once for ever.
 
     Each micro-batch is held against the store by an anti-join, so no state grows with
-    the keys and no late row is lost. A batch writes its own folder under its number, so
-    one that runs again after a failure replaces what it wrote.
+    the keys and no late row is lost. The store keeps the keys beside the rows, divided
+    by the beginning of the key: a batch reads the key column of the parts that its own
+    keys fall into, and nothing is hashed twice. A batch writes its own folders under
+    its number, so one that runs again after a failure replaces what it wrote.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -32,11 +38,14 @@ def import_stream(calls: DataFrame, store: str, checkpoint: str) -> StreamingQue
         fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         keyed = batch.withColumn("key", call_key())
         columns = [c for c in keyed.columns if c != "key"]
-        first = keyed.groupBy("key").agg(F.min_by(F.struct(*columns), F.struct(*[c for c in ("batch_no", "call_id") if c in columns] or columns)).alias("r")).select("r.*")
+        first = keyed.groupBy("key").agg(F.min_by(F.struct(*columns), F.struct(*[c for c in ("batch_no", "call_id") if c in columns] or columns)).alias("r")).select("key", "r.*")
+        first = first.withColumn("prefix", F.substring("key", 1, PREFIX))
         if fs.exists(jvm_path):
-            held = spark.read.parquet(store).where(F.col("batch") < number)
-            first = new_only(held, first, call_key()).drop("key")
-        first.write.mode("overwrite").parquet(f"{store}/batch={number}")
+            prefixes = [r[0] for r in keyed.select(F.substring("key", 1, PREFIX).alias("prefix")).distinct().collect()]  # at most 16 ** PREFIX
+            schema = StructType([*first.schema.fields, StructField("batch", LongType())])
+            held = spark.read.schema(schema).parquet(store).where(F.col("prefix").isin(prefixes) & (F.col("batch") < number)).select("key")
+            first = first.join(held, "key", "left_anti")
+        first.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{store}/batch={number}")
 
     return calls.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

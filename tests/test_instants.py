@@ -56,3 +56,31 @@ def test_empty_and_null(spark):
     assert instants.utc_instants(i, d).count() == 0
     i, d = _tables(spark, [(1, 1, None, None, None, None, None, None), (2, None, None, "x" * 100_000, "null", None, None, None)], [(1, None, None, None)])
     assert rows(instants.utc_instants(i, d)) == []
+
+
+def test_undeclared_zones_by_offsets_and_by_ingestion(spark):
+    """A device whose zone no device declares, one that only ingestion times tell about, and a declared zone that is wrong."""
+    from zoneinfo import ZoneInfo
+
+    tokyo, kolkata, berlin = (ZoneInfo(z) for z in ("Asia/Tokyo", "Asia/Kolkata", "Europe/Berlin"))
+    rows_, truth = [], {}
+    base = dt.datetime(2019, 1, 5, 9, 0, tzinfo=dt.timezone.utc)
+    for i in range(60):
+        at = base + dt.timedelta(days=6 * i, minutes=7 * i)
+        local = lambda z, form="%Y-%m-%d %H:%M:%S": at.astimezone(z).strftime(form)
+        ms_ = str(int(at.timestamp() * 1000))
+        late = (at + dt.timedelta(days=400)).replace(tzinfo=None)
+        rows_.append((i, 1, late, ms_, local(kolkata), None, None, None))  # pairs, no zone declared
+        rows_.append((100 + i, 2, (at + dt.timedelta(minutes=3)).replace(tzinfo=None) if i % 3 else late, local(tokyo), None, None, None, None))  # imported at once, no pairs
+        rows_.append((200 + i, 3, late, ms_, local(berlin), None, None, None))  # declared as New York
+        truth |= {(i, "readable_date"): int(ms_), (100 + i, "date"): int(ms_), (200 + i, "readable_date"): int(ms_)}
+    i, d = _tables(spark, rows_, [(1, None, "en_GB", None), (2, None, "ja_JP", None), (3, "America/New_York", "en_GB", None), (4, "America/New_York", "en_US", None)])
+    got = {(r[0], r[1]): r[2] for r in instants.utc_instants(i, d).collect()}
+    assert got == truth
+
+
+def test_ingestion_beside_a_declared_zone(spark):
+    """Times that seem to lie after their ingestion don't overturn a declared zone by themselves."""
+    at = dt.datetime(2020, 6, 1, 11)
+    i, d = _tables(spark, [(k, 1, at, "2020-06-01 14:00:00", None, None, None, None) for k in range(3)], [(1, "UTC", "en_GB", None)])
+    assert {r[2] for r in instants.utc_instants(i, d).collect()} == {ms(2020, 6, 1, 14)}

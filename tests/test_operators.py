@@ -189,3 +189,56 @@ def test_attachment_scan(spark, tmp_path):
     assert rows(scan.faults(files)) == [(broken, "corrupted")]
     moves = scan.migration(files, spark.createDataFrame([(whole, "png")], "hash string, extension string"))
     assert rows(moves.select("hash", "target")) == [(whole, f"attachments/{whole[:2]}/{whole}/attachment.png")]
+
+
+def test_message_key_holds_all_fields(spark):
+    from recordloom.operators.coalesce import message_key
+
+    part = "array<struct<seq int, ct string, name string, text string, data string, path string>>"
+    schema = f"id string, kind string, address string, date long, type int, body string, read int, m_id string, parts {part}, addrs array<struct<address string, type int, charset int>>, contact_name string"
+    png = (0, "image/png", "a", None, "x", None)
+    base = ("a", "mms", "1", 5, 1, None, None, "m", [png], [("1", 151, 106)], "n")
+    rows_ = [base, ("same", *base[1:10], "other name"), ("part", *base[1:8], [(0, "image/png", "b", None, "x", None)], base[9], "n"), ("two", *base[1:8], [png, png], base[9], "n"), ("addr", *base[1:9], [("2", 151, 106)], "n"), ("data", *base[1:8], [(0, "image/png", "a", None, "y", None)], base[9], "n"), ("path", *base[1:8], [(0, "image/png", "a", None, None, "p")], base[9], "n"), ("none", *base[1:8], None, None, "n")]
+    rows_ += [("s", "sms", "1", 5, 1, "hi", 1, None, None, None, None), ("s2", "sms", "1", 5, 1, "hi", 0, None, None, None, None), ("s3", "sms", None, 5, 1, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows_, schema)
+    keys = {r[0]: r[1] for r in df.select("id", message_key(df)).collect()}
+    assert keys["a"] == keys["same"] == keys["data"]  # only that there is data counts
+    assert len(set(keys.values())) == len(rows_) - 2
+    short = {r[0] for r in df.where("address = '1'").select(message_key(df, "short")).collect()}
+    assert len(short) == 1
+
+
+def test_graphs_with_cycles_and_long_chains(spark):
+    import random
+
+    rnd = random.Random(2)
+    pairs = {(rnd.randrange(12), rnd.randrange(12)) for _ in range(16)}
+    reach = {a: {b for x, b in pairs if x == a} for a in range(12)}
+    for _ in range(12):
+        reach = {a: bs | {c for b in bs for c in reach[b]} for a, bs in reach.items()}
+    e = spark.createDataFrame([*pairs, (None, 1), (1, None)], "node int, next int")
+    assert rows(graphs.closure(e)) == sorted((a, b) for a, bs in reach.items() for b in bs)
+    assert rows(graphs.cycles(e)) == sorted((a,) for a in reach if a in reach[a])
+    chains = {r.node: r.chain for r in graphs.cycle_chains(e).collect()}
+    assert set(chains) == {a for a in reach if a in reach[a]} and all(c[0] == c[-1] == a and all(x in pairs for x in zip(c, c[1:])) for a, c in chains.items())
+    ladder = spark.createDataFrame([(0, None), *[(i, i - 1) for i in range(1, 7)], *[(i, i - 2) for i in range(2, 7)], (90, 91), (91, 90), (92, 90)], "node int, needs int")
+    assert rows(graphs.levels(ladder)) == [(i, i) for i in range(7)]
+    assert graphs.levels(ladder.limit(0)).count() == 0 and graphs.cycles(e.limit(0)).count() == 0
+
+
+def test_validation_cases(spark):
+    from recordloom.operators import validation as V
+
+    times = ["2024-02-29T10:00:00Z", "2023-02-29T10:00:00Z", "2024-01-01T24:00:00Z", "2024-01-01 10:00:00Z", "2024-01-01T10:00:00+01:30", "2024-01-01T10:00:00", "", None]
+    df = spark.createDataFrame([(t,) for t in times], "t string")
+    assert [r[0] for r in df.select(V.is_rfc3339(F.col("t"))).collect()] == [True, False, False, False, True, False, False, False]
+    none = spark.createDataFrame([], "present boolean, version string, created_at string, created_by string")
+    assert V.marker_report(none).count() == 0
+    bad = spark.createDataFrame([(True, "9", "2024-01-01T00:00:00Z", "x")], none.schema)
+    other = V.count_report(spark.createDataFrame([("f", 3)], "file string, n int"), spark.createDataFrame([("f", 2)], "file string, n int"))
+    assert rows(V.full_report(V.marker_report(bad), other).select("type")) == [("unsupported_version",)]
+    good = spark.createDataFrame([(True, "1", "2024-01-01T00:00:00Z", "x")], none.schema)
+    assert rows(V.full_report(V.marker_report(good), other).select("type", "expected", "actual")) == [("count_mismatch", "2", "3")]
+    assert rows(V.status(other.limit(0))) == [(0, 0, "valid")]
+    paths = spark.createDataFrame([("/in/calls-1.xml",), ("/s/calls/calls-1.xml",), ("/in/sms.xml",), ("/in/x.xml",), ("/in/callsheet.xml",), (None,)], "path string")
+    assert rows(V.wanted_inputs(paths)) == [("/in/calls-1.xml",), ("/in/callsheet.xml",), ("/in/sms.xml",)] and rows(V.wanted_inputs(paths, "sms")) == [("/in/sms.xml",)]

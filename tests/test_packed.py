@@ -49,3 +49,12 @@ def test_empty_tables(spark):
     u = spark.createDataFrame([], "entry_id bigint, contact_names array<string>")
     c = spark.createDataFrame([], "contact_id bigint, name string")
     assert packed.several_values(packed.packed_values(i, u, c)).count() == 0
+
+
+def test_known_pieces_decide_the_cover(spark):
+    """A known value with a delimiter stays whole, unless its pieces are known values themselves; both ways."""
+    cells = _cells(spark, [("a", 1, ["Smith, John; Doe"], None, None), ("a", 2, ["Ann, Bob, Cy"], None, None), ("a", 3, ["Ann, Lee, Cy"], None, None), ("a", 4, ["Lee, Cy, Dan"], None, None)])
+    words = spark.createDataFrame([("Smith, John",), ("Ann, Bob",), ("Ann",), ("Bob",), ("Ann, Lee",), ("Lee, Cy",)], "val string")
+    want = [(1, 1, "Smith, John"), (1, 2, "Doe"), (2, 1, "Ann"), (2, 2, "Bob"), (2, 3, "Cy"), (3, 1, "Ann"), (3, 2, "Lee, Cy"), (4, 1, "Lee, Cy"), (4, 2, "Dan")]
+    for limit in (100, 1):
+        assert rows(packed.split_values(cells, words, limit=limit).select("row_id", "pos", "val")) == want
