@@ -36,8 +36,8 @@ from recordloom.session import cut
 CAPACITY = 1024
 #: Applications of a filling after which the search keeps its incumbent.
 NODES = 20_000
-#: Undominated fillings that are branched on for one container, the least wasteful first.
-WIDTH = 4
+#: Undominated fillings that are branched on for one container, the least wasteful first; sets that their enumeration visits, and fillings found after which it ends.
+WIDTH, VISITED, FOUND = 4, 3000, 32
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -83,17 +83,19 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(contents, n) for groups in open_.values() for contents, n in groups]
 
 
-def fillings(counts: dict[int, int], sizes: list[int], space: int, allowed: int, width: int = WIDTH, most: int = 3000) -> list[tuple[int, ...]]:
+def fillings(counts: dict[int, int], sizes: list[int], space: int, allowed: int, width: int = WIDTH, most: int = VISITED) -> list[tuple[int, ...]]:
     """Undominated fillings of ``space`` that waste at most ``allowed``, least waste and fewest items first.
 
-    ``sizes`` is sorted, largest first. Depth-first over at most ``most`` sets; a set
-    that is full ends the enumeration of its siblings with smaller items, which it
-    dominates.
+    ``sizes`` is sorted, largest first. Depth-first over at most ``most`` sets; an item
+    that fills the space left exactly dominates all sets of smaller items in its
+    place, so it ends the enumeration behind the items chosen before it, and of
+    all fillings if it is the only one.
     """
     found: list[tuple[int, int, tuple[int, ...]]] = []
     seen = 0
 
     def go(at: int, space_left: int, chosen: tuple[int, ...]) -> bool:
+        """Enumerates the sets that continue ``chosen``; does it fill the space?"""
         nonlocal seen
         seen += 1
         if space_left == 0:
@@ -104,14 +106,18 @@ def fillings(counts: dict[int, int], sizes: list[int], space: int, allowed: int,
             s = sizes[i]
             if s > space_left or seen > most:
                 continue
-            if counts[s] - chosen.count(s) <= 0:
+            held = counts[s] - chosen.count(s)
+            if held <= 0:
                 continue
             grown = True
-            full = go(i, space_left - s, (*chosen, s))
-            if full and len(chosen) < 2:
-                return True  # one exact filling dominates those with smaller items in this place
-            if len(found) >= 8 * width:
-                break
+            if i == len(sizes) - 1:  # of the smallest size as many as fit, at once
+                times = min(held, space_left // s)
+                rest = space_left - s * times
+                if rest <= allowed:
+                    found.append((rest, len(chosen) + times, (*chosen, *[s] * times)))
+                return rest == 0
+            if go(i, space_left - s, (*chosen, s)) or len(found) >= FOUND:
+                break  # smaller items in this place are dominated
         if not grown and space_left <= allowed:
             found.append((space_left, len(chosen), chosen))
         return False
