@@ -50,8 +50,8 @@ COMMON = 1e-4
 ORDERS, LETTERS = 4, (3, 5)
 #: Tokens whose contexts a task counts before it hands on the counts, and distinct tokens a worker keeps.
 COUNTED_TOKENS, KEPT_TOKENS = 300_000, 400_000
-#: Bins of the histogram of log-odds and its span on either side of zero; a bin belongs to the valley up to this share of the lower mode.
-BINS, _SPAN, VALLEY = 64, 8.0, 0.1
+#: Bins of the histogram of log-odds and its span on either side of zero; a bin belongs to the floor of the valley up to so many times the lowest one.
+BINS, _SPAN, VALLEY = 64, 8.0, 2.0
 #: Keys of a final context: orders of words in both readings, the word behind its neighbour, the word, its last letters.
 _KEYS = 2 * ORDERS + 2 + len(LETTERS)
 
@@ -375,7 +375,7 @@ def _dividing(counts: np.ndarray) -> float:
 
 
 def valley(counts: np.ndarray) -> tuple[float, float]:
-    """The bounds of the valley between the two modes of a histogram: around its lowest place, the bins up to VALLEY of the lower mode.
+    """The bounds of the floor of the valley between the two modes of a histogram: around its lowest place, the bins up to VALLEY times as high.
 
     A histogram without two sides has no valley (minus infinity twice: nothing lies below).
     """
@@ -384,9 +384,9 @@ def valley(counts: np.ndarray) -> tuple[float, float]:
         return float("-inf"), float("-inf")
     split = int(round((at + _SPAN) / _WIDTH))
     left, right = int(np.argmax(counts[:split])), split + int(np.argmax(counts[split:]))
-    smooth = np.convolve(counts, np.ones(3) / 3, mode="same")
+    smooth = np.convolve(counts, np.ones(5) / 5, mode="same")
     lowest = left + int(np.argmin(smooth[left : right + 1]))
-    most = max(VALLEY * min(counts[left], counts[right]), smooth[lowest])
+    most = VALLEY * smooth[lowest]
     a = b = lowest
     while a - 1 > left and smooth[a - 1] <= most:
         a -= 1
