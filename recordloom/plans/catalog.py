@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.operators import instants, lineparse, packed
-from recordloom.plans import analysis, checks, lines_sql, more, records, store, streams, whole
+from recordloom.plans import analysis, checks, lines_sql, more, records, roundtrips, store, streams, whole
 from recordloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +33,7 @@ def p5_valid(spark: SparkSession, sf: str) -> DataFrame:
     return lineparse.valid_calls(table(spark, sf, "call_lines"))
 
 
-_PLANS = (records, store, analysis, more, streams, whole, checks)
+_PLANS = (records, store, analysis, more, streams, whole, checks, roundtrips)
 
 
 def queries() -> dict[str, Query]:

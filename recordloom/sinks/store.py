@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.session import file_system
 from recordloom.sources import yamlfiles
 
 
@@ -43,36 +44,47 @@ def write_refused(refused: DataFrame, path: str, source: str) -> None:
     refused.select(F.lit(source).alias("source"), F.to_json(F.struct(*[c for c in refused.columns if c != "violations"])).alias("data"), "violations").write.mode("append").partitionBy("source").json(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system, which tasks hand to pyarrow."""
+    fs, at = file_system(spark, path)
+    return at.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+
+
 def write_attachments(contents: DataFrame, folder: str) -> DataFrame:
     """Writes contents (hash, content binary) below their addresses; hash and state ``written``, ``present`` or ``corrupt``.
 
-    Each file is written to a temporary name and renamed after its hash was checked,
-    so a task that runs again changes nothing. ``folder`` must be a file system that
-    all executors share.
+    Contents are written by the tasks that read them, without a shuffle. Each file is written to
+    a temporary name and renamed after its hash was checked, so a task that runs again and a
+    content that comes twice change nothing. ``folder`` must be on a file system that all
+    executors share and pyarrow reaches by its URI.
     """
+    root = qualified(contents.sparkSession, folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-        import tempfile
+        import uuid
 
+        from pyarrow import fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(root)
         for batch in batches:
             states = []
             for digest, content in zip(batch["hash"], batch["content"]):
-                target = os.path.join(folder, "attachments", digest[:2], digest)
-                if hashlib.sha256(content).hexdigest() != digest:
+                target = f"{base}/attachments/{digest[:2]}/{digest}"
+                if content is None or hashlib.sha256(content).hexdigest() != digest:
                     states.append("corrupt")
-                elif os.path.exists(target):
+                elif fs.get_file_info(target).type != pafs.FileType.NotFound:
                     states.append("present")
                 else:
-                    os.makedirs(os.path.dirname(target), exist_ok=True)
-                    fd, name = tempfile.mkstemp(dir=os.path.dirname(target))
-                    with os.fdopen(fd, "wb") as f:
+                    fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                    name = f"{target}.{uuid.uuid4().hex}.tmp"
+                    with fs.open_output_stream(name) as f:
                         f.write(content)
-                    os.replace(name, target)
+                    fs.move(name, target)
                     states.append("written")
             yield pd.DataFrame({"hash": batch["hash"], "state": states})
 
-    return contents.groupBy("hash").agg(F.first("content").alias("content")).mapInPandas(run, "hash string, state string")
+    done = contents.where("hash is not null").select("hash", "content").mapInPandas(run, "hash string, state string")
+    return done.groupBy("hash").agg(F.max("state").alias("state"))  # written before present
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,6 +130,49 @@ def export_year(records: DataFrame, target: str, root: str, tag: str, columns: l
     return n
 
 
+def export_years(records: DataFrame, folder: str, root: str, tag: str, columns: list[str], ms: str = "date") -> DataFrame:
+    """One XML file a year (``root-YYYY.xml``) with its declared count and its records by time; year, n, file.
+
+    A task renders and writes the whole years it has, record by record, under a temporary name that is
+    renamed at the end; nothing passes through the driver.
+    """
+    target = qualified(records.sparkSession, folder)
+    lines = records.select(F.year(F.timestamp_millis(ms)).alias("year"), F.col(ms).alias("at"), element(tag, columns).alias("line"))
+    counts = lines.groupBy("year").agg(F.count(F.lit(1)).alias("n"))
+    placed = lines.join(counts, "year").repartition("year").sortWithinPartitions("year", "at", "line").select("year", "n", "line")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(target)
+        fs.create_dir(base, recursive=True)
+        open_year, out, temporary, rows = None, None, "", 0
+        done: list[tuple[int, int, str]] = []
+
+        def close() -> None:
+            if out is not None:
+                out.write(f"</{root}>\n".encode())
+                out.close()
+                name = f"{root}-{open_year}.xml"
+                fs.move(temporary, f"{base}/{name}")
+                done.append((open_year, rows, name))
+
+        for batch in batches:
+            for year, n, line in zip(batch["year"].tolist(), batch["n"].tolist(), batch["line"]):
+                if year != open_year:
+                    close()
+                    open_year, rows, temporary = year, n, f"{base}/.{uuid.uuid4().hex}.tmp"
+                    out = fs.open_output_stream(temporary)
+                    out.write(f"<?xml version='1.0' encoding='UTF-8' standalone='yes' ?>\n<{root} count=\"{n}\">\n".encode())
+                out.write(f"  {line}\n".encode())
+        close()
+        yield pd.DataFrame(done, columns=["year", "n", "file"]).astype({"year": "int32", "n": "int64"})
+
+    return placed.mapInPandas(run, "year int, n bigint, file string")
+
+
 def html_table(rows: list[dict], columns: list[str]) -> str:
     """A small table as HTML."""
     head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
