@@ -134,3 +134,69 @@ def test_missing_times_take_the_learned_order(spark):
     # "Old Name" was also delivered last, on the 28th, so it is the latest value; without that row "New Name" is
     assert rows(survivor.survivors(calls(spark, learned + group), devices))[0][1] == 2
     assert rows(survivor.survivors(calls(spark, learned + [group[0], group[2], (4, 0, 1, at(2), n, "1", str(d), "1", r, "Old Name")]), devices))[0][1] == 1
+
+
+def test_currency_equals_brute_force(spark):
+    """Rows with and without time: the survivor of each call against transitions, partial order and longest chains written out in Python."""
+    import datetime as dt
+
+    rnd = random.Random(11)
+    names = ["Ann", "Bob", "Cyd", "Dee", "Eve"]
+    data, i = [], 0
+    for number in ("5551230001", "5551230002", "5551230003"):
+        for call in range(14):
+            for _ in range(rnd.randint(1, 4)):
+                i += 1
+                at = None if rnd.random() < 0.4 else dt.datetime(2020, 1, 1) + dt.timedelta(hours=rnd.randrange(3000))
+                data.append((i, 0, 1, at, number, "5", str(1_600_000_000_000 + call * 60_000), "1", None, rnd.choice(names)))
+    devices = spark.createDataFrame([(1, 1)], "device_id int, trust int")
+    got = {r[0]: r[1] for r in survivor.survivors(calls(spark, data).repartition(5), devices).collect()}
+
+    places = {}
+    for number in {d[4] for d in data}:
+        line = sorted((d[3], d[0], d[9]) for d in data if d[4] == number and d[3])
+        steps, last = {}, {}
+        for (_, _, a), (t, _, b) in zip(line, line[1:]):
+            if a != b:
+                n, _ = steps.get((a, b), (0, None))
+                steps[a, b] = (n + 1, t)
+        for t, _, n in line:
+            last[n] = t
+        before = {n: {a for a, b in steps if b == n and ((b, a) not in steps or steps[a, b] > steps[b, a])} for n in last}
+        level = {}
+        while True:
+            new = {n: max((level[a] + 1 for a in before[n]), default=0) for n in last if n not in level and before[n] <= set(level)}
+            if not new:
+                break
+            level |= new
+        top, rest = max(level.values(), default=-1), sorted({last[n] for n in last if n not in level})
+        for n in last:
+            places[number, n] = level[n] + 1 if n in level else top + 2 + rest.index(last[n])
+    want = {}
+    for key in {(d[4], d[6]) for d in data}:
+        group = [d for d in data if (d[4], d[6]) == key]
+        if len(group) < 2:
+            continue
+        timed = [d for d in group if d[3]]
+        stand = places.get((key[0], max(timed, key=lambda d: (d[3], -d[0]))[9]), 0) if timed else 0
+        lacks = len(timed) < len(group)
+        rank = lambda d: ((stand if d[3] else places.get((key[0], d[9]), 0)) if lacks else 0, d[3] or dt.datetime(1970, 1, 1), -d[0])
+        want[min(d[0] for d in group)] = max(group, key=rank)[0]
+    assert got == want
+
+
+def test_a_batch_reads_what_it_touches(spark, tmp_path):
+    """Row groups read by a batch of one number don't grow with the history."""
+    data = [(i, 0, 1, None, f"555{1_000_000 + i // 4}", "10", str(1_600_000_000_000 + i * 5000), "1", None, None) for i in range(40_000)]
+    df = spark.createDataFrame([(*d, "c", "l", "a", "s", "h") for d in data], SCHEMA)
+    h = history.History(spark, f"file://{tmp_path}/index", buckets=4)
+    history.ROW_GROUP, kept = 4096, history.ROW_GROUP
+    try:
+        h.accept(df)
+    finally:
+        history.ROW_GROUP = kept
+    loaded = h.touched.value
+    batch = calls(spark, [(10**6, 1, 1, None, "+1 555-100-2500", "11", str(1_600_000_000_000 + 10_000 * 5000), "1", None, None)])
+    found = h.repeats(batch).collect()
+    assert [(r.first_call_id, r.call_id) for r in found] == [(10_000, 10**6)] and 0.5 < found[0].covered < 1
+    assert h.touched.value - loaded <= 8 < loaded
