@@ -362,25 +362,44 @@ def _resolve_pairs(rows: list[tuple]) -> list[tuple]:
 _LINK = "val string, contact_id bigint, score double"
 
 
+def _folded(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(val, form of each name; the forms with their smallest contact_id, as ``whole`` with the form as val).
+
+    A form is what a name says: its readings, initials and cut tokens. Spellings that
+    say the same are compared once, so no step behind this one grows with them.
+    """
+    said = F.concat_ws("|", F.array_join(F.transform("all", lambda t: t["reading"]), " "), F.array_join(F.array_sort("initials"), " "), F.array_join(F.array_sort("cuts"), " "))
+    named = cut(whole.withColumn("form", said))
+    forms = named.groupBy("form").agg(F.min("contact_id").alias("contact_id"), F.any_value("all").alias("all"), F.min("initials").alias("initials"), F.min("cuts").alias("cuts"))
+    return named.select("val", "form"), cut(forms.select(F.col("form").alias("val"), "contact_id", "initials", "cuts", "all"))
+
+
 def name_links(values: DataFrame, nicknames: DataFrame) -> DataFrame:
     """val, contact_id: the entity (its smallest contact_id) of each distinct name that belongs to one."""
     names = cut(parsed_names(values))
     vocab = cut(readings(names, nicknames))
-    each = names.select("val", F.posexplode("tokens").alias("at", "token")).join(vocab, "token").select("val", "reading", "common", "freq", "longs").distinct()
-    each = cut(each)
+    none = F.array().cast("array<struct<reading:string,common:boolean,freq:bigint,longs:array<string>>>")
+    token = F.struct("reading", "common", "freq", F.coalesce("longs", F.array().cast("array<string>")).alias("longs"))
+    each = names.select("val", F.explode("tokens").alias("token")).join(vocab, "token").groupBy("val").agg(F.array_sort(F.collect_set(token)).alias("all"))
+    spelt, forms = _folded(names.select("val", "contact_id", "initials", "cuts").join(each, "val", "left").withColumn("all", F.coalesce("all", none)))
+    each = forms.select("val", F.explode("all").alias("t")).select("val", "t.*")
     learned = learned_short_forms(each).groupBy("reading").agg(F.collect_set("long").alias("more"))
-    each = each.join(learned, "reading", "left").withColumn("longs", F.array_distinct(F.concat(F.coalesce("longs", F.array().cast("array<string>")), F.coalesce("more", F.array().cast("array<string>")))))
-    token = F.struct("reading", "common", "freq", "longs")
-    whole = each.groupBy("val").agg(F.array_sort(F.collect_list(token)).alias("all")).join(names.select("val", "contact_id", "initials", "cuts"), "val", "right")
-    whole = cut(whole.withColumn("all", F.coalesce("all", F.array().cast("array<struct<reading:string,common:boolean,freq:bigint,longs:array<string>>>"))))
+    short = cut(each.select("reading").distinct().join(learned, "reading"))
+    if short.isEmpty():
+        whole = forms
+    else:
+        more = each.join(short, "reading").select("val", F.struct("reading", "more").alias("m")).groupBy("val").agg(F.collect_list("m").alias("more"))
+        longer = F.transform("all", lambda t: t.withField("longs", F.array_distinct(F.concat(t["longs"], F.flatten(F.transform(F.filter("more", lambda m: m["reading"] == t["reading"]), lambda m: m["more"]))))))
+        whole = cut(forms.join(more, "val", "left").withColumn("all", F.when(F.col("more").isNull(), F.col("all")).otherwise(longer)).drop("more"))
+    each = whole.select("val", F.explode("all").alias("t")).select("val", "t.*")
     rare = F.transform(F.filter("all", lambda t: ~t["common"]), lambda t: t["reading"])
     blocks = whole.withColumn("anchor", F.explode(rare)).select("anchor", "val", "contact_id", F.filter("all", lambda t: t["reading"] != F.col("anchor")).alias("beside"), "initials", "cuts")
     # a contact of two blocks belongs to the smaller entity; a name takes the entity it agrees with best
     linked = cut(_resolved(blocks, _resolve).groupBy("val").agg(F.min_by("contact_id", F.struct(-F.col("score"), "contact_id")).alias("contact_id"), F.max("score").alias("score")))
     linked = cut(_common_links(whole, linked.unionByName(_common_pairs(whole)), each, nicknames))
-    short = _short_surnames(whole, linked)
-    found = cut(linked.select("val", "contact_id").unionByName(short))
-    return found.unionByName(_distant_surnames(whole, linked, found))
+    found = cut(linked.select("val", "contact_id").unionByName(_short_surnames(whole, linked)))
+    found = found.unionByName(_distant_surnames(whole, linked, found))
+    return spelt.join(found.withColumnRenamed("val", "form"), "form").select("val", "contact_id")
 
 
 def _resolved(blocks: DataFrame, how: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
