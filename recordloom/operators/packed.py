@@ -146,12 +146,12 @@ def _automaton(words: list[str]):
     return machine
 
 
-def split_values(cells: DataFrame, dictionary: DataFrame, *, limit: int = BROADCAST_ROWS) -> DataFrame:
+def split_values(cells: DataFrame, dictionary: DataFrame, *, limit: int = BROADCAST_ROWS, least: int = 1) -> DataFrame:
     """Values of packed fields: src, row_id, pos, val.
 
     cells: src string, row_id bigint, texts array<string> (the elements of one field);
-    dictionary: val string (known whole values). Every field gives all its values,
-    ``pos`` counting over its elements from 1.
+    dictionary: val string (known whole values). Every field with ``least`` values or
+    more gives all its values, ``pos`` counting over its elements from 1.
     """
     cells = cells.select("src", "row_id", "texts")
     known_values = dictionary.select(F.trim("val").alias("val")).where(F.length("val") > 0).distinct()
@@ -163,14 +163,13 @@ def split_values(cells: DataFrame, dictionary: DataFrame, *, limit: int = BROADC
     def emit(batch: pd.DataFrame, values_of) -> pd.DataFrame:
         src, row, pos, val = [], [], [], []
         for s, r, texts, *rest in batch.itertuples(index=False, name=None):
-            k = 0
-            for i, text in enumerate(texts if texts is not None else ()):
-                for v in values_of(i, text, *rest):
-                    k += 1
-                    src.append(s)
-                    row.append(r)
-                    pos.append(k)
-                    val.append(v)
+            values = [v for i, text in enumerate(texts if texts is not None else ()) for v in values_of(i, text, *rest)]
+            if len(values) < least:
+                continue
+            src += [s] * len(values)
+            row += [r] * len(values)
+            pos += range(1, len(values) + 1)
+            val += values
         return pd.DataFrame({"src": pd.Series(src, dtype="object"), "row_id": pd.Series(row, dtype="int64"), "pos": pd.Series(pos, dtype="int64"), "val": pd.Series(val, dtype="object")})
 
     if small_enough(words, limit) and (words.agg(F.sum(F.length("val"))).first()[0] or 0) <= DICTIONARY_CHARS:
@@ -227,12 +226,12 @@ def split_values(cells: DataFrame, dictionary: DataFrame, *, limit: int = BROADC
     return cells.join(hits, ["src", "row_id"], "left").select("src", "row_id", "texts", "hits").mapInPandas(by_join, schema)
 
 
-def packed_values(imports: DataFrame, unprocessed: DataFrame, contacts: DataFrame, *, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Values of ``imports.contact_name`` and ``unprocessed.contact_names``: src, row_id, pos, val, n (values of the field)."""
+def packed_values(imports: DataFrame, unprocessed: DataFrame, contacts: DataFrame, *, limit: int = BROADCAST_ROWS, least: int = 1) -> DataFrame:
+    """Values of ``imports.contact_name`` and ``unprocessed.contact_names``: src, row_id, pos, val; of fields with ``least`` values or more."""
     cells = imports.select(F.lit("imports").alias("src"), F.col("import_id").alias("row_id"), F.array("contact_name").alias("texts")).unionByName(
         unprocessed.select(F.lit("unprocessed").alias("src"), F.col("entry_id").alias("row_id"), F.col("contact_names").alias("texts"))
     )
-    return split_values(cells, contacts.select(F.col("name").alias("val")), limit=limit)
+    return split_values(cells, contacts.select(F.col("name").alias("val")), limit=limit, least=least)
 
 
 def several_values(values: DataFrame) -> DataFrame:

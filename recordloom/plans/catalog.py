@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.operators import instants, lineparse, packed
-from recordloom.plans import analysis, checks, lines_sql, more, records, roundtrips, store, streams, whole
+from recordloom.plans import analysis, checks, lines_sql, more, records, roundtrips, store, streams, tracking, whole
 from recordloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """One row per value of every field that holds two or more values."""
-    return packed.several_values(packed.packed_values(table(spark, sf, "imports"), table(spark, sf, "unprocessed"), table(spark, sf, "contacts")))
+    return packed.packed_values(table(spark, sf, "imports"), table(spark, sf, "unprocessed"), table(spark, sf, "contacts"), least=2)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,7 +33,7 @@ def p5_valid(spark: SparkSession, sf: str) -> DataFrame:
     return lineparse.valid_calls(table(spark, sf, "call_lines"))
 
 
-_PLANS = (records, store, analysis, more, streams, whole, checks, roundtrips)
+_PLANS = (records, store, analysis, more, streams, whole, checks, roundtrips, tracking)
 
 
 def queries() -> dict[str, Query]:
