@@ -56,7 +56,8 @@ def number_conflicts(contacts: DataFrame) -> DataFrame:
 
 def contact_faults(contacts: DataFrame) -> DataFrame:
     """contact_id, fault: empty or repeated name, no numbers, a number of the wrong form, a number used before."""
-    seen_name = F.row_number().over(Window.partitionBy("name").orderBy("contact_id"))
+    # contacts without a name are groups of their own, so they don't meet in one task
+    seen_name = F.row_number().over(Window.partitionBy("name", F.when(F.col("name").isNull(), F.col("contact_id"))).orderBy("contact_id"))
     base = contacts.withColumn("nth", seen_name)
     row_faults = base.select("contact_id", F.explode(F.filter(F.array(
         F.when(F.trim(F.coalesce("name", F.lit(""))) == "", F.lit("empty-name")), F.when((F.col("nth") > 1) & F.col("name").isNotNull(), F.lit("duplicate-name")),

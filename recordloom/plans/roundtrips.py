@@ -85,3 +85,42 @@ def attachments_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     written.write.parquet(path)
     files = scan.scan(spark, folder)
     return files.join(scan.layout(files), "hash").join(spark.read.parquet(path), "hash").select(F.col("digest").alias("hash"), "size", "state", "layout")
+
+
+@query(f"SELECT number, date, type, count(*) AS n FROM {TYPED} WHERE {YEAR} = 2020 GROUP BY ALL")
+def xml_year_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """The calls of one year, whose file alone is read."""
+    folder = _folder(spark)
+    store.export_years(typed_calls(spark, sf), folder, "calls", "call", _CALL).collect()  # one row a year
+    return xmlrecords.read_calls(spark, f"{folder}/calls-2020.xml").groupBy("number", "date", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT type, count(*) AS n, sum(duration) AS seconds, min(date) AS earliest FROM {TYPED} GROUP BY type")
+def xml_stream_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls of XML files read as a stream."""
+    folder = _folder(spark)
+    store.export_years(typed_calls(spark, sf), f"{folder}/in", "calls", "call", _CALL).collect()  # one row a year
+    stream = xmlrecords.stream_calls(spark, f"{folder}/in").select("type", "duration", "date")
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").cast("decimal(38,0)").alias("seconds"), F.min("date").alias("earliest"))
+
+
+@query(f"SELECT {YEAR} AS year, count(*) AS n FROM {TYPED} GROUP BY 1")
+def input_files_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Input files found below a folder by name, size and place: those of a store (the same files once more) and of other names are left out."""
+    folder = _folder(spark)
+    calls = typed_calls(spark, sf)
+    for place, root in (("in/a", "calls"), ("store/calls", "calls"), ("in/b", "other")):
+        store.export_years(calls, f"{folder}/{place}", root, "call", _CALL).collect()  # one row a year
+    paths = xmlrecords.input_paths(spark, folder)
+    return xmlrecords.read_calls(spark, paths).groupBy(S.utc_year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT sha256('p' || n_nationkey) AS hash, CAST(n_regionkey AS BIGINT) AS size, n_name || '.png' AS file_name, 'image/png' AS mime FROM nation""")
+def metadata_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Descriptions of attachments (one for each nation) written beside them and read back."""
+    folder = _folder(spark)
+    n = table(spark, sf, "nation")
+    described = n.select(F.sha2(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")), 256).alias("hash"), F.col("n_regionkey").cast("bigint").alias("size"), F.concat("n_name", F.lit(".png")).alias("file_name"), F.lit("image/png").alias("mime"))
+    store.write_metadata(described, folder).write.parquet(f"{folder}/written")
+    return scan.metadata(spark, folder)

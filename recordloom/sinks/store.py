@@ -87,6 +87,32 @@ def write_attachments(contents: DataFrame, folder: str) -> DataFrame:
     return done.groupBy("hash").agg(F.max("state").alias("state"))  # written before present
 
 
+def write_metadata(described: DataFrame, folder: str) -> DataFrame:
+    """Writes a description (hash, size, file_name, mime) beside each attachment, under a temporary name that is renamed; hash, file."""
+    root = qualified(described.sparkSession, folder)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+        import uuid
+
+        from pyarrow import fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            files = []
+            for digest, size, name, mime in batch.itertuples(index=False, name=None):
+                place = f"{base}/attachments/{digest[:2]}/{digest}"
+                fs.create_dir(place, recursive=True)
+                temporary = f"{place}/.{uuid.uuid4().hex}.tmp"
+                with fs.open_output_stream(temporary) as f:
+                    f.write(f"hash: {digest}\nsize: {size}\nfile_name: {json.dumps(name, ensure_ascii=False)}\nmime: {mime}\n".encode())
+                fs.move(temporary, f"{place}/metadata.yaml")
+                files.append(f"attachments/{digest[:2]}/{digest}/metadata.yaml")
+            yield pd.DataFrame({"hash": batch["hash"], "file": files})
+
+    return described.select("hash", "size", "file_name", "mime").mapInPandas(run, "hash string, file string")
+
+
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """name, size, checksum (``sha256:`` and hexadecimal digits) of all files of a folder but hidden, temporary and refused ones."""
     from recordloom.operators.integrity import files_to_skip

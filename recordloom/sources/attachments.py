@@ -31,3 +31,12 @@ def migration(files: DataFrame, types: DataFrame) -> DataFrame:
     old = files.where(F.col("file_name").isNull() & (F.col("digest") == F.col("hash"))).join(types, "hash", "left")
     base = F.concat(F.lit("attachments/"), "folder", F.lit("/"), "hash")
     return old.select("hash", base.alias("source"), F.concat(base, F.lit("/attachment."), F.coalesce("extension", F.lit("bin"))).alias("target"))
+
+
+def metadata(spark: SparkSession, root: str) -> DataFrame:
+    """hash, size, file_name, mime of the descriptions (``metadata.yaml``) beside the attachments; a field that one lacks is null."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.yaml").text(f"{root.rstrip('/')}/attachments", wholetext=True)
+    pairs = F.transform(F.filter(F.split("value", r"\r?\n"), lambda line: line.rlike(r"^[a-z_]+:")), lambda line: F.struct(F.regexp_extract(line, r"^([a-z_]+):", 1).alias("key"), F.regexp_extract(line, r"""^[a-z_]+:\s*["']?(.*?)["']?\s*$""", 1).alias("value")))
+    fields = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"/([0-9a-f]{64})/metadata\.yaml$", 1).alias("hash"), pairs.alias("pairs"))
+    value = lambda key: F.get(F.filter("pairs", lambda p: p["key"] == key), F.lit(0))["value"]
+    return fields.where("hash <> ''").select("hash", value("size").try_cast("bigint").alias("size"), value("file_name").alias("file_name"), value("mime").alias("mime"))

@@ -39,7 +39,7 @@ CALL_SCHEMA, SMS_SCHEMA = StructType(_attributes(CALL)), StructType(_attributes(
 MMS_SCHEMA = StructType([*_attributes(MMS), StructField("parts", StructType([StructField("part", ArrayType(_PART_TYPE))])), StructField("addrs", StructType([StructField("addr", ArrayType(_ADDR_TYPE))]))])
 
 
-def _read(spark: SparkSession, path: str, tag: str, schema: StructType) -> DataFrame:
+def _read(spark: SparkSession, path: str | list[str], tag: str, schema: StructType) -> DataFrame:
     reader = spark.read.format("xml").option("rowTag", tag).option("mode", "PERMISSIVE").option("nullValue", "\x00").option("ignoreSurroundingSpaces", "false")
     any_value = F.coalesce(*[F.col(f.name).cast("string") if isinstance(f.dataType, StringType) else F.when(F.col(f.name).isNotNull(), F.lit("")) for f in schema.fields])
     return reader.schema(schema).load(path).where(any_value.isNotNull())  # a record that isn't XML has no values
@@ -64,8 +64,8 @@ def call_columns() -> list[Column]:
             F.col("_readable_date").alias("readable_date"), F.col("_contact_name").alias("contact_name"), errors.alias("parse_errors")]
 
 
-def read_calls(spark: SparkSession, path: str) -> DataFrame:
-    """Typed calls of one file, a folder or a glob, with ``file`` and ``parse_errors``; records that aren't XML are left to ``corrupt_records``."""
+def read_calls(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Typed calls of one file, several files, a folder or a glob, with ``file`` and ``parse_errors``; records that aren't XML are left to ``corrupt_records``."""
     return _read(spark, path, "call", CALL_SCHEMA).select(*call_columns(), F.col("_metadata.file_name").alias("file"))
 
 
@@ -76,6 +76,19 @@ def read_calls_with_position(spark: SparkSession, path: str) -> DataFrame:
     return files.select("file", "declared", "pos", "c.*").select("file", "declared", "pos", *call_columns())
 
 
+def stream_calls(spark: SparkSession, path: str) -> DataFrame:
+    """Typed calls of the files of a folder as a stream: each file is read once, record by record."""
+    reader = spark.readStream.format("xml").option("rowTag", "call").option("mode", "PERMISSIVE").option("nullValue", "\x00").option("ignoreSurroundingSpaces", "false")
+    return reader.schema(CALL_SCHEMA).load(path).where(F.coalesce(*[F.col(f.name) for f in CALL_SCHEMA.fields]).isNotNull()).select(*call_columns())
+
+
+def input_paths(spark: SparkSession, root: str, kind: str = "all", most: int = 500 * 1024 * 1024) -> list[str]:
+    """Paths of the files below a folder to import: by name, size and place (one row a file)."""
+    from recordloom.operators.validation import wanted_inputs
+
+    return sorted(r[0] for r in wanted_inputs(small_files(spark, root, most), kind).select("path").collect())
+
+
 def declared_counts(spark: SparkSession, path: str, root: str) -> DataFrame:
     """file, declared: the count that each file states."""
     return _read(spark, path, root, StructType([StructField("_count", StringType())])).select(F.col("_metadata.file_name").alias("file"), strict_int("_count").alias("declared"))
