@@ -26,16 +26,16 @@ def _waves(nodes: DataFrame, edges: DataFrame, own: Column, step: Column) -> Dat
     needs = cut(edges.where("node is not null and needs is not null").select("node", "needs").distinct())
     waiting = cut(needs.groupBy("node").agg(F.count(F.lit(1)).alias("open")))
     settled = cut(nodes.join(waiting.select("node"), "node", "left_anti").select("node", own.alias("value")).distinct())
-    parts, new = [settled], settled
-    counts = cut(waiting.select("node", F.lit(0).cast("bigint").alias("done"), F.lit(None).cast(settled.schema["value"].dataType).alias("before")).limit(0))
+    parts, new, before = [settled], settled, None
     while not new.isEmpty():
         reached = new.select(F.col("node").alias("needs"), F.col("value").alias("before")).join(needs, "needs").groupBy("node").agg(F.count(F.lit(1)).alias("done"), F.max("before").alias("before"))
-        together = cut(counts.unionByName(reached).groupBy("node").agg(F.sum("done").alias("done"), F.max("before").alias("before")))
-        ready = together.join(waiting, "node").where("done = open").select("node", "before")
-        new = cut(ready.join(nodes, "node").select("node", step.alias("value")).distinct())
-        rest = cut(together.join(waiting, "node").where("done < open").select("node", "done", "before"))
-        drop_cut(counts, together)
-        counts = rest
+        if before is not None:
+            reached = reached.unionByName(before.where("done < open").select("node", "done", "before")).groupBy("node").agg(F.sum("done").alias("done"), F.max("before").alias("before"))
+        together = cut(reached.join(waiting, "node"))
+        new = cut(together.where("done = open").select("node", "before").join(nodes, "node").select("node", step.alias("value")).distinct())
+        if before is not None:
+            drop_cut(before)
+        before = together
         parts.append(new)
     out = parts[0]
     for p in parts[1:]:

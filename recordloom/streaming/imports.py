@@ -18,8 +18,8 @@ def stream_table(spark: SparkSession, path: str, schema: StructType, files_per_t
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-#: First digits of a key that name the part of the store it is in.
-PREFIX = 2
+#: First digits of a key that name the part of the store it is in: 16 parts, more digits for stores of many files a part.
+PREFIX = 1
 
 
 def import_stream(calls: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
